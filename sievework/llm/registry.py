@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing
+from . import host_rules, mixing, quality_cnn
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op6_host_rules": host_rules.op6_host_rules,
         "op8_source_mix": mixing.op8_source_mix,
+        "op10_quality": quality_cnn.op10_quality,
     }
 
 
