@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing, quality_cnn
+from . import host_rules, mixing, packing, quality_cnn
 
 
 def queries() -> dict:
     """Name to query."""
     return {
+        "op4_packing": packing.op4_packing,
         "op6_host_rules": host_rules.op6_host_rules,
         "op8_source_mix": mixing.op8_source_mix,
         "op10_quality": quality_cnn.op10_quality,
