@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing, packing, quality_cnn
+from . import host_rules, jaccard_join, mixing, packing, quality_cnn
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op6_host_rules": host_rules.op6_host_rules,
         "op8_source_mix": mixing.op8_source_mix,
+        "op9_jaccard": jaccard_join.op9_jaccard,
         "op10_quality": quality_cnn.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {"op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL}
+    return {"op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL, "op9_jaccard": jaccard_join.OP9_SQL}
