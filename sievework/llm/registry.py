@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import host_rules, jaccard_join, mixing, packing, quality_cnn
+from . import host_rules, jaccard_join, mixing, packing, quality_cnn, suffix_dedup
 
 
 def queries() -> dict:
     """Name to query."""
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op4_packing": packing.op4_packing,
         "op6_host_rules": host_rules.op6_host_rules,
         "op8_source_mix": mixing.op8_source_mix,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {"op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL, "op9_jaccard": jaccard_join.OP9_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.OP1_SQL, "op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL, "op9_jaccard": jaccard_join.OP9_SQL}
