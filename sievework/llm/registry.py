@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, jaccard_join, mixing, packing, quality_cnn, suffix_dedup
+from . import gru_lm, host_rules, jaccard_join, mixing, packing, quality_cnn, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op4_packing": packing.op4_packing,
         "op6_host_rules": host_rules.op6_host_rules,
+        "op7_language_model": gru_lm.op7_language_model,
         "op8_source_mix": mixing.op8_source_mix,
         "op9_jaccard": jaccard_join.op9_jaccard,
         "op10_quality": quality_cnn.op10_quality,

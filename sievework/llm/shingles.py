@@ -29,11 +29,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, A-Z lowered, and the number of words before each text's end (n + 1 values).
-
-    A word's hash is a polynomial in its bytes, taken from running sums over the slice.
-    """
+def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last byte of each word."""
     space = SPACE[data]
     begins, stops = ~space, ~space
     begins[1:] &= space[:-1]
@@ -43,11 +40,21 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     begins[cuts] = ~space[cuts]
     cuts = cuts[cuts > 0]
     stops[cuts - 1] = ~space[cuts - 1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    return np.flatnonzero(begins), np.flatnonzero(stops)
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes, A-Z lowered: a polynomial taken from running sums over all bytes."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE[LOWER[data]] * powers(BACK, len(data)), out=sums[1:])
     found = (sums[last + 1] - sums[first]) * powers(STEP, len(data) + 1)[last + 1]
-    return mix(found + (last - first).astype(np.uint64)), np.searchsorted(first, ends)
+    return mix(found + (last - first).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and the number of words before each text's end (n + 1 values)."""
+    first, last = word_spans(data, ends)
+    return span_hashes(data, first, last), np.searchsorted(first, ends)
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
