@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import gru_lm, host_rules, jaccard_join, mixing, packing, quality_cnn, suffix_dedup
+from . import gru_lm, host_rules, jaccard_join, metric_join, mixing, packing, quality_cnn, suffix_dedup
 
 
 def queries() -> dict:
     """Name to query."""
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_embedding_links": metric_join.op2_embedding_links,
         "op4_packing": packing.op4_packing,
         "op6_host_rules": host_rules.op6_host_rules,
         "op7_language_model": gru_lm.op7_language_model,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {"op1_suffix_dedup": suffix_dedup.OP1_SQL, "op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL, "op9_jaccard": jaccard_join.OP9_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.OP1_SQL, "op2_embedding_links": metric_join.OP2_SQL, "op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL, "op9_jaccard": jaccard_join.OP9_SQL}
