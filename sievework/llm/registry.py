@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gru_lm, host_rules, jaccard_join, metric_join, mixing, packing, quality_cnn, suffix_dedup
+from . import gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_embedding_links": metric_join.op2_embedding_links,
+        "op3_token_counts": token_files.op3_token_counts,
         "op4_packing": packing.op4_packing,
+        "op5_licenses": license_scan.op5_licenses,
         "op6_host_rules": host_rules.op6_host_rules,
         "op7_language_model": gru_lm.op7_language_model,
         "op8_source_mix": mixing.op8_source_mix,
