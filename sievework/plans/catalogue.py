@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import sequence_queries
+
 FLAGSHIP = "select_quota_roundrobin"
+MODULES = [sequence_queries]
 
 
 def queries() -> dict:
     """Name to query."""
-    return {}
+    return {name: make for m in MODULES for name, (make, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Name to DuckDB SQL."""
-    return {}
+    """Name to DuckDB SQL, where there is one."""
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
