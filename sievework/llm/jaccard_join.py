@@ -17,6 +17,7 @@ from .shingles import shingle_sets
 
 FREQUENT = 1 << 16  # shingles that are ranked last by their count: 0.5 MB
 CHECK_COST = 20.0  # of checking a candidate, in prefix shingles
+SENT = 1 << 18  # most ids that are broadcast: 4 MB
 
 
 def prefixes(sets: np.ndarray, offsets: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray, deepest: int = 4) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -117,8 +118,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        id stands for it.
     3. Prefix shingles are grouped. In each group every node is paired with the smallest
        one, so that a group of n copies makes n - 1 candidates and not n squared.
-    4. Candidates that share enough prefix shingles are checked on their whole texts, and
-       components taken.
+    4. Of the candidates that share enough prefix shingles, each node's best is checked on
+       the whole texts, and components are taken.
     5. Groups that still hold several components give all pairs across components, which
        are checked alike if they share enough prefix shingles and their sizes allow it.
        Links of step 4 and 5 make the result.
@@ -148,24 +149,35 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         prefix.withColumn("lead", F.min("node").over(group)).withColumn("last", F.max("node").over(group)).where("lead <> last").distinct(),
         "shared-prefixes",
     )
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of the candidate pairs (x, y) of nodes with the shingles they share, the links (a, b) of ids."""
-        x = nodes.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("n").alias("n_x"), F.col("asked").alias("asked_x"))
-        y = nodes.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("n").alias("n_y"), F.col("asked").alias("asked_y"))
+    def links(pairs: DataFrame, one_each: bool) -> DataFrame:
+        """Of the candidate pairs (x, y) of nodes with the shingles they share, the links (a, b) of ids.
+
+        What a pair can share beyond the prefix that ends first is at most the rest of that set.
+        """
+        rest = (-F.floor(-percent * F.col("n") / 100) - F.col("asked")).alias("rest")
+        x = nodes.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("n").alias("n_x"), F.col("asked").alias("asked_x"), rest.alias("rest_x"))
+        y = nodes.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("n").alias("n_y"), F.col("asked").alias("asked_y"), rest.alias("rest_y"))
         wanted = (
             pairs.join(x, "x").join(y, "y")
             .where((F.col("shared") >= F.least("asked_x", "asked_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
-            .select("a", "b").where("a <> b")
+            .where((100 + percent) * (F.col("shared") + F.greatest("rest_x", "rest_y")) >= percent * (F.col("n_x") + F.col("n_y")))
+            .where("a <> b")
         )
+        if one_each:
+            wanted = wanted.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
+        wanted = checkpoint(wanted.select("a", "b"))
+        members = wanted.select(F.col("a").alias("id")).unionByName(wanted.select(F.col("b").alias("id"))).distinct()
+        few = members.limit(SENT + 1).count() <= SENT
+        texts = named.join(F.broadcast(members), "id", "left_semi") if few else named
         return checkpoint(
-            wanted.join(named.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(named.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+            wanted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b")
             .mapInArrow(lambda it: _similar(it, size, percent), f"a {id_type}, b {id_type}")
         )
 
     stars = shared.where("node <> lead").groupBy(F.col("node").alias("x"), F.col("lead").alias("y")).agg(F.count("*").alias("shared"))
-    found = links(stars)
+    found = links(stars, one_each=True)
     first = components(found)
     placed = shared.select("shingle", "node").join(nodes.select("node", "rep", "n"), "node").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("shingle", "node", "n", F.coalesce("component", "rep").alias("component"))
@@ -176,7 +188,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")))
         .groupBy(F.col("l.node").alias("x"), F.col("r.node").alias("y")).agg(F.count("*").alias("shared"))
     )
-    more = links(across)
+    more = links(across, one_each=False)
     last = components(found.unionByName(more)) if not more.isEmpty() else first
     placed = nodes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     return described.join(placed, "node", "left").select(
