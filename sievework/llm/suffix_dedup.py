@@ -160,41 +160,41 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.field("anchor"), part.field("salt"), part.field("hot"), part.field("twice"), key, part.field("place"), column], names=["anchor", "salt", "hot", "twice", "key", "place", "found"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Rows in blocks of about ``limit`` bytes that hold whole groups of (anchor, salt)."""
     held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
         anchor, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if held:
-            last = held[-1]
-            same = (anchor == last.column(0)[-1].as_py()) & (salt == last.column(1)[-1].as_py())
-            lead = len(same) if same.all() else int(np.argmin(same))
-            if lead:
-                held.append(batch.slice(0, lead))
-                batch, anchor, salt = batch.slice(lead), anchor[lead:], salt[lead:]
-            if not batch.num_rows:
-                continue
-        edges = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
+        new = np.ones(n + 1, bool)
+        new[1:n] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
+        new[0] = last != (anchor[0], salt[0])
+        new[n] = False
+        edges, last = np.flatnonzero(new), (anchor[-1], salt[-1])
+        reach = utf8(batch.column(6))[1]
         at = 0
-        for to in [*edges.tolist(), batch.num_rows]:
-            if held and sum(x.nbytes for x in held) + 64 * (to - at) >= limit:
-                yield pa.Table.from_batches(held)
-                held = []
-            if not held or held[-1].num_rows:
-                held.append(batch.slice(at, to - at))
-            at = to
+        while True:
+            k = int(np.searchsorted(reach[edges], reach[at] + limit - size))
+            if k == len(edges):
+                break
+            if edges[k] > at:
+                held.append(batch.slice(at, edges[k] - at))
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, at = [], 0, int(edges[k])
+            edges = edges[k + 1 :]
+        held.append(batch.slice(at))
+        size += int(reach[-1] - reach[at])
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Which of the segments' strings occur twice: ranges of starts; and of hot anchors a row for each other string."""
-    for block in _blocks(batches, 1 << 20):
-        rows = block.combine_chunks().to_batches()[0] if block.num_rows else None
-        if rows is None:
-            continue
+    for rows in _blocks(batches, 1 << 20):
         data, ends = utf8(rows.column(6))
         size = np.diff(ends)
         pointer = bucket_pointers(data, np.repeat(ends[1:], size), length)
@@ -250,6 +250,20 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, names: Sequence[str]
         yield pa.RecordBatch.from_arrays([*rows.columns[:-2], pa.array(size), pa.array(size - np.diff(kept)), spans, column], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
 
 
+def as_text(rows: DataFrame, column: str = "kept") -> DataFrame:
+    """``rows`` with the binary ``column`` as text; what a cut has left of a character is dropped."""
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == column else f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = rows.columns
+    at = names.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([str(x.as_buffer(), "utf-8", "ignore") for x in batch.column(at)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], text, *batch.columns[at + 1 :]], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: Sequence[str] | None = None) -> DataFrame:
     """Every text without the bytes covered by a string of ``length`` bytes that also starts elsewhere.
 
