@@ -11,7 +11,7 @@ from ..functions.parsing import is_sequence
 def report(library: DataFrame, top: DataFrame, reference: DataFrame, *, seq: str = "sequence", size: int | None = None, top_size: int | None = None, shortest: int = 8, longest: int = 50) -> DataFrame:
     """One row per check: name, value (violations, or a size), ok."""
     def rows(df: DataFrame, name: str, value, limit: int | None = 0) -> DataFrame:
-        return df.agg(value.cast("long").alias("value")).select(F.lit(name).alias("check"), "value", (F.lit(True) if limit is None else F.col("value") == limit).alias("ok"))
+        return df.agg(value.cast("long").alias("value")).select(F.lit(name).alias("check"), "value", (F.lit(True) if limit is None else F.col("value") == F.lit(limit)).alias("ok"))
 
     bad = F.sum(F.when(is_sequence(F.col(seq), shortest, longest), 0).otherwise(1))
     return (

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import sequence_queries
+from . import selection_queries, sequence_queries, table_queries
 
 FLAGSHIP = "select_quota_roundrobin"
-MODULES = [sequence_queries]
+MODULES = [sequence_queries, table_queries, selection_queries]
 
 
 def queries() -> dict:
