@@ -151,9 +151,15 @@ def face_fraction(seq: Column, angle: float = 100.0) -> Column:
 
 
 def grams(seq: Column, k: int) -> Column:
-    """The substrings of ``k`` letters in order, repeats included; none of a shorter sequence."""
+    """The substrings of ``k`` letters in order, repeats included; none of a shorter sequence.
+
+    One pass of a look-ahead finds them, also in long texts. It moves by UTF-16 units, so text
+    with characters beyond the first plane is cut letter by letter.
+    """
     n = F.length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    wide = seq.rlike(r"[^\x{0}-\x{FFFF}]")
+    by_letter = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(seq, i, F.lit(k)))
+    return F.when(n >= k, F.when(wide, by_letter).otherwise(F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
 
 def bin_of(value: Column, edges: Sequence[float]) -> Column:

@@ -19,10 +19,11 @@ def kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
 def kmer_hits(df: DataFrame, seq: str, row_id: str, reference: DataFrame, ref_seq: str, k: int) -> DataFrame:
     """(row_id, hit_fraction): the share of k-mers, repeats counted, that the reference has; 0 for none.
 
-    Each row's k-mers are counted before the join, which Spark broadcasts if the reference is small.
+    Each row's k-mers are counted before the join, and of the reference's only those asked for are kept.
     """
     own = df.select(row_id, F.explode(grams(F.col(seq), k)).alias("kmer")).groupBy(row_id, "kmer").agg(F.count("*").alias("n"))
-    known = kmers(reference, ref_seq, k).withColumn("hit", F.lit(1))
+    asked = own.select("kmer").distinct()
+    known = reference.select(F.explode(grams(F.col(ref_seq), k)).alias("kmer")).join(asked, "kmer", "left_semi").distinct().withColumn("hit", F.lit(1))
     found = own.join(known, "kmer", "left").groupBy(row_id).agg((F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) / F.sum("n")).alias("hit_fraction"))
     return df.select(row_id).join(found, row_id, "left").select(row_id, F.coalesce("hit_fraction", F.lit(0.0)).alias("hit_fraction"))
 

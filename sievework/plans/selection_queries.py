@@ -68,8 +68,8 @@ by_source AS (SELECT source, count(*) AS u FROM taken GROUP BY source),
 spare AS (SELECT doc_id, n_chars, coalesce(u, 0) + row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS turn FROM celled LEFT JOIN by_source USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM taken)),
 extra AS (SELECT doc_id, row_number() OVER (ORDER BY turn, n_chars DESC, doc_id) AS nth FROM spare WHERE turn <= 64),
 everyone AS (SELECT doc_id, phase, cell, nth FROM taken UNION ALL SELECT doc_id, 2, NULL, nth FROM extra WHERE nth <= (SELECT t FROM total) - (SELECT count(*) FROM taken)),
-placed AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY phase, cell, nth) AS INT) AS pos FROM everyone)
-SELECT doc_id, pos FROM placed WHERE pos <= (SELECT t FROM total)"""
+final AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY phase, cell, nth) AS INT) AS pos FROM everyone)
+SELECT doc_id, pos FROM final WHERE pos <= (SELECT t FROM total)"""
 
 
 def split_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,11 @@ from ..session import table
 
 
 def dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.trim("text")).alias("clean"), "lang").where("length(clean) >= 8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.trim("text"), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("clean"), "lang").where("length(clean) >= 8")
     return cleaning.first_of_each(docs, "clean", "doc_id").select("doc_id", F.md5("clean").alias("digest"), "lang")
 
 
-DEDUP_TEXTS = """SELECT doc_id, md5(c) AS digest, lang FROM (SELECT doc_id, upper(trim(text)) AS c, lang FROM documents)
+DEDUP_TEXTS = """SELECT doc_id, md5(c) AS digest, lang FROM (SELECT doc_id, translate(trim(text), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS c, lang FROM documents)
 WHERE length(c) >= 8 QUALIFY row_number() OVER (PARTITION BY c ORDER BY doc_id) = 1"""
 
 
@@ -277,7 +277,7 @@ _NAMES = ["broad_spectrum", "gram_pos", "gram_neg", "mdr", "therapeutic"]
 def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(*[F.expr(f"CAST({e} AS DOUBLE)").alias(h) for h, e in HEADS.items()], "l_orderkey", "l_linenumber", "l_suppkey")
     scored = scoring.panel(rows)
-    return scored.select("l_orderkey", "l_linenumber", "l_suppkey", *[F.round(c, 6).alias(c) for c in ("log2_mic50", "log2_mic_worst_neg", "log2_window")], *[F.round(scoring.objective(scored.columns, n), 6).alias(n) for n in _NAMES],
+    return scored.select("l_orderkey", "l_linenumber", "l_suppkey", *[(F.round(c, 6) + 0.0).alias(c) for c in ("log2_mic50", "log2_mic_worst_neg", "log2_window")], *[(F.round(scoring.objective(scored.columns, n), 6) + 0.0).alias(n) for n in _NAMES],
         F.round(scoring.row_median(scales.PANEL_NEGATIVE + scales.PANEL_POSITIVE), 6).alias("median"))
 
 
@@ -285,15 +285,15 @@ def _objective_sql(name: str, heads: dict[str, int], fallback: bool) -> str:
     total = sum(heads.values()) + 3 * fallback
     mean = "(" + " + ".join([f"{n} * {h}" for h, n in heads.items()] + ["3 * mic_gram_neg"] * fallback) + f") / {total}"
     m, w, s, a, e, r = scales.OBJECTIVES[name]
-    return f"round({m} * {mean} + {w} * greatest({', '.join(heads)}) + {s} * safe + {a} * amp + {e} * envelope + {r} * risk, 6) AS {name}"
+    return f"round({m} * {mean} + {w} * greatest({', '.join(heads)}) + {s} * safe + {a} * amp + {e} * envelope + {r} * risk, 6) + 0 AS {name}"
 
 
 _NEG, _ALL = {h: scales.PANEL[h] for h in scales.PANEL_NEGATIVE}, ", ".join(scales.PANEL)
 OBJECTIVES = f"""WITH h AS (SELECT l_orderkey, l_linenumber, l_suppkey, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in HEADS.items())} FROM lineitem),
 p AS (SELECT *, (mic_ecoli + mic_paeru + mic_kpneu + mic_abaum) / 4 AS neg, (mic_saure + mic_efaec + mic_bsubt) / 3 AS pos, greatest(mic_ecoli, mic_paeru, mic_kpneu, mic_abaum) AS worst FROM h)
-SELECT l_orderkey, l_linenumber, l_suppkey, round(0.75 * neg + 0.25 * pos, 6) AS log2_mic50, round(worst, 6) AS log2_mic_worst_neg, round(least(hc50, 7) - greatest(0.75 * neg + 0.25 * pos, -1), 6) AS log2_window,
+SELECT l_orderkey, l_linenumber, l_suppkey, round(0.75 * neg + 0.25 * pos, 6) AS log2_mic50, round(worst, 6) AS log2_mic_worst_neg, round(least(hc50, 7) - greatest(0.75 * neg + 0.25 * pos, -1), 6) + 0 AS log2_window,
   {_objective_sql('broad_spectrum', scales.PANEL, True)}, {_objective_sql('gram_pos', {h: scales.PANEL[h] for h in scales.PANEL_POSITIVE}, False)}, {_objective_sql('gram_neg', _NEG, True)}, {_objective_sql('mdr', scales.RESISTANT, False)},
-  round(1.2 * least(hc50, 7) - 1.2 * ({' + '.join(f'{n} * {h}' for h, n in scales.PANEL.items())} + 3 * mic_gram_neg) / 20 - 0.5 * greatest(least({_ALL}), -1) + 0.9 * safe + 1.6 * envelope + 0.3 * amp - 1.3 * risk, 6) AS therapeutic,
+  round(1.2 * least(hc50, 7) - 1.2 * ({' + '.join(f'{n} * {h}' for h, n in scales.PANEL.items())} + 3 * mic_gram_neg) / 20 - 0.5 * greatest(least({_ALL}), -1) + 0.9 * safe + 1.6 * envelope + 0.3 * amp - 1.3 * risk, 6) + 0 AS therapeutic,
   round(list_median([{_ALL}]), 6) AS median FROM p"""
 
 STRAINS = {"gram_neg": "o_totalprice / 1e5", "gram_pos": "o_custkey % 9", "resistant": "o_orderkey % 11", "median": "o_totalprice / 2e5", "best": "o_custkey % 4", "worst": "o_orderkey % 13"}
@@ -301,12 +301,12 @@ STRAINS = {"gram_neg": "o_totalprice / 1e5", "gram_pos": "o_custkey % 9", "resis
 
 def strain_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in STRAINS.items()])
-    return rows.select("o_orderkey", *[(F.round(scoring.strain_objective(n), 6) + 0.0).alias(n) for n in _NAMES])
+    return rows.select("o_orderkey", *[(F.round(scoring.strain_objective(n), 10) + 0.0).alias(n) for n in _NAMES])
 
 
 STRAIN_OBJECTIVES = f"""WITH s AS (SELECT o_orderkey, {', '.join(f'CAST({e} AS DOUBLE) AS s_{n}' for n, e in STRAINS.items())} FROM orders)
-SELECT o_orderkey, round(-(0.65 * s_gram_neg + 0.35 * s_gram_pos) - 0.4 * s_worst, 6) + 0 AS broad_spectrum, round(-s_gram_pos, 6) + 0 AS gram_pos, round(-s_gram_neg, 6) + 0 AS gram_neg,
-  round(-s_resistant, 6) + 0 AS mdr, round(-(0.6 * s_median + 0.4 * s_best), 6) + 0 AS therapeutic FROM s"""
+SELECT o_orderkey, round(-(0.65 * s_gram_neg + 0.35 * s_gram_pos) - 0.4 * s_worst, 10) + 0 AS broad_spectrum, round(-s_gram_pos, 10) + 0 AS gram_pos, round(-s_gram_neg, 10) + 0 AS gram_neg,
+  round(-s_resistant, 10) + 0 AS mdr, round(-(0.6 * s_median + 0.4 * s_best), 10) + 0 AS therapeutic FROM s"""
 
 
 def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
