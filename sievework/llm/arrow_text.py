@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
             yield batch.slice(start, stop - start), data[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, for workers that stay and wait for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

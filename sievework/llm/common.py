@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """``df``, whose session from now on sends Python workers batches of at most ``size``.
+
+    The default of 64 MB, held by the JVM and the worker for each task, leaves little room in
+    small executors; a session that has set another size keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, "67108864b") == "67108864b":
+        df.sparkSession.conf.set(key, size)
+    return df
+
+
 def words(text: Column) -> Column:
     """The text's words in order; null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .common import table
+from .common import bounded_batches, table
 from .shingles import mix, span_hashes
 
 #: Wordings of common licence notices.
@@ -152,7 +152,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     and repeated rows are reported as they are; other columns are not read.
     """
     index = Index(TEMPLATES if templates is None else templates)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, ends in slices(batches, "text", 4 << 20):

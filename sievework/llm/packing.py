@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import slices
-from .common import table
+from .common import bounded_batches, table
 from .tokenise import WordEncoder, tokenizer_file
 
 WINDOW, END = 4096, 2
-GROUP = 4 << 20  # tokens that are packed together
+GROUP = 2 << 20  # tokens that are packed together
 
 
 class OpenWindows:
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     not read.
     """
     vocabulary = tokenizer_file() if vocabulary is None else vocabulary
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = T.LongType()
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long)])
 
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
             following += int(found["sequence"].max()) + 1 if len(text) else 0
 
         waiting = 0
-        for rows, data, ends in slices(batches, "text", 4 << 20):
+        for rows, data, ends in slices(batches, "text", 1 << 20):
             ids, text_ends = encoder.encode(data, ends)
             held.append((rows.column(0), ids, text_ends))
             waiting += len(ids)

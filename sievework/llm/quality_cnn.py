@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import slices, utf8
-from .common import table
+from .common import bounded_batches, table
 
 DIMS, FILTERS, HIDDEN = 8, 32, 16
 STRIDE, BLOCK, CHUNK = 4, 64, 8  # bytes a step, bytes a block, blocks a chunk
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: Sequen
     besides ``out`` (all, if not given); a column named as ``out`` is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    source = docs.select(*kept, F.col(text_col).alias("__text"))
+    source = bounded_batches(docs).select(*kept, F.col(text_col).alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

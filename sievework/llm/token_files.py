@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .common import checkpoint, shared_dir, table
+from .common import bounded_batches, checkpoint, shared_dir, table
 from .tokenise import WordEncoder, tokenizer_file
 
 END = 49407  # <|endoftext|> of word_bpe_49k
@@ -28,7 +28,7 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
     Returns the manifest, kept in the shared folder: file, doc_no (from 0 in its file), id.
     """
     vocabulary = tokenizer_file() if vocabulary is None else vocabulary
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([name] * len(names)), pa.array(np.arange(len(names))), names], names=["file", "doc_no", "id"])
 
-        for rows, data, ends in slices(batches, "text", 4 << 20):
+        for rows, data, ends in slices(batches, "text", 1 << 20):
             ids, _ = encoder.encode(data, ends)
             held.append((rows.column(0), ids))
             if 2 * sum(len(x) for _, x in held) >= SHARD:

@@ -54,7 +54,7 @@ class WordEncoder:
     that the memory starts anew, which changes the speed only.
     """
 
-    def __init__(self, vocabulary: str, end: int, limit: int = 600_000) -> None:
+    def __init__(self, vocabulary: str, end: int, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.limit = Tokenizer.from_str(vocabulary), end, limit
