@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .common import table, written
+from .common import bounded_batches, table, written
 from .quality_cnn import fold
 from .shingles import LOWER, mix, span_hashes, word_spans
 
-HIDDEN = 32
-HEAD, HEAD_CLASSES, TAIL_CLASSES = 2048, 32, 64
+HIDDEN = 24
+HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 32, 64
 LISTED = 1 << 18  # most frequent words whose counts every task has: 5 MB
 END = np.uint64(0x51ED270B9F6A3C2D)  # stands for the end of a text
 STREAMS, STEPS = 512, 16
@@ -105,6 +105,8 @@ def _forward(model: Model, inputs: np.ndarray, state: np.ndarray, keep: list | N
     steps, h = len(inputs), HIDDEN
     states = np.empty((steps + 1, *state.shape), np.float32)
     states[0] = state
+    if keep is not None:
+        keep += [np.empty((steps, len(state), w), np.float32) for w in (2 * h, h, h)]
     for t in range(steps):
         mine = states[t] @ model["recur"]
         gates = _sigmoid(inputs[t, :, : 2 * h] + mine[:, : 2 * h])
@@ -112,7 +114,7 @@ def _forward(model: Model, inputs: np.ndarray, state: np.ndarray, keep: list | N
         fresh = np.tanh(inputs[t, :, 2 * h :] + r * mine[:, 2 * h :])
         states[t + 1] = states[t] + z * (fresh - states[t])
         if keep is not None:
-            keep.append((z, r, fresh, mine[:, 2 * h :]))
+            keep[0][t], keep[1][t], keep[2][t] = gates, fresh, mine[:, 2 * h :]
     return states
 
 
@@ -223,18 +225,21 @@ class Trainer:
         _, d_out = _log_likelihoods(model, self.vocabulary, states[:-1][mask], window[mask], grads)
         by_state = np.zeros((len(window), *state.shape), np.float32)
         by_state[mask] = d_out
+        gates, fresh, mine = kept
+        z, r = gates[..., :h], gates[..., h:]
+        to_z, to_fresh, to_r, stay = (fresh - states[:-1]) * z * (1 - z), z * (1 - fresh * fresh), mine * r * (1 - r), 1 - z
         d_inputs = np.empty((len(window), len(state), 3 * h), np.float32)
-        d_state = np.zeros_like(state)
+        d_mine = np.empty_like(d_inputs)
+        d_state, back = np.zeros_like(state), np.ascontiguousarray(model["recur"].T)
         for t in range(len(window) - 1, -1, -1):
-            z, r, fresh, mine = kept[t]
-            d_fresh = d_state * z * (1 - fresh * fresh)
-            d_inputs[t, :, :h] = d_state * (fresh - states[t]) * z * (1 - z)
-            d_inputs[t, :, h : 2 * h] = d_fresh * mine * r * (1 - r)
+            d_fresh = d_state * to_fresh[t]
+            d_inputs[t, :, :h] = d_state * to_z[t]
+            d_inputs[t, :, h : 2 * h] = d_fresh * to_r[t]
             d_inputs[t, :, 2 * h :] = d_fresh
-            d_mine = d_inputs[t].copy()
-            d_mine[:, 2 * h :] *= r
-            grads["recur"] += states[t].T @ d_mine
-            d_state = d_state * (1 - z) + d_mine @ model["recur"].T + by_state[t]
+            d_mine[t, :, : 2 * h] = d_inputs[t, :, : 2 * h]
+            d_mine[t, :, 2 * h :] = d_fresh * r[t]
+            d_state = d_state * stay[t] + d_mine[t] @ back + by_state[t]
+        grads["recur"] = states[:-1].reshape(-1, h).T @ d_mine.reshape(-1, 3 * h)
         flat = d_inputs.reshape(-1, 3 * h)
         grads["input"] = seen.reshape(-1, h).T @ flat
         grads["shift"] = flat.sum(axis=0)
@@ -326,7 +331,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", st
     there with its own, and the weights are averaged by tokens, over groups of tasks and then
     over the groups, so that no one gathers a copy from every task.
     """
-    source = docs.select(F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(text_col).alias("text"))
     words = written(source.mapInArrow(_count, "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "words")
     top = words.orderBy(F.desc("n"), "word").limit(LISTED).toPandas()
     sums = words.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
