@@ -91,10 +91,12 @@ def test_suffix_dedup(docs, none, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("costly", [256, 0])
+@pytest.mark.parametrize("costly", [256, -1])
 def test_jaccard(docs, none, monkeypatch, costly):
     monkeypatch.setattr(jaccard_join, "COSTLY", costly)
     monkeypatch.setattr(jaccard_join, "FAMILY", 500)
+    if costly < 0:
+        monkeypatch.setattr(jaccard_join, "COSTLY_SHARE", 0.0)
     found = jaccard_join.jaccard_components(docs).collect()
     sets = []
     for i, t, _ in rows():
