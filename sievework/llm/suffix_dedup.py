@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, utf8
-from .common import checkpoint, table, written
+from .common import bounded_batches, checkpoint, table, written
 from .shingles import BACK, BYTE, STEP, mix, powers
 
 GRAM = 80  # bytes of an anchor
@@ -134,7 +134,7 @@ def bucket_pointers(data: np.ndarray, stop: np.ndarray, length: int) -> np.ndarr
 
 def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(anchor, digest, key, place) of each run."""
-    for rows, data, ends in slices(batches, "text", 2 << 20):
+    for rows, data, ends in slices(batches, "text", 1 << 19):
         text, place, anchor, digest = segments(data, ends, length)
         key = rows.column(0).to_numpy()[text]
         for at in range(0, len(key), 1 << 16):
@@ -291,6 +291,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     added = ["n_bytes", "n_removed", "spans", "kept"]
     names = [c for c in ([id_col] if keep is None else keep) if c not in added]
+    bounded_batches(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     runs = keyed.where(F.octet_length("text") >= length).mapInArrow(lambda it: _occurrences(it, length), "anchor bigint, digest bigint, key bigint, place bigint")
