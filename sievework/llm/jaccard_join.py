@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, utf8
-from .common import checkpoint, components, table, written
+from .common import bounded_batches, checkpoint, components, table, written
 from .shingles import shingle_sets
 
 FREQUENT = 1 << 16  # shingles that are ranked last by their count: 0.5 MB
 CHECK_COST = 20.0  # of checking a candidate, in prefix shingles
 SENT = 1 << 18  # most ids that are broadcast: 4 MB
+COSTLY = 256  # pairs of a node below which its whole set isn't indexed
+COSTLY_SHARE = 1.0  # the same, of its set's size
+FAMILY = 1 << 20  # shingles of an index: 16 MB
 
 
 def prefixes(sets: np.ndarray, offsets: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray, deepest: int = 4) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -42,7 +45,7 @@ def prefixes(sets: np.ndarray, offsets: np.ndarray, percent: int, frequent: np.n
         ordered = np.concatenate([np.flatnonzero(~known), common])
         most = min(deepest, least)
         matches = 1
-        if n - least + 1 > n - len(common):
+        if len(common) and n - least + 1 > n - len(common):
             weight = np.where(known, np.maximum(counts[place] - 1, 0) if len(counts) else 0, 0)[ordered]
             reach = np.cumsum(weight)
             cost = [n - least + m + CHECK_COST * reach[n - least + m - 1] / m for m in range(1, most + 1)]
@@ -105,6 +108,121 @@ def _similar(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield rows.select(["a", "b"]).filter(pa.array(linked))
 
 
+def _sent(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is listed: the list is broadcast if it is counted to be small."""
+    few = ids.limit(SENT + 1).count() <= SENT
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(node, its whole set as bytes) of each text that has shingles."""
+    for _, data, ends in slices(batches, "text"):
+        sets, at = shingle_sets(data, ends, size)
+        found = [sets[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(np.frombuffer(x, np.uint64)) for x in found], pa.int64()), pa.array(found, pa.binary())], names=["node", "found"])
+
+
+def _family_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of components that similar sets connect, no more than a tree of them for each chunk.
+
+    Rows are (family, chunk, looked, component, found), by family and chunk, the chunk's own sets
+    first. They make an index of shingles; then they and the family's other sets pass it, and
+    each counts its matches with all sets of the chunk at once.
+    """
+    key, index, owner, sizes, of, root = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], {}
+    held: list[np.ndarray] = []
+    out: tuple[list, list] = ([], [])
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def passes(own: np.ndarray, component) -> None:
+        lo, hi = np.searchsorted(index, own), np.searchsorted(index, own, side="right")
+        many = hi - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        both = np.bincount(owner[at], minlength=len(sizes))
+        for i in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
+            x, y = top(component), top(of[i])
+            if x != y:
+                root[x] = y
+                out[0].append(component)
+                out[1].append(of[i])
+
+    def close() -> None:
+        nonlocal index, owner, sizes, held
+        index = np.concatenate(held)
+        sizes = np.array([len(x) for x in held], np.int64)
+        order = np.argsort(index, kind="stable")
+        index, owner, mine, held = index[order], np.repeat(np.arange(len(sizes)), sizes)[order], held, []
+        for own, component in zip(mine, of, strict=True):
+            passes(own, component)
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(3).type
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        for family, chunk, looked, component, data in zip(*columns, batch.column(4), strict=True):
+            own = np.frombuffer(data.as_buffer(), np.uint64)
+            if (family, chunk) != key:
+                if held:
+                    close()
+                key, of, root = (family, chunk), [], {}
+                index, owner, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if looked:
+                held.append(own)
+                of.append(component)
+            else:
+                if held:
+                    close()
+                passes(own, component)
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in out], names=["a", "b"])
+        out = ([], [])
+    if held:
+        close()
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in out], names=["a", "b"])
+
+
+def _across(rest: DataFrame, named: DataFrame, nodes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates across components within the groups of ``rest``: pairs (x, y, shared), and links (a, b) already checked.
+
+    A node costs as many pairs as its groups have members. Pairs with a node that costs at
+    most ``COSTLY``, or no more than its set is long, are made. The others' prefix is lengthened to the whole set: costly nodes
+    that groups connect are a family, and are compared within it by an index of all their
+    shingles, ``FAMILY`` shingles at a time, past which the whole family streams. Only links
+    that connect components leave the task.
+    """
+    id_type = named.schema["id"].dataType.simpleString()
+    cost = rest.groupBy("node").agg(F.sum(F.col("size") - 1).alias("cost"), F.first("n").alias("n"), F.first("component").alias("component"))
+    costly = checkpoint(cost.where(F.col("cost") > F.greatest(F.lit(COSTLY), COSTLY_SHARE * F.col("n"))).select("node", "n", "component"))
+    marked = rest.join(costly.select("node", F.lit(True).alias("costly")), "node", "left").withColumn("costly", F.coalesce("costly", F.lit(False)))
+    left, right = marked.where("not costly").alias("l"), marked.alias("r")
+    alike = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") != F.col("r.component"))
+    sizes = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    some = left.join(right, alike & sizes & (F.col("r.costly") | (F.col("l.node") < F.col("r.node")))).groupBy(F.col("l.node").alias("x"), F.col("r.node").alias("y")).agg(F.count("*").alias("shared"))
+
+    grouped = marked.where("costly").select("shingle", "node")
+    leads = grouped.groupBy("shingle").agg(F.min("node").alias("lead"))
+    family = components(grouped.join(leads, "shingle").select(F.col("node").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("component", "family")
+    placed = checkpoint(costly.join(family, "node"))
+    chunks = placed.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY).cast("int").alias("chunks"))
+    reps = placed.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("id")).distinct()
+    sets = _sent(reps, named).mapInArrow(lambda it: _packed(it, size), "node bigint, found binary")
+    members = sets.join(placed, "node").join(chunks, "family")
+    own = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    dealt = members.select("family", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "component", "found")
+    partitions = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = checkpoint(
+        dealt.select("family", "chunk", (F.col("own") == F.col("chunk")).alias("looked"), "component", "found")
+        .repartition(partitions, "family", "chunk").sortWithinPartitions("family", "chunk", F.desc("looked"))
+        .mapInArrow(lambda it: _family_links(it, percent), f"a {id_type}, b {id_type}")
+    )
+    return some, links
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, often: int = 8) -> DataFrame:
     """A row per document: id, n_shingles, component_id, node.
 
@@ -120,9 +238,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        one, so that a group of n copies makes n - 1 candidates and not n squared.
     4. Of the candidates that share enough prefix shingles, each node's best is checked on
        the whole texts, and components are taken.
-    5. Groups that still hold several components give all pairs across components, which
-       are checked alike if they share enough prefix shingles and their sizes allow it.
-       Links of step 4 and 5 make the result.
+    5. Groups that still hold several components give the pairs across components, which are
+       checked alike if they share enough prefix shingles and their sizes allow it. Nodes
+       with many such pairs have their prefix lengthened to the whole set, and are compared
+       within their families without making the pairs. Links of step 4 and 5 make the result.
 
     Texts move, not sets, as they are smaller. A null or empty text has no shingles and
     links with nothing. Rows with an id that occurs again count as one document of several
@@ -130,7 +249,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are returned as often; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     named = source.where(F.col("id").isNotNull())
     top = named.mapInArrow(lambda it: _often(it, size, often), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
@@ -166,9 +285,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if one_each:
             wanted = wanted.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
         wanted = checkpoint(wanted.select("a", "b"))
-        members = wanted.select(F.col("a").alias("id")).unionByName(wanted.select(F.col("b").alias("id"))).distinct()
-        few = members.limit(SENT + 1).count() <= SENT
-        texts = named.join(F.broadcast(members), "id", "left_semi") if few else named
+        texts = _sent(wanted.select(F.col("a").alias("id")).unionByName(wanted.select(F.col("b").alias("id"))).distinct(), named)
         return checkpoint(
             wanted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -181,14 +298,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = components(found)
     placed = shared.select("shingle", "node").join(nodes.select("node", "rep", "n"), "node").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("shingle", "node", "n", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rest = written(placed.join(split, "shingle"), "split-prefixes")
-    left, right = rest.alias("l"), rest.alias("r")
-    across = (
-        left.join(right, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")))
-        .groupBy(F.col("l.node").alias("x"), F.col("r.node").alias("y")).agg(F.count("*").alias("shared"))
-    )
-    more = links(across, one_each=False)
+    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    rest = written(placed.join(split.select("shingle", "size"), "shingle"), "split-prefixes")
+    across, checked = _across(rest, named, nodes, size, percent)
+    more = links(across, one_each=False).unionByName(checked)
     last = components(found.unionByName(more)) if not more.isEmpty() else first
     placed = nodes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     return described.join(placed, "node", "left").select(
