@@ -40,13 +40,13 @@ def fresh_model(seed: int = 1) -> Model:
 
 
 def lay_out(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in blocks of their own, each with 4 or more zero bytes behind it; and the first block of each."""
+    """Texts in blocks of their own, each between 4 or more zero bytes, so that no filter sees two; and the first block of each."""
     sizes = np.diff(ends)
-    blocks = (sizes + STRIDE + BLOCK - 1) // BLOCK
+    blocks = (sizes + 2 * STRIDE + BLOCK - 1) // BLOCK
     first = np.concatenate([[0], np.cumsum(blocks)])
     laid = np.zeros(int(first[-1]) * BLOCK + STRIDE, np.uint8)
     if len(data):
-        laid[np.repeat(first[:-1] * BLOCK - ends[:-1], sizes) + np.arange(len(data))] = data
+        laid[np.repeat(first[:-1] * BLOCK + STRIDE - ends[:-1], sizes) + np.arange(len(data))] = data
     return laid, first
 
 
