@@ -38,7 +38,7 @@ def cell_centroids(members: DataFrame, cell: str, vector: str, cell_quotas: Data
         want = int(rows["quota"].iloc[0])
         k = min(most, max(1, want // per_cluster), len(rows))
         if want <= 0 or k <= 1:
-            return pd.DataFrame({cell: [], "sub": [], "centroid": [], "n": []})
+            return pd.DataFrame({cell: [], "sub": [], "centroid": pd.Series([], dtype=object), "n": []})
         centres, labels = lloyd(np.stack(rows.sort_values("row_id")[vector].to_numpy()).astype(float), k, seed=seed)
         return pd.DataFrame({cell: rows[cell].iloc[0], "sub": range(k), "centroid": list(centres), "n": np.bincount(labels, minlength=k)})
 

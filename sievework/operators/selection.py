@@ -99,18 +99,18 @@ def select(
     return placed.where(F.col("pos") <= total).select(row_id, "pos")
 
 
-def match_composition(df: DataFrame, pick: Callable[[DataFrame], DataFrame], parts: list[str], target: list[float], *, quality: str = "quality", row_id: str = "row_id", passes: int = 8, step: float = 14.0, tolerance: float = 0.012) -> tuple[DataFrame, float]:
+def match_composition(df: DataFrame, pick: Callable[[DataFrame], DataFrame], parts: list[str], target: list[float], *, quality: str = "quality", row_id: str = "row_id", passes: int = 8, step: float = 14.0, tolerance: float = 0.012, extra: tuple[str, ...] = ()) -> tuple[DataFrame, float]:
     """(chosen rows, gap): selections with a price on each part, raised where the selection has too much of it.
 
     ``pick`` chooses (row_id, ...) from rows with a quality. The driver holds one mean for
-    each part and pass; the best pass is kept.
+    each part and pass; the best pass is kept, with the ``extra`` columns of its rows.
     """
     prices = [0.0] * len(parts)
     best, best_gap = None, float("inf")
     for _ in range(passes + 1):
         cost = sum((F.col(p) * x for p, x in zip(parts, prices, strict=True)), F.lit(0.0))
-        chosen = pick(df.withColumn(quality, F.col(quality) - cost)).select(row_id)
-        means = df.join(chosen, row_id).agg(*[F.avg(p).alias(p) for p in parts]).first()
+        chosen = pick(df.withColumn(quality, F.col(quality) - cost)).select(row_id, *extra).persist()
+        means = df.join(chosen.select(row_id), row_id).agg(*[F.avg(p).alias(p) for p in parts]).first()
         off = [means[p] - t for p, t in zip(parts, target, strict=True)]
         gap = sum(x * x for x in off) ** 0.5
         if gap < best_gap:
@@ -121,10 +121,11 @@ def match_composition(df: DataFrame, pick: Callable[[DataFrame], DataFrame], par
     return best, best_gap
 
 
-def diverse_top(ranked: DataFrame, edges: DataFrame, k: int, *, row_id: str = "row_id", cluster: str = "cluster", quality: str = "quality", cap: int = 3, most_alike: float = 0.65, depth: int = 4000) -> list[tuple]:
+def diverse_top(ranked: DataFrame, edges: DataFrame | Callable[[DataFrame, float], DataFrame], k: int, *, row_id: str = "row_id", cluster: str = "cluster", quality: str = "quality", cap: int = 3, most_alike: float = 0.65, depth: int = 4000) -> list[tuple]:
     """The ids of a greedy list: best first, at most ``cap`` a cluster, none more alike than ``most_alike`` to one before.
 
-    ``edges`` has the similarity (a, b, ratio) of candidates. The greedy walk is sequential;
+    ``edges`` has the similarity (a, b, ratio) of candidates, or finds it for the ids and the
+    threshold it is called with. The greedy walk is sequential;
     it runs on the driver over the best ``depth`` candidates, a bound that grows fourfold
     until the list is full or no candidates are left. A list that stays short is tried again
     with ``cap + 2`` and ``most_alike + 0.15``, up to 1.
@@ -133,7 +134,8 @@ def diverse_top(ranked: DataFrame, edges: DataFrame, k: int, *, row_id: str = "r
     ids = ranked.sparkSession.createDataFrame([(r[0],) for r in rows], ranked.select(row_id).schema) if rows else None
     near: dict = {}
     if ids is not None and most_alike < 1:
-        both = edges.where(F.col("ratio") > most_alike).join(F.broadcast(ids.withColumnRenamed(row_id, "a")), "a").join(F.broadcast(ids.withColumnRenamed(row_id, "b")), "b")
+        found = edges(ids, most_alike) if callable(edges) else edges
+        both = found.where(F.col("ratio") > most_alike).join(F.broadcast(ids.withColumnRenamed(row_id, "a")), "a").join(F.broadcast(ids.withColumnRenamed(row_id, "b")), "b")
         for r in both.select("a", "b").collect():
             near.setdefault(r.a, set()).add(r.b)
             near.setdefault(r.b, set()).add(r.a)

@@ -60,6 +60,27 @@ def sketch_key():
     return F.pandas_udf(lambda s: sketch_keys(s), "bigint")
 
 
+def composition_vectors(sequences: pd.Series) -> pd.Series:
+    """Four times the 20 letters' shares, then the 400 pairs' shares; other letters count towards the length only; null for null."""
+    place = {a: i for i, a in enumerate(scales.ALPHABET)}
+    out: list[np.ndarray | None] = []
+    for s in sequences:
+        if s is None:
+            out.append(None)
+            continue
+        codes = np.array([place.get(c, -1) for c in s], np.int64)
+        one = np.bincount(codes[codes >= 0], minlength=20) * 4.0 / max(len(codes), 1)
+        known = (codes[:-1] >= 0) & (codes[1:] >= 0)
+        two = np.bincount((codes[:-1] * 20 + codes[1:])[known], minlength=400) / max(int(known.sum()), 1)
+        out.append(np.concatenate([one, two]))
+    return pd.Series(out, dtype=object)
+
+
+def composition_vector():
+    """``composition_vectors`` as a vectorised UDF."""
+    return F.pandas_udf(lambda s: composition_vectors(s), "array<double>")
+
+
 def indel_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 LCS / (|a| + |b|): 1 for equal strings, 1 for two empty ones; null if either is null.
 

@@ -140,11 +140,28 @@ def stub_scorers() -> dict:
     return heads
 
 
-def cascade_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stub_strains() -> dict:
+    """Deterministic stand-ins for the strain model's summaries."""
+    def head(shift: float):
+        return lambda s: shift - 0.3 * seq.charge(s) + 1.5 * seq.fraction(s, scales.HYDROPHOBIC)
+
+    return {name: head(k / 4) for k, name in enumerate(["best", "gram_neg", "median", "gram_pos", "resistant", "worst"])}
+
+
+def _cascade(spark: SparkSession, sf_dir: str, settings: cascade.Settings) -> DataFrame:
     rows = parts(spark, sf_dir).select(F.col("id").alias("row_id"), F.col("s").alias("sequence"))
     reference = rows.where(F.crc32(F.col("sequence").cast("binary")) % 5 == 0).select("sequence").distinct()
-    sizes = cascade.Settings(total=60, top_k=5, shortlist=200, objectives=("broad_spectrum", "therapeutic"))
-    return cascade.build_library(rows, reference, stub_scorers(), sizes)[0]
+    return cascade.build_library(rows, reference, stub_scorers(), stub_strains(), settings)[0]
+
+
+def cascade_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small library, all five objectives."""
+    return _cascade(spark, sf_dir, cascade.Settings(total=60, top_k=5, shortlist=200))
+
+
+def cascade_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library of the default size."""
+    return _cascade(spark, sf_dir, cascade.Settings())
 
 
 def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,5 +173,5 @@ def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "quota_histogram_drift": (quota_table, QUOTA_TABLE), "select_quota_roundrobin": (quota_roundrobin, QUOTA_ROUNDROBIN), "select_forced_topup": (full_selection, FULL_SELECTION), "split_quotas": (split_quotas, SPLIT_QUOTAS),
-    "select_match_composition": (composition_match, None), "diverse_top_k": (diverse_top, None), "invariants_report": (invariants, INVARIANTS), "cell_centroids": (cell_centroids, None), "cascade_library": (cascade_library, None), "grouped_out_of_fold": (price_model, None),
+    "select_match_composition": (composition_match, None), "diverse_top_k": (diverse_top, None), "invariants_report": (invariants, INVARIANTS), "cell_centroids": (cell_centroids, None), "cascade_library": (cascade_library, None), "cascade_default": (cascade_default, None), "grouped_out_of_fold": (price_model, None),
 }
