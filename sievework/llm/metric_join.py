@@ -117,11 +117,15 @@ def _joined(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
                 near = near[:, met]
                 while True:
                     of = np.where(near, label[:, None], len(label)).min(axis=0)
-                    new = np.minimum(label, np.where(near, of, len(label)).min(axis=1))
-                    new = new[new]
-                    if (new == label).all():
+                    least_met = np.minimum(label, np.where(near, of, len(label)).min(axis=1))
+                    # whole trees move: the old root hooks to the least label that one of its homes meets
+                    hook = np.arange(len(label))
+                    np.minimum.at(hook, label, least_met)
+                    while (hook[hook] != hook).any():
+                        hook = hook[hook]
+                    if (hook[label] == label).all():
                         break
-                    label = new
+                    label = hook[label]
                 yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 1024][met]), pa.nulls(len(met), pa.int64()), pa.array(nodes[of])], names=["node", "links", "root"])
     yield from finish()
 

@@ -123,6 +123,33 @@ def test_metric_join(spark, monkeypatch):
     assert metric_join.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_metric_join_keeps_links_over_blocks():
+    """A home that moves to a smaller root takes its old root along, in whichever block that happens."""
+    import pyarrow as pa
+
+    def batch(nodes, vectors, looked):
+        n = len(nodes)
+        columns = [pa.array(["g"] * n), pa.array([0] * n), pa.array([0] * n, pa.int32()), pa.array([looked] * n), pa.array(nodes, pa.int64()), pa.array([1] * n, pa.int64()), pa.array(vectors, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["group", "cell", "chunk", "looked", "node", "weight", "vector"])
+
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    least = math.cos(math.radians(10.5))
+    # first x links r and h, then y links h to s, which takes r along
+    homes = batch([1, 2, 3], [at(0), at(40), at(20)], True)
+    parts = [batch([11], [at(30)], False), batch([12], [at(10)], False)]
+    pairs = [(a, b) for out in metric_join._joined(iter([homes, *parts]), least) for a, b in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)]
+    assert set(reach(pairs, [1, 2, 3, 11, 12]).values()) == {1}
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        angles = rng.uniform(0, 360, 40)
+        own = batch(list(range(20)), [at(a) for a in angles[:20]], True)
+        streams = [batch([20 + k], [at(angles[20 + k])], False) for k in range(20)]
+        pairs = [(a, b) for out in metric_join._joined(iter([own, *streams]), least) for a, b in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)]
+        gap = np.abs(angles[:20, None] - angles[20:])
+        links = [(int(i), int(20 + j)) for i, j in zip(*np.nonzero(np.minimum(gap, 360 - gap) <= 10.5), strict=True)]
+        assert reach(pairs, range(40)) == reach(links, range(40))
+
+
 def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
