@@ -15,7 +15,7 @@ from .arrow_text import slices
 from .common import bounded_batches, checkpoint, shared_dir, table
 from .tokenise import WordEncoder, tokenizer_file
 
-END = 49407  # <|endoftext|> of word_bpe_49k
+END = 0xFFFF  # beyond the ids of word_bpe_49k, so that no text encodes to it
 SHARD = 16 << 20  # most bytes of a file, but for a longer text
 BLOCK = 1 << 20  # bytes that one scan looks at
 
@@ -23,11 +23,17 @@ BLOCK = 1 << 20  # bytes that one scan looks at
 def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END) -> DataFrame:
     """Every text's ids and the end id, as unsigned 16 bit little endian, in flat files in ``folder``.
 
+    ``end`` lies beyond the vocabulary's ids, special tokens included: a text that holds one of
+    these literally encodes to it, which must not look like an end.
     ``folder`` is one that all executors share. A task writes files of some ``SHARD`` bytes,
     named by its attempt, so that an attempt that was lost leaves files nobody asks for.
     Returns the manifest, kept in the shared folder: file, doc_no (from 0 in its file), id.
     """
     vocabulary = tokenizer_file() if vocabulary is None else vocabulary
+    from tokenizers import Tokenizer
+
+    if not max(Tokenizer.from_str(vocabulary).get_vocab(with_added_tokens=True).values(), default=-1) < end <= 0xFFFF:
+        raise ValueError(f"separator {end} must be beyond the vocabulary's ids and fit 16 bits")
     source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

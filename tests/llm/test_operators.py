@@ -150,6 +150,20 @@ def test_metric_join_keeps_links_over_blocks():
         assert reach(pairs, range(40)) == reach(links, range(40))
 
 
+def test_token_files_of_texts_that_hold_the_end_token(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from sievework.llm.tokenise import tokenizer_file
+
+    whole = Tokenizer.from_str(tokenizer_file())
+    texts = ["one", "a<|endoftext|>b c", "two words", "<|endoftext|>", "three more words"]
+    manifest = token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), str(tmp_path))
+    got = manifest.join(token_files.scan_token_files(spark, str(tmp_path)), ["file", "doc_no"], "full").select("id", "n_tokens", "closed").collect()
+    assert sorted(map(tuple, got)) == [(i, len(whole.encode(t, add_special_tokens=False).ids), True) for i, t in enumerate(texts)]
+    with pytest.raises(ValueError, match="separator"):
+        token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path), end=49407)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
