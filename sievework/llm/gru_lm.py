@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy with a class-factored softmax, trained on all documents.
 
-Frequent words have a vector each and sit in classes of equal frequency. All other words
-belong to classes by their first two bytes; within such a class a word's probability is its
+The most frequent words, one for every 64 distinct ones of the training texts, have a vector
+and an output each; these head words sit in classes of equal frequency, as many as the square
+root of their number. All other words belong to classes by their first two bytes; within such a class a word's probability is its
 add-one share of the class's training tokens, with one type kept for words never seen.
 """
 
@@ -20,8 +21,9 @@ from .common import bounded_batches, table, written
 from .quality_cnn import fold
 from .shingles import LOWER, mix, span_hashes, word_spans
 
-HIDDEN = 24
-HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 32, 64
+HIDDEN = 32
+HEAD, HEAD_CLASSES, TAIL_CLASSES = 2048, 32, 64  # least room for head words and their classes
+PER_HEAD = 64  # distinct training words for each head word beyond these
 LISTED = 1 << 18  # most frequent words whose counts every task has: 5 MB
 END = np.uint64(0x51ED270B9F6A3C2D)  # stands for the end of a text
 STREAMS, STEPS = 512, 16
@@ -46,14 +48,15 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, class_tokens: np.ndarray, class_types: np.ndarray) -> None:
         """``hashes`` and so on by count, largest first; the class sums are over all training words."""
-        head = min(HEAD, int((counts >= 5).sum()))
+        head = min(max(HEAD, int(class_types.sum()) // PER_HEAD), int((counts >= 5).sum()))
+        self.room, self.classes = max(HEAD, head), max(HEAD_CLASSES, int(np.sqrt(head)))
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.head_id = np.where(order < head, order, -1).astype(np.int32)
         mass = counts[:head].cumsum() / max(counts[:head].sum(), 1)
-        group = np.minimum((mass - counts[:head] / max(counts[:head].sum(), 1)) * HEAD_CLASSES, HEAD_CLASSES - 1).astype(int)
+        group = np.minimum((mass - counts[:head] / max(counts[:head].sum(), 1)) * self.classes, self.classes - 1).astype(int)
         self.word_class = np.searchsorted(np.unique(group), group)
-        self.bounds = np.searchsorted(self.word_class, np.arange(HEAD_CLASSES + 1))
+        self.bounds = np.searchsorted(self.word_class, np.arange(self.classes + 1))
         self.head = head
         rest_tokens, rest_types = class_tokens.astype(np.int64).copy(), class_types.astype(np.int64).copy()
         np.subtract.at(rest_tokens, kinds[:head], counts[:head])
@@ -62,36 +65,36 @@ class Vocabulary:
         self.train_tokens, self.train_types = int(class_tokens.sum()), int(class_types.sum())
 
     def place(self, words: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(head id, or HEAD + tail class; count, or -1 where it isn't listed)."""
+        """(head id, or ``room`` + tail class; count, or -1 where it isn't listed)."""
         if not len(self.hashes):
-            return HEAD + kinds, np.full(len(words), -1, np.int64)
+            return self.room + kinds, np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         known = self.hashes[at] == words
         head = np.where(known, self.head_id[at], -1)
-        return np.where(head >= 0, head, HEAD + kinds).astype(np.int32), np.where(known, self.counts[at], -1)
+        return np.where(head >= 0, head, self.room + kinds).astype(np.int32), np.where(known, self.counts[at], -1)
 
 
 def fresh_model(vocabulary: Vocabulary, seed: int = 3) -> Model:
     """Random weights; output shifts start at the training frequencies."""
     rng = np.random.default_rng(seed)
     draw = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-    classes = HEAD_CLASSES + TAIL_CLASSES
+    room, classes = vocabulary.room, vocabulary.classes + TAIL_CLASSES
     by_class = np.full(classes, 0.5)
-    by_word = np.zeros(HEAD)
-    counts = np.zeros(HEAD)
+    by_word = np.zeros(room)
+    counts = np.zeros(room)
     listed = vocabulary.head_id >= 0
     counts[vocabulary.head_id[listed]] = vocabulary.counts[listed]
     np.add.at(by_class, vocabulary.word_class, counts[: vocabulary.head])
-    by_class[HEAD_CLASSES:] += 10**vocabulary.tail_total - 1
+    by_class[vocabulary.classes :] += 10**vocabulary.tail_total - 1
     by_word[: vocabulary.head] = np.log(counts[: vocabulary.head])
     return {
-        "embed": draw(0.3, HEAD + TAIL_CLASSES, HIDDEN),
+        "embed": draw(0.3, room + TAIL_CLASSES, HIDDEN),
         "input": draw(0.15, HIDDEN, 3 * HIDDEN),
         "recur": draw(0.12, HIDDEN, 3 * HIDDEN),
         "shift": np.concatenate([np.full(HIDDEN, -0.5), np.zeros(2 * HIDDEN)]).astype(np.float32),
         "class": draw(0.05, HIDDEN, classes),
         "class_shift": np.log(by_class / by_class.sum()).astype(np.float32),
-        "word": draw(0.05, HEAD, HIDDEN),
+        "word": draw(0.05, room, HIDDEN),
         "word_shift": by_word.astype(np.float32),
     }
 
@@ -119,7 +122,7 @@ def _forward(model: Model, inputs: np.ndarray, state: np.ndarray, keep: list | N
 
 
 def _class_of(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    table_ = np.concatenate([vocabulary.word_class, np.zeros(HEAD - vocabulary.head, int), HEAD_CLASSES + np.arange(TAIL_CLASSES)])
+    table_ = np.concatenate([vocabulary.word_class, np.zeros(vocabulary.room - vocabulary.head, int), vocabulary.classes + np.arange(TAIL_CLASSES)])
     return table_[ids]
 
 
@@ -140,8 +143,8 @@ def _log_likelihoods(model: Model, vocabulary: Vocabulary, states: np.ndarray, i
         grads["class_shift"] += weight.sum(axis=0)
         d_states = weight @ model["class"].T
     order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
+    edges = np.searchsorted(kind[order], np.arange(vocabulary.classes + 1))
+    for c in range(vocabulary.classes):
         lo, hi = vocabulary.bounds[c], vocabulary.bounds[c + 1]
         if edges[c] == edges[c + 1] or hi - lo < 2:
             continue
@@ -355,8 +358,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, vocabulary: Vocabula
         n = len(ends) - 1
         of = np.repeat(np.arange(n), np.diff(ends))
         partial = score_tokens(model, vocabulary, ids, ends)
-        tail = ids >= HEAD
-        partial -= np.bincount(of[tail], vocabulary.tail_total[ids[tail] - HEAD], n)
+        tail = ids >= vocabulary.room
+        partial -= np.bincount(of[tail], vocabulary.tail_total[ids[tail] - vocabulary.room], n)
         listed = counts >= 0
         own = np.log10(np.maximum(counts, 0) + 1.0)
         partial += np.bincount(of[tail & listed], own[tail & listed], n)

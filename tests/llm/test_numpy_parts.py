@@ -164,6 +164,21 @@ def test_language_model_gradients_and_probabilities():
     assert all((copy[k] == model[k]).all() for k in model)
 
 
+def test_head_grows_with_distinct_words():
+    n = 3 * gru_lm.HEAD * gru_lm.PER_HEAD
+    words, counts = np.arange(n, dtype=np.uint64) * np.uint64(7919), np.full(n, 5)
+    kinds = np.arange(n) % gru_lm.TAIL_CLASSES
+    vocabulary = gru_lm.Vocabulary(words, kinds, counts, np.bincount(kinds, counts).astype(int), np.bincount(kinds))
+    head = 3 * gru_lm.HEAD
+    ids, _ = vocabulary.place(words, kinds)
+    assert vocabulary.head == head and (ids[:head] == np.arange(head)).all() and (ids[head:] == vocabulary.room + kinds[head:]).all()
+    model = gru_lm.fresh_model(vocabulary)
+    states = np.random.default_rng(1).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
+    every = np.concatenate([np.arange(head), vocabulary.room + np.arange(gru_lm.TAIL_CLASSES)])
+    found = np.exp(gru_lm._log_likelihoods(model, vocabulary, np.repeat(states, len(every), axis=0), every)[0])
+    assert found.sum() == pytest.approx(1, abs=1e-3) and len(model["embed"]) == vocabulary.room + gru_lm.TAIL_CLASSES
+
+
 def test_state_is_carried_over_windows():
     texts = ["the cat sat on the mat and then " * 40]
     words, kinds, at = gru_lm.tokens(*laid(texts))
