@@ -15,11 +15,14 @@ from .arrow_text import slices, utf8
 from .common import bounded_batches, checkpoint, components, table, written
 from .shingles import shingle_sets
 
-FREQUENT = 1 << 16  # shingles that are ranked last by their count: 0.5 MB
+FREQUENT = 1 << 18  # most shingles that are ranked last by their count: 4 MB with the counts
+SALTS = 64  # parts of a frequent shingle's group
+SEEN = 1 << 20  # set digests that a task remembers: some 100 MB
 CHECK_COST = 20.0  # of checking a candidate, in prefix shingles
 SENT = 1 << 18  # most ids that are broadcast: 4 MB
-COSTLY = 256  # pairs of a node below which its whole set isn't indexed
-COSTLY_SHARE = 1.0  # the same, of its set's size
+COSTLY = 32  # pairs of a node, counted by shingle, up to which they are made
+COSTLY_SHARE = 0.25  # the same, of its set's size, so that all such pairs are no more than prefix shingles
+DEEP = 4  # matches asked of nodes whose prefix is taken from the whole set
 FAMILY = 1 << 20  # shingles of an index: 16 MB
 
 
@@ -79,19 +82,27 @@ def _often(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(shingle, node) for each prefix shingle, once for each different set of a slice."""
+    """(shingle, salt, node) for each prefix shingle, once for each different set that the task remembers.
+
+    The groups of frequent shingles are dealt out in ``SALTS`` parts, from 1 on; others are whole, as part 0.
+    """
+    seen: set[int] = set()
     for _, data, ends in slices(batches, "text"):
         sets, at = shingle_sets(data, ends, size)
-        shingle, node, seen = [], [], set()
+        shingle, node = [], []
         for i, _, found in prefixes(sets, at, percent, frequent, counts):
             digest = _digest(sets[at[i] : at[i + 1]])
             if digest not in seen:
                 seen.add(digest)
                 shingle.append(found)
                 node.append((digest, len(found)))
+        if len(seen) > SEEN:
+            seen.clear()
         if node:
             value, times = zip(*node, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle).view(np.int64)), pa.array(np.repeat(np.array(value, np.int64), times))], names=["shingle", "node"])
+            shingles, nodes = np.concatenate(shingle), np.repeat(np.array(value, np.int64), times)
+            salt = np.where(np.isin(shingles, frequent), 1 + (nodes & (SALTS - 1)), 0).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(salt), pa.array(nodes)], names=["shingle", "salt", "node"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -109,24 +120,47 @@ def _similar(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 
 def _sent(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose id is listed: the list is broadcast if it is counted to be small."""
+    """The different rows (id, text) of ``texts`` whose id is listed: the list is broadcast if it is counted to be small."""
     few = ids.limit(SENT + 1).count() <= SENT
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    listed = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return listed.groupBy("id", F.xxhash64("text"), F.octet_length("text")).agg(F.first("text").alias("text")).select("id", "text")
+
 
+def _frequent(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the highest counts, at most ``most``, by value, with the counts.
 
-def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(node, its whole set as bytes) of each text that has shingles."""
+    The least count that leaves no more comes from a histogram, so that nothing is sorted
+    and no task gathers more than what is kept.
+    """
+    step = F.floor(16 * F.log2("n"))
+    steps = found.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    room, least = most, None
+    for r in steps:
+        room -= r.n
+        if room < 0:
+            break
+        least = r.step
+    top = (found.where(step >= least) if least is not None else found.limit(0)).toPandas()
+    value = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], top["n"].to_numpy(np.int64)[order]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(node, its whole set) of each text that has shingles."""
     for _, data, ends in slices(batches, "text"):
         sets, at = shingle_sets(data, ends, size)
-        found = [sets[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a]
-        yield pa.RecordBatch.from_arrays([pa.array([_digest(np.frombuffer(x, np.uint64)) for x in found], pa.int64()), pa.array(found, pa.binary())], names=["node", "found"])
+        keep = np.flatnonzero(np.diff(at))
+        node = [_digest(sets[at[i] : at[i + 1]]) for i in keep.tolist()]
+        found = pa.ListArray.from_arrays(pa.array(np.append(at[keep], at[-1]).astype(np.int32)), pa.array(sets.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), found], names=["node", "found"])
 
 
 def _family_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of components that similar sets connect, no more than a tree of them for each chunk.
 
     Rows are (family, chunk, looked, component, found), by family and chunk, the chunk's own sets
-    first. They make an index of shingles; then they and the family's other sets pass it, and
+    first, each sorted. They make an index of shingles; then they and the family's other sets pass it, and
     each counts its matches with all sets of the chunk at once.
     """
     key, index, owner, sizes, of, root = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], {}
@@ -165,7 +199,7 @@ def _family_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         kind = batch.schema.field(3).type
         columns = [batch.column(i).to_pylist() for i in range(4)]
         for family, chunk, looked, component, data in zip(*columns, batch.column(4), strict=True):
-            own = np.frombuffer(data.as_buffer(), np.uint64)
+            own = data.values.to_numpy().view(np.uint64)
             if (family, chunk) != key:
                 if held:
                     close()
@@ -186,52 +220,107 @@ def _family_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in out], names=["a", "b"])
 
 
-def _across(rest: DataFrame, named: DataFrame, nodes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates across components within the groups of ``rest``: pairs (x, y, shared), and links (a, b) already checked.
+def _split(placed: DataFrame, name: str) -> DataFrame:
+    """Of the rows (shingle, node, n, asked, component) those of groups that hold several components, with the group's ``size``."""
+    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return written(placed.join(split.select("shingle", "size"), "shingle"), name)
+
+
+def _cheap(rest: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (x, y) across components within the groups of ``rest``, and the nodes that make too many: (node, n, component).
 
-    A node costs as many pairs as its groups have members. Pairs with a node that costs at
-    most ``COSTLY``, or no more than its set is long, are made. The others' prefix is lengthened to the whole set: costly nodes
-    that groups connect are a family, and are compared within it by an index of all their
-    shingles, ``FAMILY`` shingles at a time, past which the whole family streams. Only links
-    that connect components leave the task.
+    A node costs as many pairs, counted once for each shingle, as its groups have other
+    members. Those with a node that costs at most ``COSTLY``, or ``COSTLY_SHARE`` of its set's
+    size, are made and summed up. A pair stays if it shares as many prefix shingles as the
+    less demanding node asks for, and if the sets' sizes allow the similarity: beyond the
+    prefix that ends first, it can share at most the rest of that set.
     """
-    id_type = named.schema["id"].dataType.simpleString()
     cost = rest.groupBy("node").agg(F.sum(F.col("size") - 1).alias("cost"), F.first("n").alias("n"), F.first("component").alias("component"))
     costly = checkpoint(cost.where(F.col("cost") > F.greatest(F.lit(COSTLY), COSTLY_SHARE * F.col("n"))).select("node", "n", "component"))
     marked = rest.join(costly.select("node", F.lit(True).alias("costly")), "node", "left").withColumn("costly", F.coalesce("costly", F.lit(False)))
+    marked = marked.withColumn("rest", -F.floor(-percent * F.col("n") / 100) - F.col("asked"))
     left, right = marked.where("not costly").alias("l"), marked.alias("r")
     alike = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") != F.col("r.component"))
     sizes = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
-    some = left.join(right, alike & sizes & (F.col("r.costly") | (F.col("l.node") < F.col("r.node")))).groupBy(F.col("l.node").alias("x"), F.col("r.node").alias("y")).agg(F.count("*").alias("shared"))
+    overlap = -F.floor(-percent * (F.col("l.n") + F.col("r.n")) / (100 + percent))
+    needed = F.greatest(F.least("l.asked", "r.asked"), overlap - F.greatest("l.rest", "r.rest")).cast("int")
+    pairs = left.join(right, alike & sizes & (F.col("r.costly") | (F.col("l.node") < F.col("r.node"))))
+    pairs = pairs.select(F.col("l.node").alias("x"), F.col("r.node").alias("y"), needed.alias("needed"))
+    return pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).where("shared >= needed").select("x", "y"), costly
+
+
+def _sets(nodes: DataFrame, reps: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """The rows (node, n, component) of ``nodes`` with the node's whole set in ``found``."""
+    wanted = nodes.join(reps, "node").select(F.col("rep").alias("id")).distinct()
+    sets = _sent(wanted, named).mapInArrow(lambda it: _whole(it, size), "node bigint, found array<bigint>").dropDuplicates(["node"])
+    return written(sets.join(nodes, "node"), "whole-sets")
+
+
+def _deepened(sets: DataFrame, percent: int) -> DataFrame:
+    """Prefix rows of nodes by the order of their whole sets: shingles of one component alone first, then by count.
+
+    The counts are exact, over all sets given. The first shingles can't match across
+    components; a node that has fewer others than a link shares has no prefix at all.
+    """
+    rows = sets.select("node", "n", "component", F.explode("found").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", "c")
+    own = Window.partitionBy("node")
+    least = -F.floor(-percent * F.col("n") / 100)
+    asked = F.least(F.lit(DEEP), least).cast("int")
+    ranked = rows.join(counts, "shingle").withColumn("rank", F.row_number().over(own.orderBy("c", "shingle"))).withColumn("useful", F.count("*").over(own))
+    return ranked.where(F.col("rank") <= F.col("useful") - least + asked).select("shingle", "node", "n", asked.alias("asked"), "component")
+
+
+def _families(costly: DataFrame, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of components among nodes that groups of ``rest`` connect: each family is compared by an index of its shingles.
 
-    grouped = marked.where("costly").select("shingle", "node")
+    An index holds ``FAMILY`` shingles; past it the whole family streams. Only links that
+    connect components leave the task.
+    """
+    id_type = costly.schema["component"].dataType.simpleString()
+    grouped = rest.join(costly.select("node"), "node", "left_semi").select("shingle", "node")
     leads = grouped.groupBy("shingle").agg(F.min("node").alias("lead"))
     family = components(grouped.join(leads, "shingle").select(F.col("node").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("component", "family")
     placed = checkpoint(costly.join(family, "node"))
     chunks = placed.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY).cast("int").alias("chunks"))
-    reps = placed.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("id")).distinct()
-    sets = _sent(reps, named).mapInArrow(lambda it: _packed(it, size), "node bigint, found binary")
-    members = sets.join(placed, "node").join(chunks, "family")
+    members = sets.select("node", "found").join(placed, "node").join(chunks, "family")
     own = F.pmod(F.xxhash64("node"), "chunks").cast("int")
     dealt = members.select("family", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "component", "found")
     partitions = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = checkpoint(
+    return checkpoint(
         dealt.select("family", "chunk", (F.col("own") == F.col("chunk")).alias("looked"), "component", "found")
         .repartition(partitions, "family", "chunk").sortWithinPartitions("family", "chunk", F.desc("looked"))
         .mapInArrow(lambda it: _family_links(it, percent), f"a {id_type}, b {id_type}")
     )
-    return some, links
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, often: int = 8) -> DataFrame:
+def _across(rest: DataFrame, named: DataFrame, reps: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (x, y) of nodes across components, and links (a, b) of components already checked (None: none).
+
+    Nodes that would make too many pairs have their prefix lengthened: it is taken from the
+    whole set, in the order of the exact counts among such nodes, and asks for ``DEEP``
+    matches. Those that still make too many are compared family by family.
+    """
+    pairs, costly = _cheap(rest, percent)
+    if costly.isEmpty():
+        return pairs, None
+    sets = _sets(costly, reps, named, size)
+    deep = _split(_deepened(sets, percent), "deep-prefixes")
+    more, still = _cheap(deep, percent)
+    return pairs.unionByName(more).distinct(), None if still.isEmpty() else _families(still, deep, sets, percent)
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, often: int = 2) -> DataFrame:
     """A row per document: id, n_shingles, component_id, node.
 
     Documents link when their sets of distinct ``size``-word shingles have a Jaccard
     similarity of ``percent`` / 100 or more; ``component_id`` is the smallest id that links
     reach. The steps, none of which drops a link between components:
 
-    1. Shingles frequent in a slice of the input are counted up, and the ``FREQUENT`` most
-       frequent ones come last in the global order. This affects only the speed.
+    1. Shingles that two sets of a slice of the input hold are counted up over the input, and
+       the ``FREQUENT`` most frequent ones come last in the global order. A shingle of g texts
+       among s slices is seen where two of them share a slice, so from some g * g = 2 * s on.
+       This affects only the speed.
     2. Documents with equal sets are one node, by a 64-bit digest of the set; its smallest
        id stands for it.
     3. Prefix shingles are grouped. In each group every node is paired with the smallest
@@ -240,11 +329,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        the whole texts, and components are taken.
     5. Groups that still hold several components give the pairs across components, which are
        checked alike if they share enough prefix shingles and their sizes allow it. Nodes
-       with many such pairs have their prefix lengthened to the whole set, and are compared
-       within their families without making the pairs. Links of step 4 and 5 make the result.
+       with many such pairs have their prefix lengthened: it is chosen anew from the whole
+       set, by exact counts. What is still costly then is compared within families without
+       making the pairs. Links of step 4 and 5 make the result.
 
     Texts move, not sets, as they are smaller. A null or empty text has no shingles and
-    links with nothing. Rows with an id that occurs again count as one document of several
+    links with nothing. A long text costs memory in proportion, some 30 bytes a byte in a
+    worker; its set is one row. Rows with an id that occurs again count as one document of several
     texts; rows without an id are returned with their count and no component. Repeated rows
     are returned as often; an empty table gives no rows; other columns are not read.
     """
@@ -252,39 +343,32 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     named = source.where(F.col("id").isNotNull())
-    top = named.mapInArrow(lambda it: _often(it, size, often), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    by_value = np.argsort(top["shingle"].to_numpy(np.int64).view(np.uint64))
-    frequent = top["shingle"].to_numpy(np.int64).view(np.uint64)[by_value]
-    counts = top["n"].to_numpy(np.int64)[by_value]
+    many = written(named.mapInArrow(lambda it: _often(it, size, often), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent-shingles")
+    frequent, counts = _frequent(many, FREQUENT)
 
     described = checkpoint(source.mapInArrow(lambda it: _described(it, size, percent, frequent, counts), f"id {id_type}, n_shingles bigint, node bigint, asked int"))
     nodes = checkpoint(
         described.where("id is not null and node is not null")
         .groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.max("asked").alias("asked"))
     )
-    prefix = named.mapInArrow(lambda it: _prefix_rows(it, size, percent, frequent, counts), "shingle bigint, node bigint")
-    group = Window.partitionBy("shingle")
-    shared = written(
-        prefix.withColumn("lead", F.min("node").over(group)).withColumn("last", F.max("node").over(group)).where("lead <> last").distinct(),
+    prefix = named.mapInArrow(lambda it: _prefix_rows(it, size, percent, frequent, counts), "shingle bigint, salt tinyint, node bigint")
+    part = Window.partitionBy("shingle", "salt")
+    parts = written(
+        prefix.withColumn("lead", F.min("node").over(part)).withColumn("last", F.max("node").over(part)).where("salt > 0 or lead <> last").distinct(),
         "shared-prefixes",
     )
-    def links(pairs: DataFrame, one_each: bool) -> DataFrame:
-        """Of the candidate pairs (x, y) of nodes with the shingles they share, the links (a, b) of ids.
-
-        What a pair can share beyond the prefix that ends first is at most the rest of that set.
-        """
-        rest = (-F.floor(-percent * F.col("n") / 100) - F.col("asked")).alias("rest")
-        x = nodes.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("n").alias("n_x"), F.col("asked").alias("asked_x"), rest.alias("rest_x"))
-        y = nodes.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("n").alias("n_y"), F.col("asked").alias("asked_y"), rest.alias("rest_y"))
-        wanted = (
-            pairs.join(x, "x").join(y, "y")
-            .where((F.col("shared") >= F.least("asked_x", "asked_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
-            .where((100 + percent) * (F.col("shared") + F.greatest("rest_x", "rest_y")) >= percent * (F.col("n_x") + F.col("n_y")))
-            .where("a <> b")
+    hot = parts.where("salt > 0")
+    leads = hot.groupBy("shingle").agg(F.min("lead").alias("lead"), F.max("last").alias("last")).where("lead <> last").select("shingle", "lead")  # at most FREQUENT rows
+    shared = parts.where("salt = 0").select("shingle", "node", "lead").unionByName(hot.select("shingle", "node").join(F.broadcast(leads), "shingle"))
+
+    reps = nodes.select("node", "rep")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Of the candidate pairs (x, y) of nodes, the links (a, b) of their ids, by their whole texts."""
+        wanted = checkpoint(
+            pairs.join(reps.select(F.col("node").alias("x"), F.col("rep").alias("a")), "x")
+            .join(reps.select(F.col("node").alias("y"), F.col("rep").alias("b")), "y").where("a <> b").select("a", "b").distinct()
         )
-        if one_each:
-            wanted = wanted.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-        wanted = checkpoint(wanted.select("a", "b"))
         texts = _sent(wanted.select(F.col("a").alias("id")).unionByName(wanted.select(F.col("b").alias("id"))).distinct(), named)
         return checkpoint(
             wanted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -294,14 +378,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         )
 
     stars = shared.where("node <> lead").groupBy(F.col("node").alias("x"), F.col("lead").alias("y")).agg(F.count("*").alias("shared"))
-    found = links(stars, one_each=True)
+    rest = -F.floor(-percent * F.col("n") / 100) - F.col("asked")
+    x, y = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("asked").alias(f"asked_{k}"), rest.alias(f"rest_{k}")) for k in "xy")
+    stars = (
+        stars.join(x, "x").join(y, "y")
+        .where((F.col("shared") >= F.least("asked_x", "asked_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+        .where((100 + percent) * (F.col("shared") + F.greatest("rest_x", "rest_y")) >= percent * (F.col("n_x") + F.col("n_y")))
+        .groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", "best.y")
+    )
+    found = links(stars)
     first = components(found)
-    placed = shared.select("shingle", "node").join(nodes.select("node", "rep", "n"), "node").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("shingle", "node", "n", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    rest = written(placed.join(split.select("shingle", "size"), "shingle"), "split-prefixes")
-    across, checked = _across(rest, named, nodes, size, percent)
-    more = links(across, one_each=False).unionByName(checked)
+    placed = shared.select("shingle", "node").join(nodes, "node").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = _split(placed.select("shingle", "node", "n", "asked", F.coalesce("component", "rep").alias("component")), "split-prefixes")
+    across, checked = _across(rest, named, reps, size, percent)
+    more = links(across) if checked is None else links(across).unionByName(checked)
     last = components(found.unionByName(more)) if not more.isEmpty() else first
     placed = nodes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     return described.join(placed, "node", "left").select(

@@ -108,6 +108,53 @@ def test_jaccard(docs, none, monkeypatch, costly):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def shingle_links(data):
+    sets = {}
+    for i, t in data:
+        w = split(t.lower() if t else t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return sets, [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and 100 * len(x & y) >= 75 * len(x | y)]
+
+
+@pytest.mark.parametrize("costly", [32, 3, -1])
+def test_jaccard_with_shared_passages(spark, monkeypatch, costly):
+    """Passages that many texts share, texts made of them, and large groups of near copies, in each way of comparing them."""
+    monkeypatch.setattr(jaccard_join, "COSTLY", costly)
+    monkeypatch.setattr(jaccard_join, "COSTLY_SHARE", 0.0 if costly < 32 else 0.25)
+    monkeypatch.setattr(jaccard_join, "FAMILY", 700)
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    passages = [word(30) for _ in range(6)]
+    texts = [word(int(rng.integers(5, 90))) + " " + passages[i % 3] for i in range(60)]
+    texts += [" ".join(passages[k] for k in rng.permutation(6)[:5]) + " " + word(int(rng.integers(0, 12))) for _ in range(40)]
+    base = word(80).split()
+    for _ in range(50):
+        own = list(base)
+        for k in rng.integers(0, 80, 3):
+            own[k] = f"e{rng.integers(0, 9)}"
+        texts.append(" ".join(own))
+    data = list(enumerate(texts))
+    sets, links = shingle_links(data)
+    part = reach(links, sets)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(sets[i]), part[i]) for i in sets}
+
+
+def test_jaccard_of_many_equal_rows(spark):
+    """Rows that repeat, id and all, are one document, and cost no more than one each."""
+    data = [(1, prose(5, 60))] * 4000 + [(2, prose(5, 60) + " more"), (None, prose(5, 60)), (3, prose(6, 60))]
+    found = Counter((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect())
+    assert found == {(1, 1): 4000, (2, 1): 1, (None, None): 1, (3, 3): 1}
+
+
+def test_the_most_frequent_shingles(spark):
+    """All of the least count that leaves room, and none where even the first step has too many."""
+    frame = spark.createDataFrame([(i, 2 if i < 50 else 90 + i) for i in range(60)], "shingle long, n long")
+    assert [len(jaccard_join._frequent(frame, most)[0]) for most in (60, 59, 10, 0)] == [60, 10, 10, 0]
+    value, count = jaccard_join._frequent(frame, 10)
+    assert value.tolist() == list(range(50, 60)) and count.tolist() == list(range(140, 150))
+
+
 def test_metric_join(spark, monkeypatch):
     monkeypatch.setattr(metric_join, "CELL", 8)
     monkeypatch.setattr(metric_join, "CHUNK", 5)
