@@ -1,33 +1,36 @@
 """A gated recurrent language model in numpy with a class-factored softmax, trained on all documents.
 
-The most frequent words, one for every 64 distinct ones of the training texts, have a vector
-and an output each; these head words sit in classes of equal frequency, as many as the square
-root of their number. All other words belong to classes by their first two bytes; within such a class a word's probability is its
+The most frequent words, one for every 512 distinct ones of the training texts, have a vector
+and an output each; these head words sit in classes of equal frequency, as many as 0.6 times
+the square root of their number. All other words belong to classes by their first two bytes; within such a class a word's probability is its
 add-one share of the class's training tokens, with one type kept for words never seen.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from heapq import heapify, heapreplace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .common import bounded_batches, table, written
+from .common import bounded_batches, most_frequent, table, written
 from .quality_cnn import fold
 from .shingles import LOWER, mix, span_hashes, word_spans
 
 HIDDEN = 32
 HEAD, HEAD_CLASSES, TAIL_CLASSES = 2048, 32, 64  # least room for head words and their classes
-PER_HEAD = 64  # distinct training words for each head word beyond these
+PER_HEAD = 512  # distinct training words for each head word beyond these
 LISTED = 1 << 18  # most frequent words whose counts every task has: 5 MB
 END = np.uint64(0x51ED270B9F6A3C2D)  # stands for the end of a text
 STREAMS, STEPS = 512, 16
+STRETCH = 4096  # tokens after which learning starts a text anew; scoring never does
 TOKENS = 4 << 20  # tokens that a task holds at a time
+ONES = np.ones(1 << 18, np.float32)  # no fewer than the listed words or a window's tokens
 Model = dict[str, np.ndarray]
 
 
@@ -49,15 +52,17 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, class_tokens: np.ndarray, class_types: np.ndarray) -> None:
         """``hashes`` and so on by count, largest first; the class sums are over all training words."""
         head = min(max(HEAD, int(class_types.sum()) // PER_HEAD), int((counts >= 5).sum()))
-        self.room, self.classes = max(HEAD, head), max(HEAD_CLASSES, int(np.sqrt(head)))
+        self.room, self.classes = max(HEAD, head), max(HEAD_CLASSES, int(0.6 * np.sqrt(head)))
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.head_id = np.where(order < head, order, -1).astype(np.int32)
         mass = counts[:head].cumsum() / max(counts[:head].sum(), 1)
         group = np.minimum((mass - counts[:head] / max(counts[:head].sum(), 1)) * self.classes, self.classes - 1).astype(int)
         self.word_class = np.searchsorted(np.unique(group), group)
-        self.bounds = np.searchsorted(self.word_class, np.arange(self.classes + 1))
+        self.bounds = np.searchsorted(self.word_class, np.arange(self.classes + 1)).tolist()
+        self.class_of = np.concatenate([self.word_class, np.zeros(self.room - head, int), self.classes + np.arange(TAIL_CLASSES)]).astype(np.int16)
         self.head = head
+        self.tables: list[tuple[int, np.ndarray]] = []
         rest_tokens, rest_types = class_tokens.astype(np.int64).copy(), class_types.astype(np.int64).copy()
         np.subtract.at(rest_tokens, kinds[:head], counts[:head])
         np.subtract.at(rest_types, kinds[:head], 1)
@@ -66,12 +71,34 @@ class Vocabulary:
 
     def place(self, words: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(head id, or ``room`` + tail class; count, or -1 where it isn't listed)."""
-        if not len(self.hashes):
-            return self.room + kinds, np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        known = self.hashes[at] == words
-        head = np.where(known, self.head_id[at], -1)
-        return np.where(head >= 0, head, self.room + kinds).astype(np.int32), np.where(known, self.counts[at], -1)
+        at = self.find(words)
+        head = np.where(at >= 0, self.head_id[at] if len(self.head_id) else -1, -1)
+        return np.where(head >= 0, head, self.room + kinds).astype(np.int32), np.where(at >= 0, self.counts[at] if len(self.counts) else -1, -1)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word among the listed ones, or -1: hash tables, each for those that had no room in the ones before."""
+        if not self.tables:
+            left = np.arange(len(self.hashes))
+            while len(left):
+                bits = max(1, int(4 * len(left)).bit_length())
+                slot = self._slot(self.hashes[left], len(self.tables), bits)
+                table_ = np.full(1 << bits, -1, np.int32)
+                table_[slot[::-1]] = left[::-1]
+                left = left[table_[slot] != left]
+                self.tables.append((bits, table_))
+        found = np.full(len(words), -1, np.int32)
+        at: np.ndarray | slice = slice(None)
+        for k, (bits, table_) in enumerate(self.tables):
+            own = words[at]
+            place = table_[self._slot(own, k, bits)]
+            hit = (place >= 0) & (self.hashes[place] == own)
+            found[at] = np.where(hit, place, -1)
+            at = np.flatnonzero(~hit) if k == 0 else at[~hit]
+        return found
+
+    @staticmethod
+    def _slot(words: np.ndarray, k: int, bits: int) -> np.ndarray:
+        return ((mix(words + np.uint64(k)) if k else words) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def fresh_model(vocabulary: Vocabulary, seed: int = 3) -> Model:
@@ -99,170 +126,276 @@ def fresh_model(vocabulary: Vocabulary, seed: int = 3) -> Model:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def _in_thirds(weights: np.ndarray) -> np.ndarray:
+    """(3, rows, HIDDEN): what the update gate, the reset gate and the fresh state take; the gates' halved.
 
+    The logistic function of x is (1 + tanh(x / 2)) / 2; and thirds that lie apart are
+    contiguous in all that follows.
+    """
+    out = np.ascontiguousarray(weights.reshape(-1, 3, HIDDEN).swapaxes(0, 1))
+    out[:2] *= 0.5
+    return out
+
+
+def _forward(recur: np.ndarray, inputs: np.ndarray, state: np.ndarray, begins: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The states before each of the steps, and after the last: (steps + 1, streams, HIDDEN).
 
-def _forward(model: Model, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """The states before each of the steps, and after the last: (steps + 1, streams, HIDDEN)."""
-    steps, h = len(inputs), HIDDEN
+    A text that ``begins`` at a step has a state of zeros there. ``recur`` and ``inputs``,
+    (3, steps, streams, HIDDEN), are ``_in_thirds``; ``inputs`` become the gates and the fresh
+    states. With ``keep`` what the reset gate is multiplied with is returned too.
+    """
+    steps = inputs.shape[1]
     states = np.empty((steps + 1, *state.shape), np.float32)
     states[0] = state
-    if keep is not None:
-        keep += [np.empty((steps, len(state), w), np.float32) for w in (2 * h, h, h)]
+    mine, reset = np.empty((3, *state.shape), np.float32), np.empty_like(state)
+    kept = np.empty((steps, *state.shape), np.float32) if keep else None
+    some = begins.any(axis=1).tolist()
     for t in range(steps):
-        mine = states[t] @ model["recur"]
-        gates = _sigmoid(inputs[t, :, : 2 * h] + mine[:, : 2 * h])
-        z, r = gates[:, :h], gates[:, h:]
-        fresh = np.tanh(inputs[t, :, 2 * h :] + r * mine[:, 2 * h :])
-        states[t + 1] = states[t] + z * (fresh - states[t])
-        if keep is not None:
-            keep[0][t], keep[1][t], keep[2][t] = gates, fresh, mine[:, 2 * h :]
-    return states
-
-
-def _class_of(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    table_ = np.concatenate([vocabulary.word_class, np.zeros(vocabulary.room - vocabulary.head, int), vocabulary.classes + np.arange(TAIL_CLASSES)])
-    return table_[ids]
+        now, gates, fresh, step = states[t], inputs[:2, t], inputs[2, t], states[t + 1]
+        if some[t]:
+            now[begins[t]] = 0
+        np.matmul(now, recur, out=mine)
+        gates += mine[:2]
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        np.multiply(gates[1], mine[2], out=reset)
+        fresh += reset
+        np.tanh(fresh, out=fresh)
+        np.subtract(fresh, now, out=step)
+        step *= gates[0]
+        step += now
+        if kept is not None:
+            kept[t] = mine[2]
+    return states, kept
+
+
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exponentials, made in place, their row sums, what was taken off each row first)."""
+    off: np.ndarray | float = 0.0
+    if logits.size and logits.max() > 60:
+        off = logits.max(axis=1)
+        logits -= off[:, None]
+    weight = np.exp(logits, out=logits)
+    return weight, weight @ ONES[: weight.shape[1]], off
 
 
 def _log_likelihoods(model: Model, vocabulary: Vocabulary, states: np.ndarray, ids: np.ndarray, grads: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """ln of each token's class and, for head words, of the word in it; with ``grads``, the loss's gradient by state too."""
-    kind = _class_of(vocabulary, ids)
-    logits = states @ model["class"] + model["class_shift"]
-    logits -= logits.max(axis=1, keepdims=True)
-    weight = np.exp(logits)
-    total = weight.sum(axis=1)
+    """ln of each token's class and, for head words, of the word in it; with ``grads``, the loss's gradient by state too.
+
+    Tokens are put in order of their classes, so that each class is one stretch.
+    """
+    kind = vocabulary.class_of[ids]
+    order = np.argsort(kind, kind="stable")
+    kind, ids, states = kind[order], ids[order], states[order]
     rows = np.arange(len(ids))
-    out = logits[rows, kind] - np.log(total)
+    logits = states @ model["class"]
+    logits += model["class_shift"]
+    out = logits[rows, kind]
+    weight, total, off = _exp(logits)
+    out -= np.log(total) + off
     d_states = None
     if grads is not None:
-        weight /= total[:, None]
+        weight *= (1 / total)[:, None]
         weight[rows, kind] -= 1
-        grads["class"] += states.T @ weight
-        grads["class_shift"] += weight.sum(axis=0)
+        grads["class"] = states.T @ weight
+        grads["class_shift"] = ONES[: len(weight)] @ weight
         d_states = weight @ model["class"].T
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(vocabulary.classes + 1))
+    edges = np.searchsorted(kind, np.arange(vocabulary.classes + 1)).tolist()
+    word, word_shift, bounds = model["word"], model["word_shift"], vocabulary.bounds
     for c in range(vocabulary.classes):
-        lo, hi = vocabulary.bounds[c], vocabulary.bounds[c + 1]
-        if edges[c] == edges[c + 1] or hi - lo < 2:
+        lo, hi, a, b = bounds[c], bounds[c + 1], edges[c], edges[c + 1]
+        if a == b or hi - lo < 2:
             continue
-        at = order[edges[c] : edges[c + 1]]
-        own = states[at]
-        logits = own @ model["word"][lo:hi].T + model["word_shift"][lo:hi]
-        logits -= logits.max(axis=1, keepdims=True)
-        weight = np.exp(logits)
-        total = weight.sum(axis=1)
-        of = ids[at] - lo
-        out[at] += logits[np.arange(len(at)), of] - np.log(total)
+        own = states[a:b]
+        logits = own @ word[lo:hi].T
+        logits += word_shift[lo:hi]
+        of = ids[a:b] - lo
+        mine = logits[rows[: b - a], of]
+        weight, total, off = _exp(logits)
+        out[a:b] += mine - np.log(total) - off
         if grads is not None:
-            weight /= total[:, None]
-            weight[np.arange(len(at)), of] -= 1
-            grads["word"][lo:hi] += weight.T @ own
-            grads["word_shift"][lo:hi] += weight.sum(axis=0)
-            d_states[at] += weight @ model["word"][lo:hi]
-    return out, d_states
-
-
-def _batches(ids: np.ndarray, ends: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-    """Groups of ``STREAMS`` texts of like length: (their numbers, their windows of (ids, mask, streams still running)).
-
-    Longest first, so that the streams that still run are always the first ones.
+            weight *= (1 / total)[:, None]
+            weight[rows[: b - a], of] -= 1
+            np.matmul(weight.T, own, out=grads["word"][lo:hi])
+            np.matmul(ONES[: b - a], weight, out=grads["word_shift"][lo:hi])
+            d_states[a:b] += weight @ word[lo:hi]
+    back = np.empty_like(order)
+    back[order] = rows
+    return out[back], None if d_states is None else d_states[back]
+
+
+def _windows(ends: np.ndarray, steps: int, seed: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows over streams of texts laid end to end: (places of the tokens, (steps, streams); mask; where texts begin).
+
+    Texts go, longest first, to the least loaded of ``STREAMS`` streams, and stand there in that
+    order, or a random one by ``seed``. Streams go longest first, so that those that still run
+    are always the first ones; where few do, a window of scoring is longer.
     """
     sizes = np.diff(ends)
-    order = np.argsort(-sizes, kind="stable")
-    for at in range(0, len(order), STREAMS):
-        rows = order[at : at + STREAMS]
-        most = int(sizes[rows[0]])
-        windows = []
-        for lo in range(0, most, steps):
-            live = int(np.searchsorted(-sizes[rows], -lo, side="left"))
-            width = min(steps, most - lo)
-            place = lo + np.arange(width)[:, None]
-            mask = place < sizes[rows[:live]]
-            windows.append((ids[np.minimum(ends[rows[:live]] + place, len(ids) - 1)], mask, np.arange(live)))
-        yield rows, windows
+    count = min(STREAMS, len(sizes))
+    loads = [(0, k) for k in range(count)]
+    heapify(loads)
+    order, stream = np.argsort(-sizes, kind="stable"), np.zeros(len(sizes), np.int64)
+    for i, n in zip(order.tolist(), sizes[order].tolist(), strict=True):
+        load, k = loads[0]
+        stream[i] = k
+        heapreplace(loads, (load + n, k))
+    key = -sizes if seed is None else np.random.default_rng(seed).permutation(len(sizes))
+    totals = np.bincount(stream, sizes, count).astype(np.int64)
+    rank = np.argsort(np.argsort(-totals, kind="stable"), kind="stable")
+    totals = np.sort(totals)[::-1]
+    seq = np.lexsort((key, rank[stream]))
+    first = np.cumsum(sizes[seq]) - sizes[seq]
+    at = np.repeat(ends[seq] - first, sizes[seq]) + np.arange(int(sizes.sum()))
+    begins = np.zeros(len(at), bool)
+    begins[first] = True
+    start = np.cumsum(totals) - totals
+    lo = 0
+    while count and lo < totals[0]:
+        live = int(np.searchsorted(-totals, -lo, side="left"))
+        width = int(min(steps if seed is not None else max(steps, min(STREAMS * steps // live, STRETCH)), totals[0] - lo))
+        place = lo + np.arange(width)[:, None]
+        mask = place < totals[:live]
+        where = start[:live] + np.minimum(place, totals[:live] - 1)
+        yield at[where], mask, begins[where] & mask
+        lo += width
 
 
 def score_tokens(model: Model, vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """log10 of each text's classes and head words, the state carried from window to window to its end."""
     found = np.zeros(len(ends) - 1)
-    ready = (model["embed"] @ model["input"] + model["shift"]).astype(np.float32)
-    for rows, windows in _batches(ids, ends, 4 * STEPS):
-        state = np.zeros((len(rows), HIDDEN), np.float32)
-        for window, mask, live in windows:
-            states = _forward(model, ready[window], state[: len(live)])
-            state = states[-1]
-            stream = np.broadcast_to(live, mask.shape)[mask]
-            part, _ = _log_likelihoods(model, vocabulary, states[:-1][mask], window[mask])
-            found[rows] += np.bincount(stream, part, len(rows))
+    of = np.repeat(np.arange(len(found)), np.diff(ends))
+    ready, recur = _in_thirds((model["embed"] @ model["input"] + model["shift"]).astype(np.float32)), _in_thirds(model["recur"])
+    state = np.zeros((STREAMS, HIDDEN), np.float32)
+    for at, mask, begins in _windows(ends, 2 * STEPS):
+        window = ids[at]
+        states, _ = _forward(recur, np.take(ready, window, axis=1), state[: window.shape[1]], begins)
+        state = states[-1]
+        part, _ = _log_likelihoods(model, vocabulary, states[:-1][mask], window[mask])
+        found += np.bincount(of[at[mask]], part, len(found))
     return found / np.log(10)
 
 
 class Trainer:
-    """Adam over windows of ``STEPS`` tokens of ``STREAMS`` texts; gradients stop at a window's start, states don't."""
+    """Adam over windows of ``STEPS`` tokens of ``STREAMS`` texts; gradients stop at a window's start, states don't.
+
+    The weights but for the vectors lie in one array, which the optimiser goes through in
+    blocks that stay in the cache; of the vectors, those of a window's words are changed.
+    """
 
     def __init__(self, model: Model, vocabulary: Vocabulary, rate: float) -> None:
-        self.model, self.vocabulary, self.rate = {k: v.copy() for k, v in model.items()}, vocabulary, rate
-        self.first = {k: np.zeros_like(v) for k, v in model.items()}
-        self.second = {k: np.zeros_like(v) for k, v in model.items()}
-        self.step = 0
+        self.vocabulary, self.rate, self.step = vocabulary, rate, 0
+        dense = [k for k in sorted(model) if k != "embed"]
+        self.flat = np.concatenate([model[k].ravel() for k in dense]).astype(np.float32)
+        self.slope = np.zeros_like(self.flat)
+        self.model, self.grads = {"embed": model["embed"].copy()}, {}
+        at = 0
+        for k in dense:
+            to = at + model[k].size
+            self.model[k], self.grads[k] = self.flat[at:to].reshape(model[k].shape), self.slope[at:to].reshape(model[k].shape)
+            at = to
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.first_embed, self.second_embed = np.zeros_like(model["embed"]), np.zeros_like(model["embed"])
 
     def learn(self, ids: np.ndarray, ends: np.ndarray, seed: int = 0) -> None:
-        """One pass over some texts."""
-        groups = list(_batches(ids, ends, STEPS))
-        for g in np.random.default_rng(seed).permutation(len(groups)):
-            rows, windows = groups[g]
-            state = np.zeros((len(rows), HIDDEN), np.float32)
-            for window, mask, live in windows:
-                state = self._window(window, mask, state[: len(live)])
-
-    def _window(self, window: np.ndarray, mask: np.ndarray, state: np.ndarray) -> np.ndarray:
-        model, h = self.model, HIDDEN
-        seen = model["embed"][window]
-        kept: list = []
-        states = _forward(model, seen @ model["input"] + model["shift"], state, kept)
-        grads = {k: np.zeros_like(v) for k, v in model.items()}
-        n = max(int(mask.sum()), 1)
-        _, d_out = _log_likelihoods(model, self.vocabulary, states[:-1][mask], window[mask], grads)
-        by_state = np.zeros((len(window), *state.shape), np.float32)
-        by_state[mask] = d_out
-        gates, fresh, mine = kept
-        z, r = gates[..., :h], gates[..., h:]
-        to_z, to_fresh, to_r, stay = (fresh - states[:-1]) * z * (1 - z), z * (1 - fresh * fresh), mine * r * (1 - r), 1 - z
-        d_inputs = np.empty((len(window), len(state), 3 * h), np.float32)
-        d_mine = np.empty_like(d_inputs)
-        d_state, back = np.zeros_like(state), np.ascontiguousarray(model["recur"].T)
+        """One pass over some texts, in stretches of ``STRETCH`` tokens."""
+        pieces = -(-np.diff(ends) // STRETCH)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cut = np.append(np.repeat(ends[:-1], pieces) + nth * STRETCH, ends[-1])
+        state = np.zeros((STREAMS, HIDDEN), np.float32)
+        for at, mask, begins in _windows(cut, STEPS, seed):
+            state = self._window(ids[at], mask, begins, state[: at.shape[1]])
+
+    def _window(self, window: np.ndarray, mask: np.ndarray, begins: np.ndarray, state: np.ndarray) -> np.ndarray:
+        model, grads, h = self.model, self.grads, HIDDEN
+        seen = model["embed"][window].reshape(-1, h)
+        recur, taken, shift = _in_thirds(model["recur"]), _in_thirds(model["input"]), _in_thirds(model["shift"])
+        inputs = np.matmul(seen, taken)
+        inputs += shift
+        inputs = inputs.reshape(3, *window.shape, h)
+        states, mine = _forward(recur, inputs, state, begins, keep=True)
+        n, whole = max(int(mask.sum()), 1), bool(mask.all())
+        grads["word"][:], grads["word_shift"][:] = 0, 0
+        before = states[:-1]
+        found: Model = {k: grads[k] for k in ("word", "word_shift")}
+        _, d_out = _log_likelihoods(model, self.vocabulary, before.reshape(-1, h) if whole else before[mask], window.ravel() if whole else window[mask], found)
+        grads["class"][:], grads["class_shift"][:] = found["class"], found["class_shift"]
+        if whole:
+            by_state = d_out.reshape(before.shape)
+        else:
+            by_state = np.zeros_like(before)
+            by_state[mask] = d_out
+        slopes, to_fresh = np.empty_like(inputs), np.empty_like(mine)
+        by_gate, spread = np.empty((3, *state.shape), np.float32), np.empty((3, *state.shape), np.float32)
+        recur[:2] *= 2
+        taken[:2] *= 2
+        back, d_state = np.ascontiguousarray(recur.swapaxes(1, 2)), np.zeros_like(state)
         for t in range(len(window) - 1, -1, -1):
-            d_fresh = d_state * to_fresh[t]
-            d_inputs[t, :, :h] = d_state * to_z[t]
-            d_inputs[t, :, h : 2 * h] = d_fresh * to_r[t]
-            d_inputs[t, :, 2 * h :] = d_fresh
-            d_mine[t, :, : 2 * h] = d_inputs[t, :, : 2 * h]
-            d_mine[t, :, 2 * h :] = d_fresh * r[t]
-            d_state = d_state * stay[t] + d_mine[t] @ back + by_state[t]
-        grads["recur"] = states[:-1].reshape(-1, h).T @ d_mine.reshape(-1, 3 * h)
-        flat = d_inputs.reshape(-1, 3 * h)
-        grads["input"] = seen.reshape(-1, h).T @ flat
-        grads["shift"] = flat.sum(axis=0)
-        d_seen = flat @ model["input"].T
-        order = np.argsort(window.ravel(), kind="stable")
+            z, r, fresh = inputs[:, t]
+            by_z, by_r, by_fresh = slopes[:, t]
+            stay = 1 - z
+            np.subtract(fresh, before[t], out=by_z)
+            by_z *= z
+            by_z *= stay
+            by_z *= d_state
+            np.multiply(fresh, fresh, out=by_fresh)
+            np.subtract(1, by_fresh, out=by_fresh)
+            by_fresh *= z
+            by_fresh *= d_state
+            np.multiply(by_fresh, r, out=to_fresh[t])
+            np.subtract(1, r, out=by_r)
+            by_r *= mine[t]
+            by_r *= to_fresh[t]
+            by_gate[:2], by_gate[2] = slopes[:2, t], to_fresh[t]
+            np.matmul(by_gate, back, out=spread)
+            d_state *= stay
+            d_state += spread[0]
+            d_state += spread[1]
+            d_state += spread[2]
+            d_state += by_state[t]
+            d_state[begins[t]] = 0
+        flat, past = slopes.reshape(3, -1, h), np.ascontiguousarray(before.reshape(-1, h).T)
+        for k in range(3):
+            part = slice(k * h, k * h + h)
+            grads["recur"][:, part] = past @ (flat[k] if k < 2 else to_fresh.reshape(-1, h))
+            grads["input"][:, part] = seen.T @ flat[k]
+            grads["shift"][part] = np.ones(len(seen), np.float32) @ flat[k]
+        d_seen = flat[0] @ taken[0].T
+        d_seen += flat[1] @ taken[1].T
+        d_seen += flat[2] @ taken[2].T
+        order = np.argsort(window, axis=None, kind="stable")
         which = window.ravel()[order]
         begin = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        grads["embed"][which[begin]] = np.add.reduceat(d_seen[order], begin, axis=0)
-        self._adam(grads, n)
+        self._adam(which[begin], np.add.reduceat(d_seen[order], begin, axis=0), n)
         return states[-1]
 
-    def _adam(self, grads: Model, n: int) -> None:
+    def _adam(self, words: np.ndarray, by_word: np.ndarray, n: int) -> None:
         self.step += 1
         scale = self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-        for k, g in grads.items():
-            g /= n
-            np.clip(g, -0.1, 0.1, out=g)
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            self.model[k] -= scale * self.first[k] / (np.sqrt(self.second[k]) + 1e-6)
+        for at in range(0, len(self.flat), 8192):
+            part = slice(at, at + 8192)
+            _adam_step(self.flat[part], self.slope[part], self.first[part], self.second[part], scale, n)
+        weight, first, second = self.model["embed"][words], self.first_embed[words], self.second_embed[words]
+        _adam_step(weight, by_word, first, second, scale, n)
+        self.model["embed"][words], self.first_embed[words], self.second_embed[words] = weight, first, second
+
+
+def _adam_step(weight: np.ndarray, slope: np.ndarray, first: np.ndarray, second: np.ndarray, scale: float, n: int) -> None:
+    """One step in place, with the slopes divided by ``n`` and clipped; ``slope`` is overwritten."""
+    slope *= np.float32(1 / n)
+    np.clip(slope, -0.1, 0.1, out=slope)
+    first *= np.float32(0.9)
+    first += np.float32(0.1) * slope
+    second *= np.float32(0.99)
+    slope *= slope
+    slope *= np.float32(0.01)
+    second += slope
+    np.sqrt(second, out=slope)
+    slope += np.float32(1e-6)
+    np.divide(first, slope, out=slope)
+    slope *= np.float32(scale)
+    weight -= slope
 
 
 def pack_model(model: Model) -> bytes:
@@ -302,8 +435,11 @@ def _joined(held: list[tuple]) -> tuple:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, data, ends in slices(batches, "text"):
         words, kinds, _ = tokens(data, ends)
-        value, first, times = np.unique(words, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(kinds[first]), pa.array(times)], names=["word", "kind", "n"])
+        coded = pa.array(words.view(np.int64)).dictionary_encode()
+        of, value = coded.indices.to_numpy(), coded.dictionary
+        kind = np.zeros(len(value), np.int32)
+        kind[of] = kinds
+        yield pa.RecordBatch.from_arrays([value, pa.array(kind), pa.array(np.bincount(of, minlength=len(value)))], names=["word", "kind", "n"])
 
 
 def _train(batches: Iterator[pa.RecordBatch], model: Model, vocabulary: Vocabulary, rate: float, passes: int) -> Iterator[pa.RecordBatch]:
@@ -313,17 +449,17 @@ def _train(batches: Iterator[pa.RecordBatch], model: Model, vocabulary: Vocabula
             trainer.learn(ids, ends, k)
         seen += len(ids)
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(seen)]), pa.array([pack_model(trainer.model)])], names=["part", "weight", "model"])
+        yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([pack_model(trainer.model)])], names=["weight", "model"])
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, weight = None, 0.0
     for batch in batches:
-        for w, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for w, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = np.frombuffer(data.as_buffer(), np.float32) * w
             total, weight = own if total is None else total + own, weight + w
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()])], names=["part", "weight", "model"])
+        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()])], names=["weight", "model"])
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", start: int = 600, rate: float = 0.004) -> tuple[Model, Vocabulary, DataFrame]:
@@ -331,23 +467,23 @@ def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", st
 
     Word counts cover every text. The network starts from ``start`` texts (the smallest
     hashed ids), learnt in one task; then every task of one pass over all texts goes on from
-    there with its own, and the weights are averaged by tokens, over groups of tasks and then
-    over the groups, so that no one gathers a copy from every task.
+    there with its own, and the weights are averaged by tokens, over groups of tasks, as many
+    as the square root of the tasks, and then over the groups: no task gathers more copies.
     """
     source = bounded_batches(docs).select(F.col(text_col).alias("text"))
     words = written(source.mapInArrow(_count, "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(LISTED).toPandas()
+    top = most_frequent(words, LISTED).toPandas().sort_values(["n", "word"], ascending=[False, True])
     sums = words.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
     class_tokens, class_types = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
     class_tokens[sums["kind"].to_numpy()], class_types[sums["kind"].to_numpy()] = sums["n"].to_numpy(), sums["types"].to_numpy()
     vocabulary = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["kind"].to_numpy(np.int64), top["n"].to_numpy(np.int64), class_tokens, class_types)
     model = fresh_model(vocabulary)
-    shape = "part int, weight double, model binary"
+    shape = "weight double, model binary"
     seeds = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).where(F.octet_length("text") < 20_000).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(start).select("text")
     for frame, passes, speed in ((seeds.coalesce(1), 6, rate), (source, 1, rate / 2)):
-        now = model
+        now, parts = model, math.isqrt(frame.rdd.getNumPartitions()) + 1
         replicas = frame.mapInArrow(lambda it, m=now, p=passes, r=speed: _train(it, m, vocabulary, r, p), shape)
-        merged = replicas.repartition(64, "part").mapInArrow(_average, shape).coalesce(1).mapInArrow(_average, shape).collect()
+        merged = replicas.repartition(parts).mapInArrow(_average, shape).repartition(1).mapInArrow(_average, shape).collect()
         if merged:
             model = unpack_model(merged[0]["model"], model)
     return model, vocabulary, words

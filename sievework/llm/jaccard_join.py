@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, utf8
-from .common import bounded_batches, checkpoint, components, table, written
+from .common import bounded_batches, checkpoint, components, most_frequent, table, written
 from .shingles import shingle_sets
 
 FREQUENT = 1 << 18  # most shingles that are ranked last by their count: 4 MB with the counts
@@ -126,26 +126,6 @@ def _sent(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return listed.groupBy("id", F.xxhash64("text"), F.octet_length("text")).agg(F.first("text").alias("text")).select("id", "text")
 
 
-def _frequent(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of the highest counts, at most ``most``, by value, with the counts.
-
-    The least count that leaves no more comes from a histogram, so that nothing is sorted
-    and no task gathers more than what is kept.
-    """
-    step = F.floor(16 * F.log2("n"))
-    steps = found.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
-    room, least = most, None
-    for r in steps:
-        room -= r.n
-        if room < 0:
-            break
-        least = r.step
-    top = (found.where(step >= least) if least is not None else found.limit(0)).toPandas()
-    value = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(value)
-    return value[order], top["n"].to_numpy(np.int64)[order]
-
-
 def _whole(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(node, its whole set) of each text that has shingles."""
     for _, data, ends in slices(batches, "text"):
@@ -344,7 +324,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = source.schema["id"].dataType.simpleString()
     named = source.where(F.col("id").isNotNull())
     many = written(named.mapInArrow(lambda it: _often(it, size, often), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent-shingles")
-    frequent, counts = _frequent(many, FREQUENT)
+    top = most_frequent(many, FREQUENT).toPandas()
+    by_value = np.argsort(top["shingle"].to_numpy(np.int64).view(np.uint64))
+    frequent, counts = top["shingle"].to_numpy(np.int64).view(np.uint64)[by_value], top["n"].to_numpy(np.int64)[by_value]
 
     described = checkpoint(source.mapInArrow(lambda it: _described(it, size, percent, frequent, counts), f"id {id_type}, n_shingles bigint, node bigint, asked int"))
     nodes = checkpoint(

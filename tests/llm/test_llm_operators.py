@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from sievework.llm import gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, suffix_dedup, token_files
-from sievework.llm.common import components, shared_dir
+from sievework.llm.common import components, most_frequent, shared_dir
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
 
@@ -147,12 +147,11 @@ def test_jaccard_of_many_equal_rows(spark):
     assert found == {(1, 1): 4000, (2, 1): 1, (None, None): 1, (3, 3): 1}
 
 
-def test_the_most_frequent_shingles(spark):
+def test_the_most_frequent_rows(spark):
     """All of the least count that leaves room, and none where even the first step has too many."""
-    frame = spark.createDataFrame([(i, 2 if i < 50 else 90 + i) for i in range(60)], "shingle long, n long")
-    assert [len(jaccard_join._frequent(frame, most)[0]) for most in (60, 59, 10, 0)] == [60, 10, 10, 0]
-    value, count = jaccard_join._frequent(frame, 10)
-    assert value.tolist() == list(range(50, 60)) and count.tolist() == list(range(140, 150))
+    frame = spark.createDataFrame([(i, 2 if i < 50 else 90) for i in range(60)], "shingle long, n long")
+    assert [most_frequent(frame, most).count() for most in (60, 59, 10, 9)] == [60, 10, 10, 0]
+    assert sorted(r.shingle for r in most_frequent(frame, 10).collect()) == list(range(50, 60))
 
 
 def test_metric_join(spark, monkeypatch):

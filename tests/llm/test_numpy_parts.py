@@ -179,16 +179,103 @@ def test_head_grows_with_distinct_words():
     assert found.sum() == pytest.approx(1, abs=1e-3) and len(model["embed"]) == vocabulary.room + gru_lm.TAIL_CLASSES
 
 
-def test_state_is_carried_over_windows():
-    texts = ["the cat sat on the mat and then " * 40]
+def small_language(texts):
     words, kinds, at = gru_lm.tokens(*laid(texts))
-    vocabulary = gru_lm.Vocabulary(np.unique(words), np.zeros(len(np.unique(words)), int), np.full(len(np.unique(words)), 9), np.bincount([0], minlength=gru_lm.TAIL_CLASSES) * 99, np.bincount([0], minlength=gru_lm.TAIL_CLASSES))
+    value, first, times = np.unique(words, return_index=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    vocabulary = gru_lm.Vocabulary(value[order], kinds[first][order], times[order], np.bincount(kinds[first], times, gru_lm.TAIL_CLASSES).astype(int), np.bincount(kinds[first], minlength=gru_lm.TAIL_CLASSES))
     ids, _ = vocabulary.place(words, kinds)
-    model = gru_lm.fresh_model(vocabulary)
-    ready = model["embed"] @ model["input"] + model["shift"]
-    states = gru_lm._forward(model, ready[ids][:, None], np.zeros((1, gru_lm.HIDDEN), np.float32))
-    once = gru_lm._log_likelihoods(model, vocabulary, states[:-1, 0], ids)[0].sum() / np.log(10)
-    assert gru_lm.score_tokens(model, vocabulary, ids, at)[0] == pytest.approx(once, rel=1e-4)
+    return vocabulary, gru_lm.fresh_model(vocabulary), ids, at
+
+
+def slow_score(model, vocabulary, ids):
+    """ln of a text's classes and head words, a token at a time in double precision."""
+    m = {k: v.astype(float) for k, v in model.items()}
+    h, total, state = gru_lm.HIDDEN, 0.0, np.zeros(gru_lm.HIDDEN)
+    for i in ids.tolist():
+        kind = int(vocabulary.class_of[i])
+        logits = state @ m["class"] + m["class_shift"]
+        total += logits[kind] - np.log(np.exp(logits).sum())
+        if i < vocabulary.head:
+            own = np.flatnonzero(vocabulary.word_class == kind)
+            logits = m["word"][own] @ state + m["word_shift"][own]
+            total += logits[i - own[0]] - np.log(np.exp(logits).sum())
+        x, y = m["embed"][i] @ m["input"] + m["shift"], state @ m["recur"]
+        z, r = (1 / (1 + np.exp(-x[k * h : k * h + h] - y[k * h : k * h + h])) for k in (0, 1))
+        state = (1 - z) * state + z * np.tanh(x[2 * h :] + r * y[2 * h :])
+    return total
+
+
+@pytest.mark.parametrize("streams", [2, 512])
+def test_scores_are_those_of_a_slow_network(monkeypatch, streams):
+    """Texts share streams and windows, long ones go through many; each is scored from its start to its end."""
+    monkeypatch.setattr(gru_lm, "STREAMS", streams)
+    texts = ["the cat sat on the mat and then " * 40, "a dog", "", "the dog and the cat ran " * 9, None, "sat " * 70, "mat"] * 2
+    vocabulary, model, ids, at = small_language(["the cat sat on the mat and then a dog ran " * 5] + texts)
+    trainer = gru_lm.Trainer(model, vocabulary, 0.01)
+    trainer.learn(ids, at)
+    found = gru_lm.score_tokens(trainer.model, vocabulary, ids, at)
+    expected = [slow_score(trainer.model, vocabulary, ids[a:b]) / np.log(10) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert found == pytest.approx(np.array(expected), rel=1e-4)
+
+
+@pytest.mark.parametrize("streams", [1, 512])
+def test_language_model_gradients(monkeypatch, streams):
+    """Of every array, against differences, with texts that share a stream and texts of unequal length."""
+    monkeypatch.setattr(gru_lm, "STREAMS", streams)
+    texts = ["the cat sat", "a dog ran to the cat", "", "the the"] if streams > 1 else ["the cat sat", "a dog ran", "the the"]
+    vocabulary, model, ids, at = small_language(["the the the cat cat dog dog ran sat a to " * 6])
+    words, kinds, at = gru_lm.tokens(*laid(texts))
+    ids, _ = vocabulary.place(words, kinds)
+    caught = {}
+
+    def keep(self, words, by_word, n):
+        caught.update({k: v.copy() for k, v in self.grads.items()})
+        caught["embed"] = np.zeros_like(model["embed"])
+        caught["embed"][words] = by_word
+
+    monkeypatch.setattr(gru_lm.Trainer, "_adam", keep)
+    gru_lm.Trainer(model, vocabulary, 0.01).learn(ids, at)
+    loss = lambda: -gru_lm.score_tokens(model, vocabulary, ids, at).sum() * np.log(10)
+    rng = np.random.default_rng(4)
+    for name, grad in caught.items():
+        largest = np.argsort(-np.abs(grad), axis=None)[:6].tolist() + rng.integers(0, grad.size, 4).tolist()
+        for place in largest:
+            where = np.unravel_index(place, grad.shape)
+            assert grad[where] == pytest.approx(numeric(loss, model[name], where), rel=0.05, abs=5e-3), (name, where)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 70), min_size=1, max_size=30), st.integers(1, 9), st.sampled_from([None, 3]))
+def test_windows_hold_each_token_once(sizes, streams, seed):
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    old, gru_lm.STREAMS = gru_lm.STREAMS, streams
+    try:
+        windows = list(gru_lm._windows(ends, 4, seed))
+    finally:
+        gru_lm.STREAMS = old
+    assert sorted(np.concatenate([at[mask] for at, mask, _ in windows]).tolist()) == list(range(int(ends[-1])))
+    for k in range(streams):
+        run = [(a, b) for at, mask, begins in windows if k < at.shape[1] for a, m, b in zip(at[:, k].tolist(), mask[:, k], begins[:, k], strict=True) if m]
+        assert all(b == (a in ends) for a, b in run) and all(b or a == run[i][0] + 1 for i, (a, b) in enumerate(run[1:]))
+
+
+def test_listed_words_are_found():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    words = np.unique(np.concatenate([words, words[:9] >> np.uint64(40), np.arange(50, dtype=np.uint64)]))
+    vocabulary = gru_lm.Vocabulary(words, np.zeros(len(words), int), np.arange(len(words))[::-1] + 1, np.full(gru_lm.TAIL_CLASSES, 1 << 30), np.full(gru_lm.TAIL_CLASSES, 1 << 20))
+    assert (vocabulary.find(words) == np.arange(len(words))).all() and (vocabulary.find(words + np.uint64(1))[50:] == -1).all()
+    none = gru_lm.Vocabulary(words[:0], np.zeros(0, int), np.zeros(0, int), np.zeros(gru_lm.TAIL_CLASSES, int), np.zeros(gru_lm.TAIL_CLASSES, int))
+    assert (none.find(words) == -1).all() and (none.place(words[:3], np.zeros(3, int))[1] == -1).all()
+
+
+def test_word_hashes_go_by_lowered_bytes():
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abAB"), n)) for n in [*range(1, 40), 1023, 1024, 1025, 1033, 3000]] * 2 + ["é" * 700, "a" * 1032 + "b", "a" * 1032 + "c"]
+    data, ends = laid([" ".join(words)])
+    found = shingles.word_hashes(data, ends)[0].tolist()
+    assert len(set(zip(found, [w.lower() for w in words], strict=True))) == len(set(found)) == len({w.lower() for w in words})
 
 
 def test_alignment_counts_matches():
