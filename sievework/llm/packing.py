@@ -17,6 +17,7 @@ from .tokenise import WordEncoder, tokenizer_file
 
 WINDOW, END = 4096, 2
 GROUP = 4 << 20  # tokens that are packed together
+FULL = 15 / 16  # of a window; one less full is cut into powers of two
 
 
 class OpenWindows:
@@ -75,8 +76,8 @@ def pack_group(counts: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Pieces of texts with ``counts`` tokens: text, start, length, sequence, offset, in text order.
 
     Texts are cut into full windows and a rest; the rests are packed best-fit decreasing.
-    Of the window left emptiest, which may be far from full, the pieces are cut once more,
-    into sequences whose lengths are powers of two and so need no padding.
+    The pieces of each window that is less than ``FULL`` full, and of the emptiest one, are cut
+    once more, into sequences whose lengths are powers of two and so need no padding.
     """
     pieces = -(-counts // window)
     text = np.repeat(np.arange(len(counts)), pieces)
@@ -85,12 +86,23 @@ def pack_group(counts: np.ndarray, window: int) -> dict[str, np.ndarray]:
     length = np.minimum(window, counts[text] - start)
     place, offset, used = best_fit(length, window)
     fill = np.bincount(place, length, used).astype(np.int64)
-    last = int(fill.argmin()) if used else 0
-    if used and fill[last] < window:
-        bits = [1 << k for k in range(window.bit_length()) if fill[last] >> k & 1][::-1]
-        edges = np.cumsum([0, *bits])
-        cut = [(text[i], start[i] + max(lo - offset[i], 0), min(hi, offset[i] + length[i]) - max(lo, offset[i]), last if k == 0 else used + k - 1, max(offset[i] - lo, 0)) for i in np.flatnonzero(place == last) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if lo < offset[i] + length[i] and offset[i] < hi]
-        keep = place != last
+    again = fill < FULL * window
+    again[fill.argmin() if used else slice(0)] = True
+    again &= fill < window
+    if again.any():
+        cut, moved = [], np.flatnonzero(again[place])
+        moved = moved[np.argsort(place[moved], kind="stable")]
+        for own in np.split(moved, np.flatnonzero(np.diff(place[moved])) + 1):
+            at = int(place[own[0]])
+            bits = [1 << k for k in range(window.bit_length()) if fill[at] >> k & 1][::-1]
+            edges = np.cumsum([0, *bits]).tolist()
+            for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                for i in own.tolist():
+                    begin, end = max(lo, int(offset[i])), min(hi, int(offset[i] + length[i]))
+                    if begin < end:
+                        cut.append((text[i], start[i] + begin - offset[i], end - begin, at if k == 0 else used + k - 1, begin - lo))
+            used += len(bits) - 1
+        keep = ~again[place]
         text, start, length, place, offset = (np.concatenate([a[keep], np.array(b, np.int64)]) for a, b in zip((text, start, length, place, offset), zip(*cut, strict=True), strict=True))
         order = np.lexsort((start, text))
         text, start, length, place, offset = (a[order] for a in (text, start, length, place, offset))
@@ -103,7 +115,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     Each task packs what it reads, in groups of about ``group`` ids (a longer text is a group
     of its own), so nothing is shuffled, memory is bounded by a group or the longest text,
     and a lost task is done again alone. Sequence ids are the task's number times 2 ** 32 plus
-    a running number. A group of a million ids wastes at most part of its last windows.
+    a running number. However small a partition is, at most one sixteenth of a sequence is padding.
 
     Returns a row per piece: ``id_col``, start, length, ids (binary, unsigned 32 bit little
     endian), doc_tokens, sequence_id, offset. Null and empty texts are the end id alone; null
