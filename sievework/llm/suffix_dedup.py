@@ -15,6 +15,8 @@ from .shingles import BACK, BYTE, STEP, mix, powers
 
 GRAM = 80  # bytes of an anchor
 RUN = 4096  # most string starts in a segment
+PART = 1 << 20  # string starts of a long text that are looked at together
+LISTED = 1 << 18  # most keys of repeated rows that are broadcast: 4 MB
 HOT = 4096  # different segments of one anchor beyond which they are split
 SPLIT = np.uint64(0xA24BAED4963EE407)
 
@@ -135,11 +137,15 @@ def bucket_pointers(data: np.ndarray, stop: np.ndarray, length: int) -> np.ndarr
 def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(anchor, digest, key, place) of each run."""
     for rows, data, ends in slices(batches, "text", 1 << 19):
-        text, place, anchor, digest = segments(data, ends, length)
-        key = rows.column(0).to_numpy()[text]
-        for at in range(0, len(key), 1 << 16):
-            to = at + (1 << 16)
-            yield pa.RecordBatch.from_arrays([pa.array(x[at:to]) for x in (anchor, digest, key, place)], names=["anchor", "digest", "key", "place"])
+        parts = [(0, data, ends)]
+        if rows.num_rows == 1:  # a long text goes in parts that share length - 1 bytes, so that each string is in one
+            parts = [(lo, data[lo : lo + PART + length - 1], np.array([0, min(PART + length - 1, len(data) - lo)])) for lo in range(0, max(len(data) - length + 1, 1), PART)]
+        for lo, part, part_ends in parts:
+            text, place, anchor, digest = segments(part, part_ends, length)
+            key, place = rows.column(0).to_numpy()[text], place + (lo << 14)
+            for at in range(0, len(key), 1 << 16):
+                to = at + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:to]) for x in (anchor, digest, key, place)], names=["anchor", "digest", "key", "place"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -271,6 +277,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     anchor, the least hash of its grams, names the bucket it belongs to, and a text's strings
     come in runs with one anchor, some 60 starts long:
 
+    0. Rows alike in id and text are one text with a count; of those that occur again, every
+       string repeats.
     1. Runs are summed up by anchor; anchors that occur once, in a run without repeats of its
        own, are done.
     2. Where all runs of an anchor are equal, all their strings repeat. Among different ones,
@@ -281,11 +289,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     4. The ranges found are brought to their texts.
 
     Counts are summed before shuffles; joins are plain ones that AQE splits at hot anchors.
-    Runs are compared by 128 bits of hashes, texts are named by 64 bits over id and text.
+    Runs are compared by 128 bits of hashes. Texts are named by 64 bits over id and text;
+    where another 64 bits tell texts of one name apart, they are named by these. Whole sets
+    of equal runs are settled by digests (2); the refinement decides among different runs.
 
     Returns the columns in ``keep`` (default: id alone), n_bytes, n_removed, spans (array of
     start, stop of the maximal removed runs) and kept (binary: a cut may fall inside a
-    character). Null text is empty; texts shorter than ``length`` stay whole; equal rows are
+    character). A long text's strings are looked at a part at a time; its bytes and ranges
+    are one row. Null text is empty; texts shorter than ``length`` stay whole; equal rows are
     texts like others, each found in the other; null ids are allowed; an empty table gives no
     rows. Columns named as an added one are replaced by it.
     """
@@ -293,7 +304,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = [c for c in ([id_col] if keep is None else keep) if c not in added]
     bounded_batches(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
+    key, other = (F.xxhash64(*seed, F.col(id_col).isNull(), F.col(id_col), text) for seed in ([], [F.lit(7)]))
+    by_key = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(other).alias("lo"), F.max(other).alias("hi"), F.first(F.octet_length(text)).alias("size")).where("n > 1")
+    repeated = checkpoint(by_key)
+    clashes = [r.key for r in repeated.where("lo <> hi").select("key").collect()]  # some rows ** 2 / 2 ** 65 of them
+    if clashes:
+        key = F.when(key.isin(clashes), other).otherwise(key)
+        by_key = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.first(F.octet_length(text)).alias("size")).where("n > 1")
+        repeated = checkpoint(by_key)
+    keyed = docs.select(key.alias("key"), text.alias("text"))
+    again_keys = repeated.count()
+    if again_keys:
+        listed = F.broadcast(repeated.select("key")) if again_keys <= LISTED else repeated.select("key")
+        keyed = keyed.join(listed, "key", "left_anti").unionByName(keyed.join(listed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
     runs = keyed.where(F.octet_length("text") >= length).mapInArrow(lambda it: _occurrences(it, length), "anchor bigint, digest bigint, key bigint, place bigint")
     often = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max(F.expr("place & 8192")).alias("several")).where("n > 1 or several > 0")
     repeats = written(runs.join(often.select("anchor", ((F.col("lo") != F.col("hi")) | (F.col("n") == 1)).alias("mixed")), "anchor"), "repeats")
@@ -321,10 +344,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         .select("key", F.expr("shiftright(place, 14)").alias("lo"), F.expr("shiftright(place, 14) + (place & 8191)").alias("hi"))
         .unionByName(refined.where("n is null").select("key", "lo", "hi"))
         .unionByName(single.where("n = 1").join(common, ["string_a", "string_b"]).select("key", "lo", "hi"))
+        .unionByName(repeated.where(F.col("size") >= length).select("key", F.lit(0).cast("long").alias("lo"), (F.col("size") - length + 1).cast("long").alias("hi")))
         .groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
     )
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    joined = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.struct(*names).alias("__kept"), text.alias("__text")).join(ranges, "key", "left")
+    joined = docs.select(key.alias("key"), F.struct(*names).alias("__kept"), text.alias("__text")).join(ranges, "key", "left")
     joined = joined.select("__kept.*", "__text", F.coalesce("__ranges", empty).alias("__ranges"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]], "n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"])
     return joined.mapInArrow(lambda it: _remove(it, length, names), schema)
