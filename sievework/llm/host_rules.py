@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, checkpoint, table, words
@@ -16,11 +16,15 @@ RULES = {
 }
 
 
-def _repeated_words(grams: Column, in_order: Column, bits: Column) -> Column:
-    """Positions of three-word windows whose hash another window has.
+#: Bits for a window's position: below so many words, so many. The rest is for the hash.
+POSITION_BITS = ((1 << 16, 16), (1 << 24, 24), (1 << 31, 31))
+
+
+def _neighbours(grams: Column, in_order: Column, bits: Column) -> tuple[Column, Column]:
+    """(positions of three-word windows whose hash a neighbour has, whether neighbours with equal upper bits differ).
 
     ``in_order`` holds, sorted, each window's upper hash bits and, in the lower ``bits``,
-    its position; neighbours with equal upper bits are compared by their whole hashes.
+    its position. Where neighbours with equal upper bits never differ, equal windows are neighbours.
     """
     place = lambda x: F.call_function("shiftrightunsigned", F.call_function("shiftleft", x, F.lit(64) - bits), F.lit(64) - bits).cast("int")
     top = lambda x: F.call_function("shiftright", x, bits)
@@ -29,7 +33,15 @@ def _repeated_words(grams: Column, in_order: Column, bits: Column) -> Column:
         return F.coalesce((top(x) == top(y)) & (F.get(grams, place(x)) == F.get(grams, place(y))), F.lit(False))
 
     found = F.filter(in_order, lambda x, j: alike(x, F.get(in_order, j + 1)) | alike(x, F.get(in_order, j - 1)))
-    return F.sort_array(F.transform(found, place))
+    mixed = F.filter(in_order, lambda x, j: F.coalesce((top(x) == top(F.get(in_order, j + 1))) & ~alike(x, F.get(in_order, j + 1)), F.lit(False)))
+    return F.transform(found, place), F.size(mixed) > 0
+
+
+def _by_whole_hash(grams: Column) -> Column:
+    """Positions of windows whose hash another window has, by a sort on whole hashes: slower, and for any text."""
+    in_order = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    return F.transform(F.filter(in_order, lambda x, j: same(x, F.get(in_order, j + 1)) | same(x, F.get(in_order, j - 1))), lambda x: x["i"])
 
 
 def measures(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -37,13 +49,16 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source
 
     Row-local and shuffle-free. Windows of three words are hashed to 64 bits, the hashes
     sorted with their positions, and equal neighbours found, so that a text of n words
-    costs n log n. Each step is a projection of its own: one that is used more than once
+    costs n log n. A sort holds the upper bits of a hash; the few texts where that could hide
+    a repeat are sorted by whole hashes. A text's words and hashes are one row, some 30 bytes
+    a byte of text. Each step is a projection of its own: one that is used more than once
     isn't merged with the next, and nothing is computed again for each element.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, " " + SPACES, "")) > 0)
     n = F.size("words")
-    bits = F.when(F.col("n_words") < 1 << 16, 16).when(F.col("n_words") < 1 << 24, 24).otherwise(31)
+    (small, few), (large, more), (_, most) = POSITION_BITS
+    bits = F.when(F.col("n_words") < small, few).when(F.col("n_words") < large, more).otherwise(most)
     step = docs.select(
         F.col(id_col).alias("id"),
         F.col(host_col).alias("host"),
@@ -75,7 +90,9 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source
             )
         ).alias("in_order"),
     )
-    step = step.select(*kept, _repeated_words(F.col("grams"), F.col("in_order"), F.col("bits")).alias("at"))
+    at, mixed = _neighbours(F.col("grams"), F.col("in_order"), F.col("bits"))
+    step = step.select(*kept, "grams", at.alias("at"), mixed.alias("mixed"))
+    step = step.select(*kept, F.sort_array(F.when(F.col("mixed"), _by_whole_hash(F.col("grams"))).otherwise(F.col("at"))).alias("at"))
     covered = F.aggregate(
         F.transform("at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("at", j + 1) - p, F.lit(3))).cast("long")),
         F.lit(0).cast("long"),
@@ -101,16 +118,16 @@ def judge_hosts(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "sou
     rules = RULES if rules is None else rules
     rows = measures(docs, id_col=id_col, host_col=host_col, text_col=text_col)
     rows = checkpoint(rows.withColumn("host_key", F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit(""))))
-    hosts = rows.groupBy("host_key").agg(F.count("*").alias("n"), *[F.sum(F.expr(rule).cast("long")).alias(f"f_{name}") for name, rule in rules.items()])
-    everywhere = Window.partitionBy()
+    hosts = checkpoint(rows.groupBy("host_key").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.expr(rule).cast("double")).alias(f"f_{name}") for name, rule in rules.items()]))
+    sums = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"f_{name}").alias(name) for name in rules]).first()
+    total = sums.n or 0.0
+    means = {name: sums[name] / total if total else 0.0 for name in rules}
+    spreads = hosts.agg(*[F.sum(F.col("n") * F.pow(F.col(f"f_{name}") / F.col("n") - mean, 2)).alias(name) for name, mean in means.items()]).first() if rules else {}
     bad = F.lit(False)
-    for name in rules:
-        failed, total = F.col(f"f_{name}"), F.sum("n").over(everywhere)
-        mean = F.sum(failed).over(everywhere) / total
-        spread = F.sum(F.col("n") * F.pow(failed / F.col("n") - F.col(f"m_{name}"), 2)).over(everywhere) / total
-        strength = F.when(F.col(f"v_{name}") > 0, F.greatest(F.lit(1.0), F.least(total.cast("double"), F.col(f"m_{name}") * (1 - F.col(f"m_{name}")) / F.col(f"v_{name}") - 1))).otherwise(total.cast("double"))
-        hosts = hosts.withColumn(f"m_{name}", mean).withColumn(f"v_{name}", spread).withColumn(f"s_{name}", strength)
-        hosts = hosts.withColumn(f"rate_{name}", (failed + F.col(f"m_{name}") * F.col(f"s_{name}")) / (F.col("n") + F.col(f"s_{name}")))
+    for name, mean in means.items():
+        spread = spreads[name] / total if total else 0.0
+        strength = max(1.0, min(total, mean * (1 - mean) / spread - 1)) if spread > 0 else total
+        hosts = hosts.withColumn(f"rate_{name}", (F.col(f"f_{name}") + mean * strength) / (F.col("n") + strength))
         bad = bad | (F.col(f"rate_{name}") > limit)
     hosts = hosts.select("host_key", (~bad).alias("host_kept"), *[f"rate_{name}" for name in rules])
     return (
