@@ -108,6 +108,27 @@ def test_jaccard(docs, none, monkeypatch, costly):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    """Rows that repeat, id and all, cost as much as one, and their text is found elsewhere."""
+    text = prose(21, 300)
+    data = [(1, text)] * 3000 + [(None, text)] * 3000 + [(2, prose(22, 50) + " " + text[100:600]), (3, "tiny"), (3, "tiny"), (4, prose(23, 300))]
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect())
+    n = len(text)
+    assert found == {(1, n, n): 3000, (None, n, n): 3000, (2, len(data[6000][1]), 500): 1, (3, 4, 0): 2, (4, len(data[-1][1]), 0): 1}
+
+
+def test_suffix_dedup_of_long_texts_in_parts(spark, monkeypatch):
+    """Parts share the bytes that strings over their edges need; names that clash are told apart."""
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    body = prose(31, 2500)
+    data = [(1, body), (2, prose(32, 400) + body[3000:9000]), (3, body[650:1000])]
+    found = {r.doc_id: (r.n_removed, [(x.start, x.stop) for x in r.spans]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    strings = Counter(t[k : k + 200] for _, t in data for k in range(len(t) - 199))
+    for i, t in data:
+        gone = [any(strings[t[k : k + 200]] > 1 for k in range(max(0, j - 199), min(j, len(t) - 200) + 1)) for j in range(len(t))]
+        assert found[i][0] == sum(gone) and all(all(gone[a:b]) for a, b in found[i][1])
+
+
 def shingle_links(data):
     sets = {}
     for i, t in data:
@@ -229,6 +250,15 @@ def test_token_files(spark, docs, none, tmp_path):
     got = token_files.scan_token_files(spark, str(other), end=9, width=4, block=8).orderBy("doc_no").collect()
     assert [(r.doc_no, r.start, r.n_tokens, r.closed) for r in got] == [(0, 0, 0, True), (1, 1, 2, True), (2, 4, 0, True), (3, 5, 1, False)]
     assert token_files.write_token_files(none, str(tmp_path)).count() == 0
+    far = tmp_path / "far"
+    far.mkdir()
+    ids = np.random.default_rng(1).integers(0, 40, 5000).astype("<u2")
+    (far / "x.bin").write_bytes(ids.tobytes())
+    got = token_files.scan_token_files(spark, str(far), end=7, block=34).orderBy("doc_no").collect()
+    stops = np.flatnonzero(ids == 7)
+    begins = np.append(0, stops + 1)
+    expected = [(int(b), int(e - b), True) for b, e in zip(begins[:-1], stops, strict=True)] + [(int(begins[-1]), 5000 - int(begins[-1]), False)] * int(begins[-1] < 5000)
+    assert [(r.start, r.n_tokens, r.closed) for r in got] == expected
 
 
 def test_packing(docs, none):
@@ -268,6 +298,18 @@ def test_licenses(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("spare", [61, 62])
+def test_repeated_windows_that_share_upper_bits(spark, monkeypatch, spare):
+    """With two or three bits of a hash in the sort, equal windows are often not neighbours."""
+    monkeypatch.setattr(host_rules, "POSITION_BITS", ((1 << 16, spare), (1 << 24, spare), (1 << 31, spare)))
+    texts = [prose(i, 60) + " " + prose(i + i % 2, 60) for i in range(30)] + ["na " * 30, "a b", ""]
+    found = {r.id: r.n_repeat_words for r in host_rules.measures(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()}
+    for i, t in enumerate(texts):
+        w = split(t)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        assert found[i] == len({k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)})
+
+
 def test_host_rules(docs, none):
     found = host_rules.judge_hosts(docs).collect()
     expected = []
