@@ -18,6 +18,7 @@ from .tokenise import WordEncoder, tokenizer_file
 END = 0xFFFF  # beyond the ids of word_bpe_49k, so that no text encodes to it
 SHARD = 16 << 20  # most bytes of a file, but for a longer text
 BLOCK = 1 << 20  # bytes that one scan looks at
+RUN = 16  # blocks of a file that go to one task in a row
 
 
 def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END) -> DataFrame:
@@ -27,6 +28,9 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
     these literally encodes to it, which must not look like an end.
     ``folder`` is one that all executors share. A task writes files of some ``SHARD`` bytes,
     named by its attempt, so that an attempt that was lost leaves files nobody asks for.
+    Null and empty texts are the end alone; null and repeated ids and repeated rows are written
+    like others; an empty table writes nothing; other columns are not read. A vocabulary whose
+    ids don't fit 16 bits below ``end`` is refused.
     Returns the manifest, kept in the shared folder: file, doc_no (from 0 in its file), id.
     """
     vocabulary = tokenizer_file() if vocabulary is None else vocabulary
@@ -71,25 +75,30 @@ def scan_token_files(spark: SparkSession, folder: str, *, end: int = END, width:
     The files hold unsigned little-endian ids of ``width`` bytes (2 or 4) and nothing else; a
     document ends at the ``end`` id, which isn't counted, or, not closed, at the file's end;
     a file's last ids without ``end`` are a document, nothing behind the last ``end`` is none,
-    and a trailing part of an id is ignored. Spark reads the files (each must fit a row, so
-    under 2 GB). They are cut into blocks of ``block`` bytes, each searched by itself for the
-    places of ``end``. A prefix scan over the blocks of a file, a few thousand at most, then
-    gives the documents before each block and where the one that is open began.
+    and a trailing part of an id is ignored. Spark lists the files, but doesn't read them:
+    tasks read blocks of ``block`` bytes by their range, so that no file needs to fit a row or
+    a task, and search each by itself for the places of ``end``. A prefix scan over the blocks
+    of a file then gives the documents before each block and where the one that is open began.
     An empty file or folder gives no rows.
     """
     block -= block % width
-    size = F.length("content")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").where(size > 0)
-    blocks = files.select("file", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / block))).alias("block"), "content").select(
-        "file", "block", F.substring("content", (F.col("block") * block + 1).cast("int"), F.lit(block)).alias("bytes")
-    )
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).where("length > 0")
+    blocks = listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / block))).alias("block"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.withColumn("run", F.floor(F.col("block") / RUN)).repartition(partitions, "file", "run").sortWithinPartitions("file", "block").select("file", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        name, file = None, None
         for batch in batches:
             found, n = [], []
-            for data in batch.column(2):
-                raw = data.as_buffer()
-                ids = np.frombuffer(raw, f"<u{width}", raw.size // width)
+            for own, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != name:
+                    name, file = own, store.open_input_file(f"{root}/{own}")
+                raw = file.read_at(block, k * block)
+                ids = np.frombuffer(raw, f"<u{width}", len(raw) // width)
                 found.append(np.flatnonzero(ids == end))
                 n.append(len(ids))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -125,6 +134,6 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     try:
         manifest = write_token_files(table(spark, sf_dir, "documents"), path.toUri().toString() if path.toUri().getScheme() else path.toString())
         found = scan_token_files(spark, folder)
-        return checkpoint(manifest.join(found.where("closed"), ["file", "doc_no"], "left").select(F.col("id").alias("doc_id"), "n_tokens"))
+        return checkpoint(manifest.join(found.where("closed").hint("merge"), ["file", "doc_no"], "left").select(F.col("id").alias("doc_id"), "n_tokens"))
     finally:
         store.delete(path, True)
