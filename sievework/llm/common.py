@@ -37,9 +37,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it isn't set, one of this machine's if that is all of the cluster."""
     context = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and context._jsc.sc().getCheckpointDir().isEmpty() and not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(there or tempfile.mkdtemp(prefix="sievework-"))
     return there or context._jsc.sc().getCheckpointDir().get()
@@ -75,14 +77,6 @@ def most_frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.limit(0) if least is None else counted.where(step >= least)
 
 
-def row_key(*columns: Column) -> list[Column]:
-    """Two columns that tell rows apart by content; rows alike in ``columns`` share them.
-
-    Ids may be null or repeat, so that an id alone doesn't name a row.
-    """
-    return [F.xxhash64(*columns).alias("key_a"), F.xxhash64(F.lit(7), *columns).alias("key_b")]
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): rows (node, component), its smallest node.
 
