@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, table
 
-CELL = 256  # distinct vectors a cell, on average
+CELL = 2048  # distinct vectors a cell, on average
 PIVOTS = 2048  # most pivots: 1 MB at 64 dimensions
 CHUNK = 2048  # most vectors of a cell that one group looks up
 SLACK = 1e-7  # for rounding in bounds: the root of 2 - 2x is off by up to 2e-8 near 0
