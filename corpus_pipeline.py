@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import jaccard_join, mixing, packing, quality_cnn, suffix_dedup
@@ -20,18 +20,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, one row of it; rows without an id stay."""
-    found = jaccard_join.jaccard_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS))
-    kept = docs.select(COLUMNS).join(first, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(same_id)).where("__nth = 1")
-    return kept.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    """Of each group of near-duplicates one document: of the smallest id, null last, then of the smallest hash.
+
+    Rows are named by a hash of all their columns, so that rows of one id, or of none, are
+    documents of their own; rows alike in all columns are one. Texts without words link with
+    nothing and stay.
+    """
+    key = F.xxhash64(*[part for c in COLUMNS for part in (F.col(c).isNull(), F.col(c))])
+    keyed = docs.select(key.alias("key"), *COLUMNS)
+    found = jaccard_join.jaccard_components(keyed, id_col="key").select("key", F.col("component_id").alias("component")).distinct()
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    kept = keyed.select("key", "doc_id").join(found, "key").groupBy("component").agg(one).select("one.key")
+    return keyed.join(kept, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in COLUMNS]).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes that repeat; those with nothing left go."""
-    cut = suffix_dedup.as_text(suffix_dedup.remove_repeats(docs, keep=["doc_id", "lang", "source"]).where("n_removed = 0 or n_removed < n_bytes").select("doc_id", "kept", "lang", "source"))
-    return cut.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    cut = suffix_dedup.remove_repeats(docs, keep=["doc_id", "lang", "source"], binary=False)
+    return cut.where("n_removed = 0 or n_removed < n_bytes").withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,11 +24,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
             yield batch.slice(start, stop - start), data[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
             start = stop
-    give_back()
 
 
-def give_back() -> None:
-    """Returns freed memory to the system, for workers that stay and wait for other tasks."""
+def emptied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, after which freed memory goes back to the system: workers stay and wait for other tasks.
+
+    By then the frame that made them is gone, with all it held.
+    """
+    yield from batches
+    del batches
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import slices
+from .arrow_text import emptied, slices
 from .common import bounded_batches, most_frequent, table, written
 from .quality_cnn import fold
 from .shingles import LOWER, mix, span_hashes, word_spans
@@ -471,7 +471,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", st
     as the square root of the tasks, and then over the groups: no task gathers more copies.
     """
     source = bounded_batches(docs).select(F.col(text_col).alias("text"))
-    words = written(source.mapInArrow(_count, "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "words")
+    words = written(source.mapInArrow(lambda it: emptied(_count(it)), "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "words")
     top = most_frequent(words, LISTED).toPandas().sort_values(["n", "word"], ascending=[False, True])
     sums = words.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
     class_tokens, class_types = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
@@ -482,8 +482,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", st
     seeds = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).where(F.octet_length("text") < 20_000).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(start).select("text")
     for frame, passes, speed in ((seeds.coalesce(1), 6, rate), (source, 1, rate / 2)):
         now, parts = model, math.isqrt(frame.rdd.getNumPartitions()) + 1
-        replicas = frame.mapInArrow(lambda it, m=now, p=passes, r=speed: _train(it, m, vocabulary, r, p), shape)
-        merged = replicas.repartition(parts).mapInArrow(_average, shape).repartition(1).mapInArrow(_average, shape).collect()
+        replicas = frame.mapInArrow(lambda it, m=now, p=passes, r=speed: emptied(_train(it, m, vocabulary, r, p)), shape)
+        merged = replicas.repartition(parts).mapInArrow(lambda it: emptied(_average(it)), shape).repartition(1).mapInArrow(lambda it: emptied(_average(it)), shape).collect()
         if merged:
             model = unpack_model(merged[0]["model"], model)
     return model, vocabulary, words
@@ -526,7 +526,7 @@ def score(docs: DataFrame, model: Model, vocabulary: Vocabulary, words: DataFram
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key")).alias("row"), text.alias("text"))
     row_type = source.schema["row"].dataType.simpleString()
-    partial = written(source.mapInArrow(lambda it: _score(it, model, vocabulary), f"id {row_type}, n_tokens bigint, n_known bigint, base double, partial double, others array<struct<word:bigint,times:bigint>>"), "partial-scores")
+    partial = written(source.mapInArrow(lambda it: emptied(_score(it, model, vocabulary)), f"id {row_type}, n_tokens bigint, n_known bigint, base double, partial double, others array<struct<word:bigint,times:bigint>>"), "partial-scores")
     rare = (
         partial.select(F.col("id.key").alias("key"), "others").dropDuplicates(["key"]).select("key", F.explode("others").alias("o"))
         .select("key", "o.word", "o.times").join(words.select("word", "n"), "word")

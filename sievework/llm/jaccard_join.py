@@ -11,11 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import slices, utf8
+from .arrow_text import emptied, slices, utf8
 from .common import bounded_batches, checkpoint, components, most_frequent, table, written
 from .shingles import shingle_sets
 
 FREQUENT = 1 << 18  # most shingles that are ranked last by their count: 4 MB with the counts
+SLICE = 2 << 20  # bytes of text that a worker looks at together
+COUNTED = 4 << 20  # the same, where it counts shingles: more texts show more of what is frequent
 SALTS = 64  # parts of a frequent shingle's group
 SEEN = 1 << 20  # set digests that a task remembers: some 100 MB
 CHECK_COST = 20.0  # of checking a candidate, in prefix shingles
@@ -58,7 +60,7 @@ def prefixes(sets: np.ndarray, offsets: np.ndarray, percent: int, frequent: np.n
 
 def _described(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each row's id, its set's size, a 64-bit digest of the set, and the matches that it asks for."""
-    for rows, data, ends in slices(batches, "text"):
+    for rows, data, ends in slices(batches, "text", SLICE):
         sets, at = shingle_sets(data, ends, size)
         digest: list[int | None] = [None] * rows.num_rows
         asked = np.zeros(rows.num_rows, np.int32)
@@ -73,10 +75,17 @@ def _digest(found: np.ndarray) -> int:
 
 def _often(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
     """Shingles that ``least`` or more different sets of one slice hold, and how many."""
-    for _, data, ends in slices(batches, "text"):
+    for _, data, ends in slices(batches, "text", COUNTED):
         sets, at = shingle_sets(data, ends, size)
-        distinct = {sets[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)}
-        value, count = np.unique(np.frombuffer(b"".join(distinct), np.uint64), return_counts=True)
+        seen: set[int] = set()
+        fresh = np.zeros(len(at) - 1, bool)
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            digest = _digest(sets[a:b])
+            fresh[i] = digest not in seen
+            seen.add(digest)
+        found = sets if fresh.all() else sets[np.repeat(fresh, np.diff(at))]
+        del sets
+        value, count = np.unique(found, return_counts=True)
         keep = count >= least
         yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=["shingle", "n"])
 
@@ -87,7 +96,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, fre
     The groups of frequent shingles are dealt out in ``SALTS`` parts, from 1 on; others are whole, as part 0.
     """
     seen: set[int] = set()
-    for _, data, ends in slices(batches, "text"):
+    for _, data, ends in slices(batches, "text", SLICE):
         sets, at = shingle_sets(data, ends, size)
         shingle, node = [], []
         for i, _, found in prefixes(sets, at, percent, frequent, counts):
@@ -107,7 +116,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, fre
 
 def _similar(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose whole texts' sets are similar enough."""
-    for rows, data, ends in slices(batches, "text_a"):
+    for rows, data, ends in slices(batches, "text_a", SLICE):
         other = rows.column(rows.schema.get_field_index("text_b")).dictionary_encode()
         mine, mine_at = shingle_sets(data, ends, size)
         theirs, theirs_at = shingle_sets(*utf8(other.dictionary), size)
@@ -128,7 +137,7 @@ def _sent(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _whole(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(node, its whole set) of each text that has shingles."""
-    for _, data, ends in slices(batches, "text"):
+    for _, data, ends in slices(batches, "text", SLICE):
         sets, at = shingle_sets(data, ends, size)
         keep = np.flatnonzero(np.diff(at))
         node = [_digest(sets[at[i] : at[i + 1]]) for i in keep.tolist()]
@@ -232,7 +241,7 @@ def _cheap(rest: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def _sets(nodes: DataFrame, reps: DataFrame, named: DataFrame, size: int) -> DataFrame:
     """The rows (node, n, component) of ``nodes`` with the node's whole set in ``found``."""
     wanted = nodes.join(reps, "node").select(F.col("rep").alias("id")).distinct()
-    sets = _sent(wanted, named).mapInArrow(lambda it: _whole(it, size), "node bigint, found array<bigint>").dropDuplicates(["node"])
+    sets = _sent(wanted, named).mapInArrow(lambda it: emptied(_whole(it, size)), "node bigint, found array<bigint>").dropDuplicates(["node"])
     return written(sets.join(nodes, "node"), "whole-sets")
 
 
@@ -270,7 +279,7 @@ def _families(costly: DataFrame, rest: DataFrame, sets: DataFrame, percent: int)
     return checkpoint(
         dealt.select("family", "chunk", (F.col("own") == F.col("chunk")).alias("looked"), "component", "found")
         .repartition(partitions, "family", "chunk").sortWithinPartitions("family", "chunk", F.desc("looked"))
-        .mapInArrow(lambda it: _family_links(it, percent), f"a {id_type}, b {id_type}")
+        .mapInArrow(lambda it: emptied(_family_links(it, percent)), f"a {id_type}, b {id_type}")
     )
 
 
@@ -323,17 +332,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     named = source.where(F.col("id").isNotNull())
-    many = written(named.mapInArrow(lambda it: _often(it, size, often), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent-shingles")
+    many = written(named.mapInArrow(lambda it: emptied(_often(it, size, often)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent-shingles")
     top = most_frequent(many, FREQUENT).toPandas()
     by_value = np.argsort(top["shingle"].to_numpy(np.int64).view(np.uint64))
     frequent, counts = top["shingle"].to_numpy(np.int64).view(np.uint64)[by_value], top["n"].to_numpy(np.int64)[by_value]
 
-    described = checkpoint(source.mapInArrow(lambda it: _described(it, size, percent, frequent, counts), f"id {id_type}, n_shingles bigint, node bigint, asked int"))
+    described = checkpoint(source.mapInArrow(lambda it: emptied(_described(it, size, percent, frequent, counts)), f"id {id_type}, n_shingles bigint, node bigint, asked int"))
     nodes = checkpoint(
         described.where("id is not null and node is not null")
         .groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.max("asked").alias("asked"))
     )
-    prefix = named.mapInArrow(lambda it: _prefix_rows(it, size, percent, frequent, counts), "shingle bigint, salt tinyint, node bigint")
+    prefix = named.mapInArrow(lambda it: emptied(_prefix_rows(it, size, percent, frequent, counts)), "shingle bigint, salt tinyint, node bigint")
     part = Window.partitionBy("shingle", "salt")
     parts = written(
         prefix.withColumn("lead", F.min("node").over(part)).withColumn("last", F.max("node").over(part)).where("salt > 0 or lead <> last").distinct(),
@@ -356,7 +365,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             wanted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b")
-            .mapInArrow(lambda it: _similar(it, size, percent), f"a {id_type}, b {id_type}")
+            .mapInArrow(lambda it: emptied(_similar(it, size, percent)), f"a {id_type}, b {id_type}")
         )
 
     stars = shared.where("node <> lead").groupBy(F.col("node").alias("x"), F.col("lead").alias("y")).agg(F.count("*").alias("shared"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import slices
+from .arrow_text import emptied, slices
 from .common import bounded_batches, table
 from .shingles import mix, span_hashes
 
@@ -194,7 +194,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
                 row, *values = map(list, zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), *map(pa.array, values)], names=[id_col, "license", "coverage", "n_matched", "start", "stop"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, license string, coverage double, n_matched bigint, start bigint, stop bigint")
+    return source.mapInArrow(lambda it: emptied(run(it)), f"`{id_col}` {source.schema['id'].dataType.simpleString()}, license string, coverage double, n_matched bigint, start bigint, stop bigint")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

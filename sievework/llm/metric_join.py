@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_text import emptied
 from .common import checkpoint, components, table
 
 CELL = 2048  # distinct vectors a cell, on average
@@ -158,10 +159,10 @@ def embedding_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     wanted = max(1, min(PIVOTS, nodes.count() // CELL))
     picked = wide.orderBy(F.xxhash64("node"), "node").limit(wanted).select("group", F.col("vector").cast("array<double>").alias("vector")).collect()
     pivots = Pivots([r.group for r in picked], [r.vector for r in picked])
-    for r in wide.mapInArrow(lambda it: _radii(it, pivots), "cell bigint, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+    for r in wide.mapInArrow(lambda it: emptied(_radii(it, pivots)), "cell bigint, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
         pivots.radius[r.cell] = r.radius
     reach = float(np.sqrt(2 - 2 * least))
-    dealt = wide.mapInArrow(lambda it: _dealt(it, pivots, reach), f"`group` string, cell bigint, home boolean, node bigint, weight bigint, vector {kind}")
+    dealt = wide.mapInArrow(lambda it: emptied(_dealt(it, pivots, reach)), f"`group` string, cell bigint, home boolean, node bigint, weight bigint, vector {kind}")
     chunks = dealt.where("home").groupBy("group", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     placed = dealt.join(chunks, ["group", "cell"])
     looked = placed.where("home").select("group", "cell", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("looked"), "node", "weight", "vector")
@@ -169,7 +170,7 @@ def embedding_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = checkpoint(
         looked.unionByName(passing).repartition(partitions, "group", "cell", "chunk").sortWithinPartitions("group", "cell", "chunk", F.desc("looked"))
-        .mapInArrow(lambda it: _joined(it, least), "node bigint, links bigint, root bigint")
+        .mapInArrow(lambda it: emptied(_joined(it, least)), "node bigint, links bigint, root bigint")
     )
     together = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     by_node = nodes.select("node", "rep").join(together, "node", "left").withColumn("component", F.coalesce("component", "node"))

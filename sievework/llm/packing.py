@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import slices
+from .arrow_text import emptied, slices
 from .common import bounded_batches, table
 from .tokenise import WordEncoder, tokenizer_file
 
 WINDOW, END = 4096, 2
-GROUP = 4 << 20  # tokens that are packed together
+GROUP = 2 << 20  # tokens that are packed together
+ROWS = 512  # pieces of a batch, at most 8 MB of ids
 FULL = 15 / 16  # of a window; one less full is cut into powers of two
 
 
@@ -139,8 +140,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
             held.clear()
             found = pack_group(counts, window)
             text, length = found["text"], found["length"]
-            for at in range(0, len(text), 4096):
-                to = min(at + 4096, len(text))
+            for at in range(0, len(text), ROWS):
+                to = min(at + ROWS, len(text))
                 part = slice(at, to)
                 first = int(length[:at].sum())
                 size = np.concatenate([[0], np.cumsum(length[part])])
@@ -150,7 +151,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
             following += int(found["sequence"].max()) + 1 if len(text) else 0
 
         waiting = 0
-        for rows, data, ends in slices(batches, "text", 4 << 20):
+        for rows, data, ends in slices(batches, "text", 1 << 20):
             ids, text_ends = encoder.encode(data, ends)
             held.append((rows.column(0), ids, text_ends))
             waiting += len(ids)
@@ -160,7 +161,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         if held:
             yield from flush()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda it: emptied(run(it)), schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

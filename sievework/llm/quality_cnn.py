@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import slices, utf8
+from .arrow_text import emptied, slices, utf8
 from .common import bounded_batches, table
 
 DIMS, FILTERS, HIDDEN = 8, 32, 16
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: Sequen
             found = pa.array(score_texts(model, data, ends).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], found], names=[*kept, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda it: emptied(run(it)), schema)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> Model:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import slices, utf8
+from .arrow_text import emptied, slices, utf8
 from .common import bounded_batches, checkpoint, table, written
 from .shingles import BACK, BYTE, STEP, mix, powers
 
@@ -150,7 +150,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that each text is asked for."""
-    for rows, data, ends in slices(batches, "text", 4 << 20):
+    for rows, data, ends in slices(batches, "text", 1 << 20):
         asked = rows.column(rows.schema.get_field_index("asked"))
         flat = asked.flatten()
         of = np.repeat(np.arange(rows.num_rows), np.diff(asked.offsets.to_numpy()))
@@ -200,7 +200,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Which of the segments' strings occur twice: ranges of starts; and of hot anchors a row for each other string."""
-    for rows in _blocks(batches, 1 << 20):
+    for rows in _blocks(batches, 1 << 19):
         data, ends = utf8(rows.column(6))
         size = np.diff(ends)
         pointer = bucket_pointers(data, np.repeat(ends[1:], size), length)
@@ -229,9 +229,9 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(key[of[left]]), pa.array(start[left]), pa.array(start[left] + 1), pa.array(mix(value).view(np.int64)), rows.column(0).take(pa.array(of[left])), pa.array(np.where(settled, 2, 1))], names=names)
 
 
-def _remove(batches: Iterator[pa.RecordBatch], length: int, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], length: int, names: Sequence[str], binary: bool) -> Iterator[pa.RecordBatch]:
     """Each text without the bytes that its repeated strings cover."""
-    for rows, data, ends in slices(batches, "__text", 4 << 20):
+    for rows, data, ends in slices(batches, "__text", 1 << 20):
         asked = rows.column(rows.schema.get_field_index("__ranges"))
         flat = asked.flatten()
         of = np.repeat(np.arange(rows.num_rows), np.diff(asked.offsets.to_numpy()) if not asked.null_count else np.array([len(x) if x.is_valid else 0 for x in asked]))
@@ -252,25 +252,13 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, names: Sequence[str]
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(lo, ends).astype(np.int32)), pa.StructArray.from_arrays([pa.array(lo - ends[text]), pa.array(hi - ends[text])], names=["start", "stop"]))
         kept = np.concatenate([[0], np.cumsum(~gone)])[ends]
         column = pa.BinaryArray.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(data[~gone])])
+        if not binary:
+            column = pa.array([str(x.as_buffer(), "utf-8", "ignore") for x in column], pa.string())
         size = np.diff(ends)
         yield pa.RecordBatch.from_arrays([*rows.columns[:-2], pa.array(size), pa.array(size - np.diff(kept)), spans, column], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
 
 
-def as_text(rows: DataFrame, column: str = "kept") -> DataFrame:
-    """``rows`` with the binary ``column`` as text; what a cut has left of a character is dropped."""
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == column else f.dataType.simpleString()}" for f in rows.schema.fields)
-    names = rows.columns
-    at = names.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = pa.array([str(x.as_buffer(), "utf-8", "ignore") for x in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], text, *batch.columns[at + 1 :]], names=names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: Sequence[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep: Sequence[str] | None = None, binary: bool = True) -> DataFrame:
     """Every text without the bytes covered by a string of ``length`` bytes that also starts elsewhere.
 
     Sorting all suffixes would move every byte of the corpus many times. Here a string's
@@ -295,7 +283,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Returns the columns in ``keep`` (default: id alone), n_bytes, n_removed, spans (array of
     start, stop of the maximal removed runs) and kept (binary: a cut may fall inside a
-    character). A long text's strings are looked at a part at a time; its bytes and ranges
+    character; without ``binary`` a string, less what a cut has left of a character). A long text's strings are looked at a part at a time; its bytes and ranges
     are one row. Null text is empty; texts shorter than ``length`` stay whole; equal rows are
     texts like others, each found in the other; null ids are allowed; an empty table gives no
     rows. Columns named as an added one are replaced by it.
@@ -317,7 +305,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if again_keys:
         listed = F.broadcast(repeated.select("key")) if again_keys <= LISTED else repeated.select("key")
         keyed = keyed.join(listed, "key", "left_anti").unionByName(keyed.join(listed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-    runs = keyed.where(F.octet_length("text") >= length).mapInArrow(lambda it: _occurrences(it, length), "anchor bigint, digest bigint, key bigint, place bigint")
+    runs = keyed.where(F.octet_length("text") >= length).mapInArrow(lambda it: emptied(_occurrences(it, length)), "anchor bigint, digest bigint, key bigint, place bigint")
     often = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max(F.expr("place & 8192")).alias("several")).where("n > 1 or several > 0")
     repeats = written(runs.join(often.select("anchor", ((F.col("lo") != F.col("hi")) | (F.col("n") == 1)).alias("mixed")), "anchor"), "repeats")
 
@@ -331,10 +319,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             "anchor", F.pmod(F.xxhash64("digest"), "parts").cast("int").alias("salt"), (F.col("parts") > 1).alias("hot"), (F.col("n") > 1).alias("twice"), F.col("one.place").alias("place")
         ).alias("segment"),
     ).groupBy("key").agg(F.collect_list("segment").alias("asked"))
-    fetched = keyed.join(asked, "key").mapInArrow(lambda it: _cut_out(it, length), "anchor bigint, salt int, hot boolean, twice boolean, key bigint, place bigint, found binary")
+    fetched = keyed.join(asked, "key").mapInArrow(lambda it: emptied(_cut_out(it, length)), "anchor bigint, salt int, hot boolean, twice boolean, key bigint, place bigint, found binary")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     refined = written(
-        fetched.repartition(partitions, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(lambda it: _refine(it, length), "key bigint, lo bigint, hi bigint, string_a bigint, string_b bigint, n bigint"),
+        fetched.repartition(partitions, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(lambda it: emptied(_refine(it, length)), "key bigint, lo bigint, hi bigint, string_a bigint, string_b bigint, n bigint"),
         "refined",
     )
     single = refined.where("n is not null")
@@ -350,8 +338,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     joined = docs.select(key.alias("key"), F.struct(*names).alias("__kept"), text.alias("__text")).join(ranges, "key", "left")
     joined = joined.select("__kept.*", "__text", F.coalesce("__ranges", empty).alias("__ranges"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]], "n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"])
-    return joined.mapInArrow(lambda it: _remove(it, length, names), schema)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]], f"n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'binary' if binary else 'string'}"])
+    return joined.mapInArrow(lambda it: emptied(_remove(it, length, names, binary)), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import slices
+from .arrow_text import emptied, slices
 from .common import bounded_batches, checkpoint, shared_dir, table
 from .tokenise import WordEncoder, tokenizer_file
 
@@ -66,7 +66,7 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
         if held:
             yield flush()
 
-    return checkpoint(source.mapInArrow(run, f"file string, doc_no bigint, id {source.schema['id'].dataType.simpleString()}"))
+    return checkpoint(source.mapInArrow(lambda it: emptied(run(it)), f"file string, doc_no bigint, id {source.schema['id'].dataType.simpleString()}"))
 
 
 def scan_token_files(spark: SparkSession, folder: str, *, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -105,7 +105,7 @@ def scan_token_files(spark: SparkSession, folder: str, *, end: int = END, width:
             places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), places], names=["file", "block", "n", "ends"])
 
-    searched = blocks.mapInArrow(search, "file string, block bigint, n bigint, ends array<bigint>")
+    searched = blocks.mapInArrow(lambda it: emptied(search(it)), "file string, block bigint, n bigint, ends array<bigint>")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     base = F.col("block") * (block // width)

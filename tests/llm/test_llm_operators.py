@@ -10,7 +10,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from sievework.llm import gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, suffix_dedup, token_files
+from sievework.llm import common, gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, suffix_dedup, token_files
 from sievework.llm.common import components, most_frequent, shared_dir
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
@@ -61,7 +61,9 @@ def reach(links, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     rng = np.random.default_rng(0)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(20)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
