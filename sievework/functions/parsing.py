@@ -73,3 +73,8 @@ def header_field(header: Column, field: str = "activity") -> Column:
 def ceiling_rule(value: Column, censored: Column, ceiling: float = 128.0) -> Column:
     """Censored readings count as the ceiling if they reach it and as null below it; others stay."""
     return F.when(~censored, value).when(value >= ceiling, F.lit(ceiling))
+
+
+def antilog(value: Column, base: float = 10.0) -> Column:
+    """``base`` to the power of ``value``."""
+    return F.pow(F.lit(base), value)

@@ -80,20 +80,21 @@ def moment(seq: Column, window: int = 11, angle: float = 100.0, *, truncate_tail
     values, step = _literal_map(scales.EISENBERG), math.radians(angle)
     n = F.length(seq)
 
-    def at(start: Column) -> Column:
-        width = F.least(F.lit(window), n - start)
+    def side(wave) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(values, F.substring(seq, i + 1, F.lit(1))), F.lit(0.0)) * wave(F.lit(step) * i))
 
-        def side(wave) -> Column:
-            return F.aggregate(
-                F.sequence(F.lit(0), width - 1),
-                F.lit(0.0),
-                lambda total, i: total + F.coalesce(F.element_at(values, F.substring(seq, start + i + 1, F.lit(1))), F.lit(0.0)) * wave(F.lit(step) * (start + i)),
-            )
+    # each letter's share of both sides is found once; windows only add them up
+    sides = F.struct(side(F.cos).alias("x"), side(F.sin).alias("y"))
+    total = lambda part, start, width: F.aggregate(F.slice(part, start + 1, width), F.lit(0.0), lambda t, v: t + v)
 
-        return F.sqrt(F.pow(side(F.cos), 2) + F.pow(side(F.sin), 2)) / width
+    def over(part: Column, last: Column) -> Column:
+        width = lambda start: F.least(F.lit(window), n - start)
+        size = lambda start: F.sqrt(F.pow(total(part["x"], start, width(start)), 2) + F.pow(total(part["y"], start, width(start)), 2)) / width(start)
+        return F.array_max(F.transform(F.sequence(F.lit(0), last), size))
 
     last = n - 1 if truncate_tail else F.greatest(n - window, F.lit(0))
-    return F.when(n > 0, F.array_max(F.transform(F.sequence(F.lit(0), last), at))).when(n == 0, 0.0)
+    found = F.get(F.transform(F.array(sides), lambda part: over(part, last)), 0)
+    return F.when(n > 0, found).when(n == 0, 0.0)
 
 
 def longest_run(seq: Column, members: str) -> Column:
@@ -131,6 +132,18 @@ def most_in_window(seq: Column, members: str = scales.POSITIVE, window: int = 5)
     return F.when(seq.isNotNull(), F.array_max(F.transform(starts, lambda i: count_of(F.substring(seq, i, F.lit(window)), members))))
 
 
+def codes(seq: Column, alphabet: str = scales.ALPHABET, first: int = 0, other: int = -1) -> Column:
+    """The letters' places in ``alphabet``, counted from ``first``; ``other`` for letters that aren't in it."""
+    letters = F.when(F.length(seq) > 0, F.split(seq, "")).otherwise(F.array().cast("array<string>"))
+    return F.when(seq.isNotNull(), F.transform(letters, lambda c: F.when(F.instr(F.lit(alphabet), c) > 0, F.instr(F.lit(alphabet), c) - 1 + first).otherwise(other)))
+
+
+def with_controls(seq: Column, controls: list[Column], offsets: list[int], begin: int, end: int, alphabet: str = scales.ALPHABET) -> Column:
+    """A model's input: ``begin``, each control bin moved by its offset, the letters' codes, ``end``."""
+    prefix = F.array(F.lit(begin), *[(c + o).cast("int") for c, o in zip(controls, offsets, strict=True)])
+    return F.concat(prefix, codes(seq, alphabet), F.array(F.lit(end)))
+
+
 def face_fraction(seq: Column, angle: float = 100.0) -> Column:
     """Of the letters within 90 degrees of the moment's direction the share that is hydrophobic; 0 without a direction."""
     values, step = _literal_map(scales.EISENBERG), math.radians(angle)

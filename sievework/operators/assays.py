@@ -39,3 +39,14 @@ def least_with_flag(entries: str, value: str, flag: str, wanted: Column | None =
     usable = F.filter(F.col(entries), lambda e: e[value].isNotNull())
     placed = F.transform(usable, lambda e, i: F.struct(e[value].alias(value), i.alias("place"), e[flag].alias(flag)))
     return F.array_min(placed)
+
+
+def potent_weights(subjects: DataFrame, measurements: DataFrame, key: str, value: str, threshold: float = 16.0, more: float = 2.0) -> DataFrame:
+    """``subjects`` with ``weight``: ``more`` where the key's median is at most ``threshold``, else 1, also without measurements."""
+    potent = measurements.groupBy(key).agg(F.median(value).alias("median")).where(F.col("median") <= threshold).select(key, F.lit(more).alias("weight"))
+    return subjects.join(potent, key, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+
+def with_cluster(subjects: DataFrame, clusters: DataFrame, key: str, cluster: str = "cluster") -> DataFrame:
+    """``subjects`` with their cluster; a key that no cluster holds is a cluster of its own, named by the key."""
+    return subjects.join(clusters.select(key, cluster), key, "left").withColumn(cluster, F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("own:"), F.col(key).cast("string"))))

@@ -41,3 +41,12 @@ def weighted_draws(df: DataFrame, weight: str, key: str, draws: DataFrame, at: s
     total = F.sum(weight).over(Window.partitionBy())
     shares = df.withColumn("upper", F.sum(weight).over(upto) / total).withColumn("lower", F.col("upper") - F.col(weight) / total)
     return draws.join(F.broadcast(shares), (F.col(at) >= F.col("lower")) & (F.col(at) < F.col("upper")))
+
+
+def pooled(sources: list[DataFrame], column: str, keep: Column) -> DataFrame:
+    """The distinct values of ``column`` in all sources, upper-cased and trimmed, for which ``keep`` holds, with the number of the first source that has each."""
+    parts = [df.select(F.upper(F.trim(column)).alias(column), F.lit(i).alias("source")) for i, df in enumerate(sources)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.where(keep).groupBy(column).agg(F.min("source").alias("source"))

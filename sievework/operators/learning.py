@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cleaning import hashed_part
@@ -68,3 +70,9 @@ def out_of_fold(df: DataFrame, features: list[str], target: str, *, weight: str
         found = found.withColumn("guess", vector_to_array("probability")[1] if classify else F.col("prediction")).select(*df.columns, "guess")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def cosine_rate(step: Column, total: int, base: float, warmup: int) -> Column:
+    """A learning rate that rises in a line over ``warmup`` steps and falls to 0 along a half cosine at ``total``."""
+    done = F.least(F.lit(1.0), (step - warmup) / max(1, total - warmup))
+    return F.when(step < warmup, base * step / max(1, warmup)).otherwise(base * 0.5 * (1 + F.cos(math.pi * done)))

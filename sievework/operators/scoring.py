@@ -120,3 +120,10 @@ def tilted_weights(df: DataFrame, combo: list[str], tilt: Column) -> DataFrame:
     """Distinct combinations with counts and weights count * exp(tilt), summing to 1."""
     counts = df.groupBy(*combo).agg(F.count("*").alias("n")).withColumn("raw", F.col("n") * F.exp(tilt))
     return counts.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy())).drop("raw")
+
+
+def top_share(controls: DataFrame, bins: list[str], weight: str = "weight") -> DataFrame:
+    """For each bin column the share of the weight that lies in its highest bin."""
+    top = controls.agg(*[F.max(b).alias(b) for b in bins])
+    marked = controls.join(F.broadcast(top.select(*[F.col(b).alias(f"top_{b}") for b in bins])), F.lit(True))
+    return marked.agg(*[(F.sum(F.when(F.col(b) == F.col(f"top_{b}"), F.col(weight)).otherwise(0)) / F.sum(weight)).alias(b) for b in bins])

@@ -52,16 +52,16 @@ def split_quotas(members: DataFrame, cell: str, sub: str, cell_quotas: DataFrame
     return floors.withColumn("extra", F.when(nth <= rest, 1).otherwise(0)).select(cell, sub, (F.col("sub_quota") + F.col("extra")).alias("sub_quota"))
 
 
-def round_robin(df: DataFrame, groups: list[str], cluster: str, quality: str, row_id: str, rounds: int = 64) -> DataFrame:
-    """Adds ``nth``, the place of each row when a group takes in turn the best row left of each cluster; over ``rounds`` goes."""
+def round_robin(df: DataFrame, groups: list[str], cluster: str, quality: str, row_id: str, rounds: int | None = 64) -> DataFrame:
+    """Adds ``nth``, the place of each row when a group takes in turn the best row left of each cluster; over ``rounds`` goes (None: until all are taken)."""
     turn = F.row_number().over(Window.partitionBy(*groups, cluster).orderBy(F.desc(quality), row_id))
     place = F.row_number().over(Window.partitionBy(*groups).orderBy("turn", F.desc(quality), row_id))
-    return df.withColumn("turn", turn).where(F.col("turn") <= rounds).withColumn("nth", place).drop("turn")
+    return df.withColumn("turn", turn).where(F.lit(True) if rounds is None else F.col("turn") <= rounds).withColumn("nth", place).drop("turn")
 
 
 def select(
     df: DataFrame, cell_quotas: DataFrame, total: int, *, cell: str = "cell", cluster: str = "cluster", quality: str = "quality", row_id: str = "row_id",
-    forced: DataFrame | None = None, sub: str | None = None, sub_quotas: DataFrame | None = None, rounds: int = 64,
+    forced: DataFrame | None = None, sub: str | None = None, sub_quotas: DataFrame | None = None, rounds: int | None = 64,
 ) -> DataFrame:
     """(row_id, pos): ``total`` rows that fill the cells' quotas cluster-first by quality, in the order they are taken.
 
@@ -93,7 +93,7 @@ def select(
     short = F.lit(total) - F.lit(taken.count())
     spare = base.join(taken.select(row_id), key, "left_anti").join(used, cluster, "left")
     turn = F.coalesce("used", F.lit(0)) + F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(quality), row_id))
-    spare = spare.withColumn("turn", turn).where(F.col("turn") <= rounds).withColumn("nth", F.row_number().over(Window.orderBy("turn", F.desc(quality), row_id))).where(F.col("nth") <= short)
+    spare = spare.withColumn("turn", turn).where(F.lit(True) if rounds is None else F.col("turn") <= rounds).withColumn("nth", F.row_number().over(Window.orderBy("turn", F.desc(quality), row_id))).where(F.col("nth") <= short)
     taken = taken.union(spare.select(row_id, F.lit(2).alias("phase"), no_cell, F.lit(0).alias("minor"), "nth"))
     placed = taken.withColumn("pos", F.row_number().over(Window.orderBy("phase", "major", "minor", "nth")))
     return placed.where(F.col("pos") <= total).select(row_id, "pos")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import selection_queries, sequence_queries, table_queries
+from . import pool_queries, selection_queries, sequence_queries, table_queries
 
 FLAGSHIP = "select_quota_roundrobin"
-MODULES = [sequence_queries, table_queries, selection_queries]
+MODULES = [sequence_queries, table_queries, selection_queries, pool_queries]
 
 
 def queries() -> dict:
