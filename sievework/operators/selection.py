@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def quotas(reference: DataFrame, cell: str, total: int, floor: float = 0.0004) -> DataFrame:
     """(cell, quota) with the reference's histogram, summing to ``total``.
@@ -69,26 +71,26 @@ def select(
     its sub-regions' quotas and what is left of its own, each time in turn over the clusters;
     what cells can't fill is taken globally from the least used clusters. Beyond ``total``
     forced rows and then the first taken stay. Phases are windows, not loops; each phase's
-    result is persisted for the next (lost parts are computed again).
+    result is kept in the shared folder for the next, so a lost executor costs no rerun.
     """
     key = [row_id]
-    base = df.select(row_id, cell, cluster, quality, *([sub] if sub else [])).persist()
+    base = kept(df.select(row_id, cell, cluster, quality, *([sub] if sub else [])))
     no_cell = F.lit(None).cast(df.schema[cell].dataType).alias("major")
     none = base.limit(0).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), F.lit(0).alias("nth"))
     taken = none
     if forced is not None:
         order = F.row_number().over(Window.orderBy("forced_pos"))
-        taken = base.join(forced, row_id).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), order.alias("nth")).persist()
+        taken = kept(base.join(forced, row_id).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), order.alias("nth")))
     if sub and sub_quotas is not None:
         used = base.join(taken.select(row_id), key).groupBy(cell, sub).agg(F.count("*").alias("used"))
         open_ = base.join(taken.select(row_id), key, "left_anti").join(sub_quotas, [cell, sub]).join(used, [cell, sub], "left")
         open_ = open_.join(cell_quotas.where("quota > 0").select(cell), cell, "left_semi")
         picked = round_robin(open_, [cell, sub], cluster, quality, row_id, rounds).where(F.col("nth") <= F.col("sub_quota") - F.coalesce("used", F.lit(0)))
-        taken = taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.col(sub).cast("int").alias("minor"), "nth")).persist()
+        taken = kept(taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.col(sub).cast("int").alias("minor"), "nth")))
     used = base.join(taken.select(row_id), key).groupBy(cell).agg(F.count("*").alias("used"))
     open_ = base.join(taken.select(row_id), key, "left_anti").join(cell_quotas, cell).join(used, cell, "left")
     picked = round_robin(open_, [cell], cluster, quality, row_id, rounds).where(F.col("nth") <= F.col("quota") - F.coalesce("used", F.lit(0)))
-    taken = taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.lit(1 << 30).alias("minor"), "nth")).persist()
+    taken = kept(taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.lit(1 << 30).alias("minor"), "nth")))
     used = base.join(taken.select(row_id), key).groupBy(cluster).agg(F.count("*").alias("used"))
     short = F.lit(total) - F.lit(taken.count())
     spare = base.join(taken.select(row_id), key, "left_anti").join(used, cluster, "left")
@@ -109,7 +111,7 @@ def match_composition(df: DataFrame, pick: Callable[[DataFrame], DataFrame], par
     best, best_gap = None, float("inf")
     for _ in range(passes + 1):
         cost = sum((F.col(p) * x for p, x in zip(parts, prices, strict=True)), F.lit(0.0))
-        chosen = pick(df.withColumn(quality, F.col(quality) - cost)).select(row_id, *extra).persist()
+        chosen = kept(pick(df.withColumn(quality, F.col(quality) - cost)).select(row_id, *extra))
         means = df.join(chosen.select(row_id), row_id).agg(*[F.avg(p).alias(p) for p in parts]).first()
         off = [means[p] - t for p, t in zip(parts, target, strict=True)]
         gap = sum(x * x for x in off) ** 0.5

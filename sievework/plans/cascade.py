@@ -96,7 +96,7 @@ def ranked_list(df: DataFrame, quality: str, settings: Settings) -> DataFrame:
     """(row_id, pos) of the diverse list by one quality; only candidates that the walk may meet are compared."""
 
     def edges(ids: DataFrame, most_alike: float) -> DataFrame:
-        rows = df.select("row_id", "sequence").join(F.broadcast(ids), "row_id").persist()
+        rows = kept(df.select("row_id", "sequence").join(F.broadcast(ids), "row_id"))
         left, right = rows.select(F.col("row_id").alias("a"), F.col("sequence").alias("seq_a")), rows.select(F.col("row_id").alias("b"), F.col("sequence").alias("seq_b"))
         return similarity.similar_pairs(left, right, most_alike).where("a < b")
 

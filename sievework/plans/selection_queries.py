@@ -9,7 +9,7 @@ from ..functions import scales
 from ..functions import sequences as seq
 from ..functions.sequences import bin_of
 from ..operators import learning, selection, similarity, validation
-from ..session import table
+from ..session import kept, table
 from . import cascade
 from .sequence_queries import SEQS, parts
 from .table_queries import _CELLED
@@ -93,7 +93,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composition_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).persist()
+    rows = kept(_candidates(spark, sf_dir))
     wanted, parts_ = selection.quotas(rows, "cell", 100), [f"frac_{a}" for a in scales.ALPHABET]
     target = rows.agg(*[F.avg(p) for p in parts_]).first()
     chosen, _ = selection.match_composition(rows, lambda df: selection.select(df, wanted, 100), parts_, list(target))
@@ -101,7 +101,7 @@ def composition_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diverse_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).persist()
+    rows = kept(_candidates(spark, sf_dir))
     left, right = rows.select(F.col("row_id").alias("a"), F.col("sequence").alias("seq_a")), rows.select(F.col("row_id").alias("b"), F.col("sequence").alias("seq_b"))
     edges = similarity.similar_pairs(left, right, 0.65).where("a < b")
     ids = selection.diverse_top(rows, edges, 25)

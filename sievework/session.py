@@ -33,5 +33,7 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed now and kept in ``spark.checkpoint.dir``, so that later plans don't hold its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-"))
     return df.checkpoint()
