@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, suffix_dedup, token_files
+from . import conversation_repair, gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, suffix_dedup, token_files, vector_codes
 
 
 def queries() -> dict:
@@ -18,9 +18,11 @@ def queries() -> dict:
         "op8_source_mix": mixing.op8_source_mix,
         "op9_jaccard": jaccard_join.op9_jaccard,
         "op10_quality": quality_cnn.op10_quality,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {"op1_suffix_dedup": suffix_dedup.OP1_SQL, "op2_embedding_links": metric_join.OP2_SQL, "op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL, "op9_jaccard": jaccard_join.OP9_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.OP1_SQL, "op2_embedding_links": metric_join.OP2_SQL, "op6_host_rules": host_rules.OP6_SQL, "op8_source_mix": mixing.OP8_SQL, "op9_jaccard": jaccard_join.OP9_SQL, "op12_conversation_repair": conversation_repair.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
