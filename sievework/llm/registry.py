@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, suffix_dedup, token_files, vector_codes
+from . import conversation_repair, gru_lm, host_rules, jaccard_join, license_scan, metric_join, mixing, packing, quality_cnn, string_kernel, suffix_dedup, token_files, vector_codes
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_source_mix": mixing.op8_source_mix,
         "op9_jaccard": jaccard_join.op9_jaccard,
         "op10_quality": quality_cnn.op10_quality,
+        "op11_language_id": string_kernel.op11_language_id,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
