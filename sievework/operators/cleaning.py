@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+from .ranking import running
+
 
 def first_of_each(df: DataFrame, key: str, row_id: str) -> DataFrame:
     """Of the rows with one key the one with the smallest id, as struct minima that are combined before the shuffle."""
@@ -35,12 +38,29 @@ def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 def weighted_draws(df: DataFrame, weight: str, key: str, draws: DataFrame, at: str) -> DataFrame:
     """For each draw (a number in [0, 1) in column ``at``) the row whose stretch of the summed weights holds it.
 
-    ``df`` is a table of choices that fits one window, such as control combinations.
+    Choices of no weight are never drawn. Both tables may be of any size: weights are summed
+    up by ranges, and the choices' lower ends and the draws are merged in ranges of one order, where
+    a draw belongs to the last end before it; a range without one goes on with the last of
+    the ranges before, one row for each range.
     """
-    upto = Window.orderBy(key)
-    total = F.sum(weight).over(Window.partitionBy())
-    shares = df.withColumn("upper", F.sum(weight).over(upto) / total).withColumn("lower", F.col("upper") - F.col(weight) / total)
-    return draws.join(F.broadcast(shares), (F.col(at) >= F.col("lower")) & (F.col(at) < F.col("upper")))
+    some = df.where(F.col(weight) > 0)
+    total = some.agg(F.sum(weight)).first()[0]
+    if total is None:
+        return draws.limit(0).join(df.limit(0), F.lit(True))
+    ends = running(some.select(key, weight, F.struct(*df.columns).alias("choice")), [], [F.col(key)], "upto", weight=weight)
+    place = F.col("upto") / F.lit(total) - F.col(weight) / F.lit(total)
+    lower = ends.select(place.cast("double").alias("place"), F.lit(0).alias("kind"), key, "choice", F.lit(None).cast(draws.select(F.struct(*draws.columns)).schema[0].dataType).alias("draw"))
+    asked = draws.select(F.col(at).cast("double").alias("place"), F.lit(1).alias("kind"), F.lit(None).cast(df.schema[key].dataType).alias(key), F.lit(None).cast(lower.schema["choice"].dataType).alias("choice"), F.struct(*draws.columns).alias("draw"))
+    order = ["place", "kind", key]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = kept(lower.unionByName(asked.where("place >= 0 and place < 1")).repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()))
+    last = merged.where("kind = 0").groupBy("__part").agg(F.max_by("choice", F.struct("place", key)).alias("ended")).withColumnRenamed("__part", "__of")
+    parts = merged.select(F.col("__part").alias("__of")).distinct().join(last, "__of", "left")
+    earlier = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("__of", F.last("ended", ignorenulls=True).over(earlier).alias("carried"))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = merged.withColumn("own", F.last("choice", ignorenulls=True).over(inside)).where("kind = 1").join(F.broadcast(carried), F.col("__part") == F.col("__of"))
+    return met.select(F.col("draw.*"), F.coalesce("own", "carried").alias("choice")).select(*draws.columns, "choice.*")
 
 
 def pooled(sources: list[DataFrame], column: str, keep: Column) -> DataFrame:

@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 
-def _spread(df: DataFrame, order: list[Column], partitions: int = 64) -> DataFrame:
-    """``df`` with ``rank0`` and ``n_rows`` over a global order, without one task holding all rows.
 
-    Rows are range-partitioned and numbered within their partition; the partitions' sizes, a
-    few numbers, are summed up and joined back.
+def running(df: DataFrame, groups: list[str], order: list[Column], out: str, *, weight: str | None = None) -> DataFrame:
+    """Adds ``out``, each row's place from 1 within its group by ``order``, or the running sum of ``weight`` up to it.
+
+    No task holds a whole group: rows are range-partitioned by group and order and kept so,
+    summed up within their range, and ranges that go on with a group of an earlier one get
+    what came before. There is at most one such group in a range, so the table that is
+    broadcast has fewer rows than there are ranges. Rows that ``order`` can't tell apart share a range and come in any order.
     """
-    spread = df.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id())
-    sizes = spread.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).withColumn("n_rows", F.sum("size").over(Window.partitionBy())).drop("size")
-    inside = Window.partitionBy("part").orderBy(*order)
-    return spread.withColumn("nth", F.row_number().over(inside)).join(F.broadcast(before), "part").withColumn("rank0", F.col("before") + F.col("nth") - 1).drop("part", "before", "nth")
+    part = "__part"
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = kept(df.repartitionByRange(ranges, *[F.col(g) for g in groups], *order).withColumn(part, F.spark_partition_id()))
+    inside = Window.partitionBy(part, *groups).orderBy(*order)
+    step, total = (F.row_number().over(inside), F.count("*")) if weight is None else (F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.sum(weight))
+    names = {g: f"__group{i}" for i, g in enumerate(groups)}
+    sums = spread.groupBy(F.col(part).alias("__of"), *[F.col(g).alias(n) for g, n in names.items()]).agg(total.alias("__sum"), F.count("*").alias("__rows"))
+    earlier = Window.partitionBy(*names.values()).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__of", *names.values(), F.sum("__sum").over(earlier).alias("__before")).where("__before is not null")
+    met = F.col(part) == F.col("__of")
+    for g, n in names.items():
+        met &= F.col(g).eqNullSafe(F.col(n))
+    found = spread.withColumn(out, step).join(F.broadcast(before), met, "left")
+    return found.withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).select(*[c for c in df.columns if c != out], out)
 
 
 def with_rank(df: DataFrame, value: str, row_id: str) -> DataFrame:
     """Adds ``rank0``, from 0 by value and id, and ``n_rows``."""
-    return _spread(df, [F.col(value).asc(), F.col(row_id).asc()])
+    placed = running(df, [], [F.col(value).asc(), F.col(row_id).asc()], "rank0")
+    return placed.withColumn("rank0", F.col("rank0") - 1).withColumn("n_rows", F.lit(df.count()))
 
 
 def quantile_bin(df: DataFrame, value: str, row_id: str, bins: int) -> DataFrame:

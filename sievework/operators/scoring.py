@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scales
+from .ranking import running
 
 Scorer = Callable[[Column], Column]
 
@@ -86,10 +87,9 @@ def quality(potency: str, surrogate: str, *, amp: str = "amp", safe: str = "safe
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds ranks from 1, ties at their mean: counted by value, so equal values meet as one row."""
-    counts = df.groupBy(value).agg(F.count("*").alias("ties"))
-    upto = F.sum("ties").over(Window.orderBy(value))
-    return df.join(counts.select(value, (upto - (F.col("ties") - 1) / 2).alias(out)), value)
+    """Adds ranks from 1, ties at their mean: counted by value, so equal values meet as one row, and summed up by ranges of values."""
+    counts = running(df.groupBy(value).agg(F.count("*").alias("ties")), [], [F.col(value)], "upto", weight="ties")
+    return df.join(counts.select(value, (F.col("upto") - (F.col("ties") - 1) / 2).alias(out)), value)
 
 
 def regression_report(df: DataFrame, truth: str, guess: str) -> DataFrame:

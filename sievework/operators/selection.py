@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
+from .ranking import running
 
 
 def quotas(reference: DataFrame, cell: str, total: int, floor: float = 0.0004) -> DataFrame:
@@ -54,24 +55,29 @@ def split_quotas(members: DataFrame, cell: str, sub: str, cell_quotas: DataFrame
     return floors.withColumn("extra", F.when(nth <= rest, 1).otherwise(0)).select(cell, sub, (F.col("sub_quota") + F.col("extra")).alias("sub_quota"))
 
 
-def round_robin(df: DataFrame, groups: list[str], cluster: str, quality: str, row_id: str, rounds: int | None = 64) -> DataFrame:
-    """Adds ``nth``, the place of each row when a group takes in turn the best row left of each cluster; over ``rounds`` goes (None: until all are taken)."""
-    turn = F.row_number().over(Window.partitionBy(*groups, cluster).orderBy(F.desc(quality), row_id))
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy("turn", F.desc(quality), row_id))
-    return df.withColumn("turn", turn).where(F.lit(True) if rounds is None else F.col("turn") <= rounds).withColumn("nth", place).drop("turn")
+def round_robin(df: DataFrame, groups: list[str], cluster: str, quality: str, row_id: str, rounds: int | None = None) -> DataFrame:
+    """Adds ``nth``, the place of each row when a group takes in turn the best row left of each cluster, until all are taken or ``rounds`` are over.
+
+    Neither a group nor a cluster goes to one task.
+    """
+    turned = running(df, [*groups, cluster], [F.desc(quality), F.col(row_id)], "turn")
+    if rounds is not None:
+        turned = turned.where(F.col("turn") <= rounds)
+    return running(turned, groups, [F.col("turn"), F.desc(quality), F.col(row_id)], "nth").drop("turn")
 
 
 def select(
     df: DataFrame, cell_quotas: DataFrame, total: int, *, cell: str = "cell", cluster: str = "cluster", quality: str = "quality", row_id: str = "row_id",
-    forced: DataFrame | None = None, sub: str | None = None, sub_quotas: DataFrame | None = None, rounds: int | None = 64,
+    forced: DataFrame | None = None, sub: str | None = None, sub_quotas: DataFrame | None = None, rounds: int | None = None,
 ) -> DataFrame:
     """(row_id, pos): ``total`` rows that fill the cells' quotas cluster-first by quality, in the order they are taken.
 
     Forced rows come first and count towards their cell and sub-region. Then each cell takes
     its sub-regions' quotas and what is left of its own, each time in turn over the clusters;
     what cells can't fill is taken globally from the least used clusters. Beyond ``total``
-    forced rows and then the first taken stay. Phases are windows, not loops; each phase's
-    result is kept in the shared folder for the next, so a lost executor costs no rerun.
+    forced rows and then the first taken stay. ``rounds`` ends each phase's turns early, which
+    may leave fewer than ``total`` rows. Phases are running places over ranges, not loops; each
+    phase's result is kept in the shared folder for the next, so a lost executor costs no rerun.
     """
     key = [row_id]
     base = kept(df.select(row_id, cell, cluster, quality, *([sub] if sub else [])))
@@ -79,8 +85,8 @@ def select(
     none = base.limit(0).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), F.lit(0).alias("nth"))
     taken = none
     if forced is not None:
-        order = F.row_number().over(Window.orderBy("forced_pos"))
-        taken = kept(base.join(forced, row_id).select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), order.alias("nth")))
+        first = running(base.join(forced, row_id).select(row_id, "forced_pos"), [], [F.col("forced_pos"), F.col(row_id)], "nth")
+        taken = kept(first.select(row_id, F.lit(0).alias("phase"), no_cell, F.lit(0).alias("minor"), "nth"))
     if sub and sub_quotas is not None:
         used = base.join(taken.select(row_id), key).groupBy(cell, sub).agg(F.count("*").alias("used"))
         open_ = base.join(taken.select(row_id), key, "left_anti").join(sub_quotas, [cell, sub]).join(used, [cell, sub], "left")
@@ -92,13 +98,17 @@ def select(
     picked = round_robin(open_, [cell], cluster, quality, row_id, rounds).where(F.col("nth") <= F.col("quota") - F.coalesce("used", F.lit(0)))
     taken = kept(taken.union(picked.select(row_id, F.lit(1).alias("phase"), F.col(cell).alias("major"), F.lit(1 << 30).alias("minor"), "nth")))
     used = base.join(taken.select(row_id), key).groupBy(cluster).agg(F.count("*").alias("used"))
-    short = F.lit(total) - F.lit(taken.count())
-    spare = base.join(taken.select(row_id), key, "left_anti").join(used, cluster, "left")
-    turn = F.coalesce("used", F.lit(0)) + F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(quality), row_id))
-    spare = spare.withColumn("turn", turn).where(F.lit(True) if rounds is None else F.col("turn") <= rounds).withColumn("nth", F.row_number().over(Window.orderBy("turn", F.desc(quality), row_id))).where(F.col("nth") <= short)
-    taken = taken.union(spare.select(row_id, F.lit(2).alias("phase"), no_cell, F.lit(0).alias("minor"), "nth"))
-    placed = taken.withColumn("pos", F.row_number().over(Window.orderBy("phase", "major", "minor", "nth")))
-    return placed.where(F.col("pos") <= total).select(row_id, "pos")
+    short = total - taken.count()
+    if short > 0:
+        spare = base.join(taken.select(row_id), key, "left_anti").join(used, cluster, "left")
+        spare = running(spare, [cluster], [F.desc(quality), F.col(row_id)], "turn").withColumn("turn", F.coalesce("used", F.lit(0)) + F.col("turn"))
+        if rounds is not None:
+            spare = spare.where(F.col("turn") <= rounds)
+        best = spare.orderBy("turn", F.desc(quality), row_id).limit(short).select(row_id, "turn", quality)
+        extra = running(best, [], [F.col("turn"), F.desc(quality), F.col(row_id)], "nth")
+        taken = taken.union(extra.select(row_id, F.lit(2).alias("phase"), no_cell, F.lit(0).alias("minor"), "nth"))
+    placed = running(taken, [], [F.col("phase"), F.col("major"), F.col("minor"), F.col("nth")], "pos")
+    return placed.where(F.col("pos") <= total).select(row_id, F.col("pos").cast("int").alias("pos"))
 
 
 def match_composition(df: DataFrame, pick: Callable[[DataFrame], DataFrame], parts: list[str], target: list[float], *, quality: str = "quality", row_id: str = "row_id", passes: int = 8, step: float = 14.0, tolerance: float = 0.012, extra: tuple[str, ...] = ()) -> tuple[DataFrame, float]:

@@ -47,8 +47,8 @@ def quota_roundrobin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TURNS = "turns AS (SELECT doc_id, cell, source, n_chars, row_number() OVER (PARTITION BY cell, source ORDER BY n_chars DESC, doc_id) AS turn FROM celled)"
-QUOTA_ROUNDROBIN = f"""WITH {_QUOTAS}, {_TURNS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY turn, n_chars DESC, doc_id) AS nth FROM turns WHERE turn <= 64)
-SELECT doc_id, cell, CAST(nth AS INT) AS nth FROM ordered JOIN quotas USING (cell) WHERE nth <= quota"""
+QUOTA_ROUNDROBIN = f"""WITH {_QUOTAS}, {_TURNS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY turn, n_chars DESC, doc_id) AS nth FROM turns)
+SELECT doc_id, cell, nth FROM ordered JOIN quotas USING (cell) WHERE nth <= quota"""
 
 
 def full_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,12 @@ def full_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 FULL_SELECTION = f"""WITH {_QUOTAS}, forced AS (SELECT c.*, row_number() OVER (ORDER BY doc_id) AS nth FROM celled c JOIN labels USING (doc_id) WHERE toxic = 1),
 open AS (SELECT * FROM celled WHERE doc_id NOT IN (SELECT doc_id FROM forced)), used AS (SELECT cell, count(*) AS u FROM forced GROUP BY cell),
 turned AS (SELECT *, row_number() OVER (PARTITION BY cell, source ORDER BY n_chars DESC, doc_id) AS turn FROM open),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY turn, n_chars DESC, doc_id) AS nth FROM turned WHERE turn <= 64),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY turn, n_chars DESC, doc_id) AS nth FROM turned),
 filled AS (SELECT o.doc_id, o.cell, o.source, o.nth FROM ordered o JOIN quotas USING (cell) LEFT JOIN used USING (cell) WHERE nth <= quota - coalesce(u, 0)),
 taken AS (SELECT doc_id, source, 0 AS phase, NULL AS cell, nth FROM forced UNION ALL SELECT doc_id, source, 1, cell, nth FROM filled),
 by_source AS (SELECT source, count(*) AS u FROM taken GROUP BY source),
 spare AS (SELECT doc_id, n_chars, coalesce(u, 0) + row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS turn FROM celled LEFT JOIN by_source USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM taken)),
-extra AS (SELECT doc_id, row_number() OVER (ORDER BY turn, n_chars DESC, doc_id) AS nth FROM spare WHERE turn <= 64),
+extra AS (SELECT doc_id, row_number() OVER (ORDER BY turn, n_chars DESC, doc_id) AS nth FROM spare),
 everyone AS (SELECT doc_id, phase, cell, nth FROM taken UNION ALL SELECT doc_id, 2, NULL, nth FROM extra WHERE nth <= (SELECT t FROM total) - (SELECT count(*) FROM taken)),
 final AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY phase, cell, nth) AS INT) AS pos FROM everyone)
 SELECT doc_id, pos FROM final WHERE pos <= (SELECT t FROM total)"""

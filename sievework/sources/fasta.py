@@ -3,12 +3,15 @@
 ``spark.dataSource.register(FastaSource)``, then ``spark.read.format("fasta").load(path)``
 gives (file, nth, header, sequence); a file is a partition. Text before the first header is
 dropped, wrapped lines are joined and upper-cased, records without letters stay. The writer
-takes (header, sequence) in the frame's order, a file for each partition.
+takes (header, sequence) in the frame's order, a file for each partition; it appends or overwrites
+as asked, all files of a job or none.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,20 +58,58 @@ class _Reader(DataSourceReader):
                 yield partition.value.rpartition("/")[2], nth, header, sequence
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task's finished file."""
+
+    file: str
+    part: int
+
+
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    """Tasks write files of their own attempt into a hidden folder; the driver moves the winners' on commit, so a failed or repeated attempt leaves nothing."""
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+
+    def _open(self):
         from pyarrow import fs
-        from pyspark import TaskContext
 
         store, root = fs.FileSystem.from_uri(self.path)
-        store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():05d}.fasta") as file:
+        return store, root, f"{root}/_attempts-{self.job}"
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        store, _, attempts = self._open()
+        store.create_dir(attempts, recursive=True)
+        context = TaskContext.get()
+        file = f"{attempts}/{context.partitionId():05d}-{context.taskAttemptId()}"
+        with store.open_output_stream(file) as out:
             for row in iterator:
-                file.write(f">{row.header}\n{row.sequence}\n".encode())
-        return WriterCommitMessage()
+                out.write(f">{row.header}\n{row.sequence}\n".encode())
+        return _Written(file, context.partitionId())
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
+        store, root, attempts = self._open()
+        store.create_dir(root, recursive=True)
+        if self.overwrite:
+            for old in store.get_file_info(fs.FileSelector(root)):
+                if old.is_file:
+                    store.delete_file(old.path)
+        for m in messages:
+            if m is not None:
+                store.move(m.file, f"{root}/part-{m.part:05d}-{self.job}.fasta")
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
+        store, _, attempts = self._open()
+        if store.get_file_info(attempts).type == fs.FileType.Directory:
+            store.delete_dir(attempts)
 
 
 class FastaSource(DataSource):
@@ -85,7 +126,7 @@ class FastaSource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -27,13 +27,13 @@ def loop_select(rows, quotas, total, forced):
         take(by_id[i])
     for cell in sorted(quotas):
         got, local = sum(r[1] == cell for r in chosen), {}
-        for turn in range(1, 65):
+        for turn in range(1, len(rows) + 1):
             for r in order:
                 if got < quotas[cell] and r[1] == cell and r not in chosen and local.get(r[2], 0) < turn:
                     local[r[2]] = local.get(r[2], 0) + 1
                     take(r)
                     got += 1
-    for turn in range(1, 65):
+    for turn in range(1, len(rows) + 1):
         for r in order:
             if len(chosen) < total and r not in chosen and used.get(r[2], 0) < turn:
                 take(r)
@@ -107,6 +107,57 @@ def test_fasta_round_trip(spark, tmp_path):
     assert [(r.header, r.sequence) for r in fasta.read_fasta(spark, str(tmp_path / "out")).orderBy("nth").collect()] == [("seq1", "ACD"), ("seq2", "GH")]
 
 
+def test_fasta_appends_overwrites_and_cleans_up(spark, tmp_path):
+    out = tmp_path / "out"
+    spark.dataSource.register(fasta.FastaSource)
+    rows = lambda *names: spark.createDataFrame([(n, "ACD") for n in names], "header string, sequence string").repartition(2)
+    for names in (("a", "b"), ("c", "d", "e")):
+        rows(*names).write.format("fasta").mode("append").save(str(out))
+    assert sorted(r.header for r in fasta.read_fasta(spark, str(out)).collect()) == list("abcde")
+    broken = rows("f", "g").withColumn("header", F.when(F.col("header") == "g", F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("header")))
+    with pytest.raises(Exception, match="broken"):
+        broken.write.format("fasta").mode("append").save(str(out))
+    assert sorted(r.header for r in fasta.read_fasta(spark, str(out)).collect()) == list("abcde") and not [f for f in out.iterdir() if f.name.startswith("_")]
+    rows("z").write.format("fasta").mode("overwrite").save(str(out))
+    assert [r.header for r in fasta.read_fasta(spark, str(out)).collect()] == ["z"]
+
+
+def test_one_cluster_fills_the_quota(spark):
+    """200 rows of one cluster and cell: a quota above 64 is filled."""
+    df = spark.createDataFrame([(i, "a", 1, float(i % 7)) for i in range(200)], "row_id long, cell string, cluster int, quality double")
+    found = selection.select(df, spark.createDataFrame([("a", 100)], "cell string, quota long"), 150).collect()
+    assert len(found) == len({r.row_id for r in found}) == 150 and sorted(r.pos for r in found) == list(range(1, 151))
+    assert selection.round_robin(df, ["cell"], "cluster", "quality", "row_id", rounds=64).count() == 64
+
+
+@pytest.mark.parametrize("groups", [[], ["g"], ["g", "h"]])
+def test_running_places_and_sums(spark, groups):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(2), rng.randrange(50), rng.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, h int, v int, w int")
+    found = ranking.running(ranking.running(df, groups, [F.desc("v"), F.col("id")], "nth"), groups, [F.desc("v"), F.col("id")], "upto", weight="w").collect()
+    place, total = {}, {}
+    for r in sorted(found, key=lambda r: (-r.v, r.id)):
+        key = tuple(r[g] for g in groups)
+        place[key], total[key] = place.get(key, 0) + 1, total.get(key, 0) + r.w
+        assert (r.nth, r.upto) == (place[key], total[key])
+    assert len(found) == 500
+
+
+def test_weighted_draws_merge(spark):
+    choices = [(i, (i * 7) % 5) for i in range(200)]
+    df, draws = spark.createDataFrame(choices, "k int, w int"), spark.createDataFrame([(j, j / 997) for j in range(997)], "j int, u double")
+    out = cleaning.weighted_draws(df, "w", "k", draws, "u")
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    total, upper, ends = sum(w for _, w in choices), 0, []
+    for k, w in choices:
+        upper += w
+        ends.append((upper / total - w / total, k, w))
+    expected = {j: max(e for e in ends if e[2] and e[0] <= j / 997)[1] for j in range(997)}
+    assert {r.j: r.k for r in out.collect()} == expected
+    assert cleaning.weighted_draws(df.where("w < 0"), "w", "k", draws, "u").count() == 0
+
+
 def test_records(spark, tmp_path):
     good = {"id": "1", "sequence": "kwk", "complexity": {"name": "Monomer"}, "cTerminus": {"name": "AMD"}, "hemoliticCytotoxicActivities": [
         {"targetCell": "Human erythrocytes", "concentration": ">100", "unit": "µM"}, {"targetCell": {"name": "Human erythrocytes"}, "concentration": "50", "unit": {"name": "µM"}}, {"targetCell": "Sheep erythrocytes", "concentration": "1", "unit": "µM"}],
