@@ -116,22 +116,88 @@ def length_gate(threshold: float) -> float:
     return threshold / (2 - threshold)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, ratio) of the pairs above ``threshold``, from (a, seq_a) and (b, seq_b).
+_BITS, _PER = 16, 3  # letters' counts in 64 bits: no sum carries, and none is negative
+
+
+def _tallies(seq: str) -> list[str]:
+    """SQL for how often each letter of the alphabet occurs, and all others together, three counts to a number."""
+    counts = [f"(length({seq}) - length(replace({seq}, '{a}', '')))" for a in scales.ALPHABET]
+    counts.append(f"length(regexp_replace({seq}, '[{scales.ALPHABET}]', ''))")
+    packed = [counts[i : i + _PER] for i in range(0, len(counts), _PER)]
+    return [" + ".join(f"shiftleft(cast(least({c}, 65535) as bigint), {_BITS * k})" for k, c in enumerate(group)) for group in packed]
+
+
+def _most_shared(n: int) -> str:
+    """SQL for the letters that two rows have in common at most, whatever their order: a bound of their longest common subsequence."""
+    out = []
+    for i in range(n):
+        for k in range(_PER):
+            out.append("least({})".format(", ".join(f"shiftright({side}{i}, {_BITS * k}) & 65535" for side in ("ta", "tb"))))
+    return " + ".join(out)
+
+
+def _plan(threshold: float) -> dict[str, str]:
+    """SQL for a pair of lengths (la, lb): letters that must match, edits left, segments of b, and how many edits the best of them has.
 
-    Only admissible lengths meet: each left row is repeated for every length that the gate
-    allows, and joined on the length. Strings that share no ``k``-gram can't be that similar
-    when k is small, but no such filter is applied: the result is exact.
+    Of D + 1 segments one has no edit; of D div 2 + 1 one has at most one. Where such segments
+    would be too short to tell anything, there are none (0): all pairs of these lengths meet.
     """
+    need = f"(cast(floor({threshold!r}D * (la + lb) / 2 - 1e-9) as int) + 1)"
+    return {
+        "need": need,
+        "edits": "la + lb - 2 * need",
+        "segments": "case when lb div (edits + 1) >= 3 then edits + 1 when lb div (edits div 2 + 1) >= 4 then edits div 2 + 1 else 0 end",
+        "loose": "segments <= edits",
+    }
+
+
+_SEGMENTS = "transform(sequence(0, segments - 1), i -> named_struct('i', i, 'p', i * lb div segments, 'w', (i + 1) * lb div segments - i * lb div segments))"
+_SHORTER = "transform(sequence(1, length({x})), d -> concat({tag}, substr({x}, 1, d - 1), substr({x}, d + 1)))"
+_OF_B = (
+    f"flatten(transform({_SEGMENTS}, s -> concat(array(concat(s.i, '=', substr(seq_b, s.p + 1, s.w))), "
+    "if(loose, {}, array()))))"
+).format(_SHORTER.format(x="substr(seq_b, s.p + 1, s.w)", tag="s.i, '-'"))
+_PLACES = "filter(sequence(greatest(0, s.p - (lb - need)), least(la, s.p + la - need)), q -> q + s.w - 1 <= la)"
+_OF_A = (
+    f"flatten(transform({_SEGMENTS}, s -> flatten(transform({_PLACES}, q -> concat("
+    "if(q + s.w <= la, array(concat(s.i, '=', substr(seq_a, q + 1, s.w))), array()), "
+    "if(loose, array(concat(s.i, '-', substr(seq_a, q + 1, s.w - 1))), array()), "
+    "if(loose and q + s.w + 1 <= la, {}, array()))))))"
+).format(_SHORTER.format(x="substr(seq_a, q + 1, s.w + 1)", tag="s.i, '='"))
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, seq_a, seq_b) of all pairs that may be more alike than ``threshold``, from (a, seq_a) and (b, seq_b) with unique ids.
+
+    A pair that is has ``need`` letters in common, so its D = la + lb - 2 need edits leave one of D + 1
+    segments of b whole, or one of D div 2 + 1 with at most one letter dropped or added; a has that
+    segment within as many places as letters may go missing before it. So a row of b goes to its
+    segments (and these less one letter), a row of a to its windows there, and rows meet on
+    equal strings. Pairs whose letters, order aside, can't have ``need`` in common are dropped in the join.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
     gate = length_gate(threshold)
-    n = F.length("seq_a")
-    lengths = F.sequence(F.ceil(n * gate - 1e-9).cast("int"), F.floor(n / gate + 1e-9).cast("int"))
-    return (
-        left.withColumn("len", F.explode(lengths))
-        .join(right.withColumn("len", F.length("seq_b")), "len")
-        .select("a", "b", indel_ratio()("seq_a", "seq_b").alias("ratio"))
-        .where(F.col("ratio") > threshold)
-    )
+    tallies = len(_tallies("x"))
+
+    def keyed(df: DataFrame, row_id: str, seq: str, own: str, other: str, side: str, keys: str) -> DataFrame:
+        lengths = f"sequence(cast(ceil({own} * {gate!r}D - 1e-9) as int), cast(floor({own} / {gate!r}D + 1e-9) as int))"
+        out = df.select(row_id, seq, F.length(seq).alias(own), *[F.expr(t).alias(f"{side}{i}") for i, t in enumerate(_tallies(seq))])
+        out = out.withColumn(other, F.explode(F.expr(lengths)))
+        for name, value in _plan(threshold).items():
+            out = out.withColumn(name, F.expr(value))
+        out = out.where("need <= least(la, lb)")
+        return out.withColumn("key", F.explode(F.expr(f"if(segments > 0, array_distinct({keys}), array(''))"))).select(row_id, seq, "la", "lb", "key", "need", *[f"{side}{i}" for i in range(tallies)])
+
+    a, b = keyed(left, "a", "seq_a", "la", "lb", "ta", _OF_A), keyed(right, "b", "seq_b", "lb", "la", "tb", _OF_B).drop("need")
+    met = a.join(b, ["la", "lb", "key"]).where(f"la > 65535 or lb > 65535 or {_most_shared(tallies)} >= need")
+    return met.select("a", "b", "seq_a", "seq_b").distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ratio) of the pairs above ``threshold``, from (a, seq_a) and (b, seq_b) with unique ids: exact, whatever ``candidate_pairs`` spares."""
+    met = candidate_pairs(left, right, threshold)
+    return met.select("a", "b", indel_ratio()("seq_a", "seq_b").alias("ratio")).where(F.col("ratio") > threshold)
 
 
 def nearest(df: DataFrame, centroids: DataFrame, cell: str | None = None) -> DataFrame:
