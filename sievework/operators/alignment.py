@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import grams
-from ..session import kept
+from ..session import kept, written
 from .ranking import running
 
 MATCH, MISMATCH, OPEN, EXTEND = 2, -1, -3, -1
@@ -136,7 +136,7 @@ def identity_clusters(df: DataFrame, *, row_id: str = "row_id", sequence: str =
         open_ = tokens.join(state.where("rep is null or rep <> place"), "place").select("gram", F.col("place").alias("a"), "rep")
         joins = checked(open_.join(calls, "gram").where("b < a and (rep is null or b < rep)").select("a", "b"))
         found = joins.groupBy(F.col("a").alias("place")).agg(F.min("b").alias("found")).unionByName(elected.select("place", F.col("place").alias("found")))
-        state = kept(state.join(found, "place", "left").select("place", F.least("rep", "found").alias("rep")))
+        state = written(state.join(found, "place", "left").select("place", F.least("rep", "found").alias("rep")))
         left = state.where("rep is null").count()
         first, undecided = 4 * first if undecided - left < left else first, left
     names = nodes.select("sequence", "place").join(state, "place").select("sequence", F.col("rep").alias("of"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import kept, written
 from .ranking import running
 
 
@@ -133,34 +133,57 @@ def match_composition(df: DataFrame, pick: Callable[[DataFrame], DataFrame], par
     return best, best_gap
 
 
-def diverse_top(ranked: DataFrame, edges: DataFrame | Callable[[DataFrame, float], DataFrame], k: int, *, row_id: str = "row_id", cluster: str = "cluster", quality: str = "quality", cap: int = 3, most_alike: float = 0.65, depth: int = 4000) -> list[tuple]:
-    """The ids of a greedy list: best first, at most ``cap`` a cluster, none more alike than ``most_alike`` to one before.
+def _settled(prefix: DataFrame, near: DataFrame, k: int, cap: int) -> DataFrame:
+    """The places (place) that a walk over ``prefix`` (place, cluster), best first, takes at least ``k`` of, or all it takes.
+
+    ``near`` has the pairs (a, b) of places that exclude each other, b before a. Instead of
+    a walk, rounds: a candidate is out once a better one near it is chosen or ``cap`` better ones of its cluster
+    are; it is chosen once all better ones near it are out, and those of its cluster that are
+    chosen or open leave room. In each round that decides the best open candidate at least.
+    """
+    state = prefix.select("place", "cluster", F.lit(False).alias("chosen"))
+    while True:
+        # only the first cap of a cluster are numbered, so no task gets a large cluster
+        nth = F.row_number().over(Window.partitionBy("cluster").orderBy("place"))
+        room = state.withColumn("nth", nth).where(F.col("nth") <= cap).select("place", F.lit(True).alias("room"))
+        full = state.where("chosen").withColumn("nth", nth).where(F.col("nth") <= cap).where(F.col("nth") == cap).select(F.col("cluster").alias("of"), F.col("place").alias("last"))
+        better = state.select(F.col("place").alias("b"), F.col("chosen").alias("taken"))
+        met = near.join(better, "b").groupBy(F.col("a").alias("place")).agg(F.max("taken").alias("hit"), F.max(~F.col("taken")).alias("waits"))
+        out = ~F.col("chosen") & (F.coalesce("hit", F.lit(False)) | F.coalesce(F.col("last") < F.col("place"), F.lit(False)))
+        sure = F.col("chosen") | (~F.coalesce("waits", F.lit(False)) & F.coalesce("room", F.lit(False)))
+        joined = state.join(met, "place", "left").join(room, "place", "left").join(full, F.col("cluster").eqNullSafe(F.col("of")), "left")
+        state = written(joined.where(~out).select("place", "cluster", sure.alias("chosen")))
+        first = state.where("not chosen").agg(F.min("place")).first()[0]
+        if first is None or state.where(F.col("chosen") & (F.col("place") < first)).limit(k).count() == k:
+            return state.where("chosen").select("place")
+
+
+def diverse_top(ranked: DataFrame, edges: DataFrame | Callable[[DataFrame, float], DataFrame], k: int, *, row_id: str = "row_id", cluster: str = "cluster", quality: str = "quality", cap: int = 3, most_alike: float = 0.65, depth: int = 4000) -> DataFrame:
+    """(row_id, pos) of a greedy list: best first, at most ``cap`` a cluster, none more alike than ``most_alike`` to one before.
 
     ``edges`` has the similarity (a, b, ratio) of candidates, or finds it for the ids and the
-    threshold it is called with. The greedy walk is sequential;
-    it runs on the driver over the best ``depth`` candidates, a bound that grows fourfold
-    until the list is full or no candidates are left. A list that stays short is tried again
-    with ``cap + 2`` and ``most_alike + 0.15``, up to 1.
+    threshold it is called with. Only the best ``depth`` candidates are compared, a number that grows
+    fourfold until the list is full or no candidates are left; the list is that of a walk
+    over all of them, whatever the depth. A list that stays short is tried again with ``cap + 2`` and
+    ``most_alike + 0.15``, up to 1. Nothing but counts comes to the driver.
     """
-    rows = ranked.orderBy(F.desc(quality), row_id).select(row_id, cluster).limit(depth).collect()
-    ids = ranked.sparkSession.createDataFrame([(r[0],) for r in rows], ranked.select(row_id).schema) if rows else None
-    near: dict = {}
-    if ids is not None and most_alike < 1:
-        found = edges(ids, most_alike) if callable(edges) else edges
-        both = found.where(F.col("ratio") > most_alike).join(F.broadcast(ids.withColumnRenamed(row_id, "a")), "a").join(F.broadcast(ids.withColumnRenamed(row_id, "b")), "b")
-        for r in both.select("a", "b").collect():
-            near.setdefault(r.a, set()).add(r.b)
-            near.setdefault(r.b, set()).add(r.a)
-    chosen, per_cluster = [], {}
-    for r in rows:
-        if len(chosen) == k:
-            break
-        if per_cluster.get(r[1], 0) < cap and not near.get(r[0], set()) & set(chosen):
-            chosen.append(r[0])
-            per_cluster[r[1]] = per_cluster.get(r[1], 0) + 1
-    kw = {"row_id": row_id, "cluster": cluster, "quality": quality}
-    if len(chosen) < k and len(rows) == depth:
-        return diverse_top(ranked, edges, k, cap=cap, most_alike=most_alike, depth=4 * depth, **kw)
-    if len(chosen) < k and most_alike < 1:
-        return diverse_top(ranked, edges, k, cap=cap + 2, most_alike=min(1.0, most_alike + 0.15), depth=depth, **kw)
-    return chosen
+    placed = running(ranked.select(F.col(row_id).alias("id"), F.col(cluster).alias("cluster"), F.col(quality).alias("quality")), [], [F.desc("quality"), F.col("id")], "place")
+    placed = kept(placed)
+    rows, found = placed.count(), None
+    while True:
+        prefix = placed.where(F.col("place") <= depth)
+        if found is None:
+            ids = prefix.select(F.col("id").alias(row_id))
+            pairs = edges(ids, most_alike) if callable(edges) else edges
+            side = lambda c: prefix.select(F.col("id").alias(c), F.col("place").alias(f"place_{c}"))
+            both = pairs.where(F.col("ratio") > most_alike).join(side("a"), "a").join(side("b"), "b").where("place_a <> place_b")
+            found = kept(both.groupBy(F.greatest("place_a", "place_b").alias("a"), F.least("place_a", "place_b").alias("b")).agg(F.max("ratio").alias("ratio")))
+        chosen = kept(_settled(prefix, found.where(F.col("ratio") > most_alike) if most_alike < 1 else found.limit(0), k, cap))
+        short = chosen.limit(k).count() < k
+        if short and depth < rows:
+            depth, found = 4 * depth, None
+        elif short and most_alike < 1:
+            cap, most_alike = cap + 2, min(1.0, most_alike + 0.15)
+        else:
+            listed = running(chosen, [], [F.col("place")], "pos").where(F.col("pos") <= k)
+            return listed.join(placed, "place").select(F.col("id").alias(row_id), F.col("pos").cast("int").alias("pos"))

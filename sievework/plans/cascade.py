@@ -93,15 +93,14 @@ def novel(df: DataFrame, reference: DataFrame, settings: Settings) -> DataFrame:
 
 
 def ranked_list(df: DataFrame, quality: str, settings: Settings) -> DataFrame:
-    """(row_id, pos) of the diverse list by one quality; only candidates that the walk may meet are compared."""
+    """(row_id, pos) of the diverse list by one quality; only candidates that the list may reach are compared."""
 
     def edges(ids: DataFrame, most_alike: float) -> DataFrame:
-        rows = kept(df.select("row_id", "sequence").join(F.broadcast(ids), "row_id"))
+        rows = kept(df.select("row_id", "sequence").join(ids, "row_id"))
         left, right = rows.select(F.col("row_id").alias("a"), F.col("sequence").alias("seq_a")), rows.select(F.col("row_id").alias("b"), F.col("sequence").alias("seq_b"))
         return similarity.similar_pairs(left, right, most_alike).where("a < b")
 
-    ids = selection.diverse_top(df, edges, settings.top_k, quality=quality, depth=settings.walk)
-    return df.sparkSession.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], f"row_id {df.schema['row_id'].dataType.simpleString()}, pos int")
+    return kept(selection.diverse_top(df, edges, settings.top_k, quality=quality, depth=settings.walk))
 
 
 def sub_regions(pool: DataFrame, reference: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from ..functions.sequences import bin_of
 from ..operators import learning, selection, similarity, validation
 from ..session import kept, table
 from . import cascade
-from .sequence_queries import SEQS, parts
+from .sequence_queries import SEQS, SKETCHES, SYNTHESIS_SCORES, parts
 from .table_queries import _CELLED
 
 
@@ -101,11 +101,36 @@ def composition_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diverse_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kept(_candidates(spark, sf_dir))
+    rows = _candidates(spark, sf_dir).select("row_id", "sequence", "cluster", F.round(F.round(seq.envelope(F.col("sequence")), 6) - 0.3 * F.round(seq.risk(F.col("sequence")), 6), 6).alias("quality"))
+    rows = kept(rows)
     left, right = rows.select(F.col("row_id").alias("a"), F.col("sequence").alias("seq_a")), rows.select(F.col("row_id").alias("b"), F.col("sequence").alias("seq_b"))
     edges = similarity.similar_pairs(left, right, 0.65).where("a < b")
-    ids = selection.diverse_top(rows, edges, 25)
-    return spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "row_id bigint, pos int").join(rows.select("row_id", "sequence", F.round("quality", 6).alias("quality")), "row_id")
+    return selection.diverse_top(rows, edges, 25).join(rows.select("row_id", "sequence", "quality"), "row_id")
+
+
+#: A recursion walks the candidates, best first, with the list so far; each try has its own cap and likeness.
+DIVERSE_TOP = f"""WITH RECURSIVE scored AS ({SYNTHESIS_SCORES}), keyed AS ({SKETCHES}), firsts AS (WITH {SEQS} SELECT s AS sequence, min(id) AS id FROM seqs GROUP BY s),
+valued AS (SELECT id AS row_id, sequence, cluster, round(envelope - 0.3 * risk, 6) AS quality FROM firsts JOIN scored USING (id) JOIN keyed USING (id)),
+candidates AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY quality DESC, row_id) AS place FROM valued),
+pairs AS (SELECT a.place AS a, b.place AS b, a.sequence AS x, b.sequence AS y FROM candidates a JOIN candidates b ON a.place < b.place AND least(len(a.sequence), len(b.sequence)) >= 0.48 * greatest(len(a.sequence), len(b.sequence))),
+walk AS (
+  SELECT a, b, x, y, 0 AS i, list_transform(range(0, len(y) + 1), lambda z: 0::BIGINT) AS line FROM pairs
+  UNION ALL
+  SELECT a, b, x, y, i + 1, list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, len(y) + 1), lambda j: [
+      greatest(line[j + 1], CASE WHEN substr(x, i + 1, 1) = substr(y, j, 1) THEN line[j] + 1 ELSE 0 END)])),
+      lambda t, v: list_append(t, greatest(t[len(t)], v[1])))
+  FROM walk WHERE i < len(x)),
+alike AS MATERIALIZED (SELECT a, b, 2 * line[len(line)] / (len(x) + len(y)) AS ratio FROM walk WHERE i = len(x)),
+tries AS (SELECT * FROM (VALUES (0, 3, 0.65::DOUBLE), (1, 5, 0.65::DOUBLE + 0.15), (2, 7, 0.65::DOUBLE + 0.15 + 0.15), (3, 9, 1.0::DOUBLE)) v(t, cap, most)),
+near AS (SELECT t, b AS place, list(a) AS better FROM alike, tries WHERE ratio > most GROUP BY ALL),
+listed AS (
+  SELECT t, cap, 0 AS i, CAST([] AS BIGINT[]) AS chosen, CAST([] AS BIGINT[]) AS clusters FROM tries
+  UNION ALL
+  SELECT l.t, cap, i + 1, CASE WHEN fits THEN list_append(chosen, i + 1) ELSE chosen END, CASE WHEN fits THEN list_append(clusters, cluster) ELSE clusters END
+  FROM (SELECT l.*, c.cluster, len(chosen) < 25 AND len(list_filter(clusters, lambda z: z = c.cluster)) < cap AND NOT coalesce(list_has_any(chosen, better), false) AS fits
+    FROM listed l JOIN candidates c ON c.place = l.i + 1 LEFT JOIN near n ON n.t = l.t AND n.place = c.place) l),
+ends AS (SELECT t, chosen, row_number() OVER (ORDER BY len(chosen) < 25, CASE WHEN len(chosen) < 25 THEN -t ELSE t END) AS best FROM listed WHERE i = (SELECT count(*) FROM candidates))
+SELECT row_id, CAST(pos AS INTEGER) AS pos, sequence, quality FROM (SELECT unnest(chosen) AS place, unnest(range(1, len(chosen) + 1)) AS pos FROM ends WHERE best = 1) JOIN candidates USING (place)"""
 
 
 def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,5 +198,5 @@ def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "quota_histogram_drift": (quota_table, QUOTA_TABLE), "select_quota_roundrobin": (quota_roundrobin, QUOTA_ROUNDROBIN), "select_forced_topup": (full_selection, FULL_SELECTION), "split_quotas": (split_quotas, SPLIT_QUOTAS),
-    "select_match_composition": (composition_match, None), "diverse_top_k": (diverse_top, None), "invariants_report": (invariants, INVARIANTS), "cell_centroids": (cell_centroids, None), "cascade_library": (cascade_library, None), "cascade_default": (cascade_default, None), "grouped_out_of_fold": (price_model, None),
+    "select_match_composition": (composition_match, None), "diverse_top_k": (diverse_top, DIVERSE_TOP), "invariants_report": (invariants, INVARIANTS), "cell_centroids": (cell_centroids, None), "cascade_library": (cascade_library, None), "cascade_default": (cascade_default, None), "grouped_out_of_fold": (price_model, None),
 }

@@ -71,11 +71,37 @@ def test_ranks(spark):
     assert ranking.rank_pct(one, "v", "id").first().pct == 0
 
 
+def listed(frame):
+    rows = sorted(frame.collect(), key=lambda r: r.pos)
+    assert [r.pos for r in rows] == list(range(1, len(rows) + 1))
+    return [r.row_id for r in rows]
+
+
 def test_top_is_diverse_and_capped(spark):
     df = spark.createDataFrame([(i, i % 2, 10.0 - i) for i in range(8)], "row_id long, cluster int, quality double")
     edges = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.6)], "a long, b long, ratio double")
-    assert selection.diverse_top(df, edges, 3, cap=2) == [0, 2, 3]
-    assert len(selection.diverse_top(df, edges, 20, cap=1)) == 8
+    assert listed(selection.diverse_top(df, edges, 3, cap=2)) == [0, 2, 3]
+    assert len(listed(selection.diverse_top(df, edges, 20, cap=1))) == 8
+    assert listed(selection.diverse_top(df.limit(0), edges, 3)) == []
+
+
+@pytest.mark.parametrize("seed,k,depth", [(1, 5, 400), (1, 5, 2), (2, 12, 7), (3, 60, 400)])
+def test_top_is_the_walk_at_any_depth(spark, seed, k, depth):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(6), float(rng.randrange(9))) for i in range(60)]
+    pairs = {(a, b): round(rng.random(), 3) for a in range(60) for b in range(60) if a != b and rng.random() < 0.15}
+    df, edges = spark.createDataFrame(rows, "row_id long, cluster int, quality double"), spark.createDataFrame([(*p, r) for p, r in pairs.items()], "a long, b long, ratio double")
+    cap, most = 2, 0.65
+    while True:
+        chosen = []
+        for i, c, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+            close = [j for j in chosen if max(pairs.get((i, j), 0), pairs.get((j, i), 0)) > most]
+            if len(chosen) < k and not close and sum(rows[j][1] == c for j in chosen) < cap:
+                chosen.append(i)
+        if len(chosen) == k or most == 1:
+            break
+        cap, most = cap + 2, min(1.0, most + 0.15)
+    assert listed(selection.diverse_top(df, edges, k, cap=2, depth=depth)) == chosen
 
 
 def test_hashed_parts_keep_groups(spark):
