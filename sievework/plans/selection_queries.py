@@ -148,13 +148,32 @@ UNION ALL SELECT 'top_outside_library', v, v = 0 FROM (SELECT count(*) AS v FROM
 UNION ALL SELECT 'library_in_reference', v, v = 0 FROM (SELECT count(*) AS v FROM seqs WHERE s IN (SELECT s FROM long))"""
 
 
+STEPS, STARTS = 12, 2
+
+
 def cell_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("cell"), F.col("embedding").alias("vector"))
     wanted = selection.quotas(vectors, "cell", 1500)
-    centroids = learning.cell_centroids(vectors, "cell", "vector", wanted)
+    centroids = kept(learning.cell_centroids(vectors, "cell", "vector", wanted, starts=STARTS, steps=STEPS))
     return similarity.nearest(vectors, centroids.select("cell", "sub", "centroid"), "cell").select(F.col("row_id").alias("vec_id"), "sub")
 
 
+def _lloyd_sql(n: int) -> str:
+    return f"""homes{n} AS MATERIALIZED (SELECT cell, start, id, v, min({{'d': list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, c)]), 'sub': sub}}) AS home FROM rows JOIN book{n} USING (cell) GROUP BY ALL),
+book{n + 1} AS MATERIALIZED (SELECT b.cell, b.start, b.sub, coalesce(f.c, b.c) AS c FROM book{n} b LEFT JOIN (
+  SELECT cell, start, sub, list(m ORDER BY i) AS c FROM (SELECT cell, start, home.sub AS sub, i, avg(v[i]) AS m FROM homes{n}, range(1, 65) t(i) GROUP BY ALL) GROUP BY ALL) f USING (cell, start, sub))"""
+
+
+CELL_CENTROIDS = f"""WITH rows AS MATERIALIZED (SELECT vec_id AS id, label AS cell, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), sizes AS (SELECT cell, count(*) AS n FROM rows GROUP BY cell),
+shares AS (SELECT cell, n, greatest(n / sum(n) OVER (), 0.0004) AS share FROM sizes), rounded AS (SELECT cell, n, CAST(round_even(1500 * share / sum(share) OVER (), 0) AS BIGINT) AS q FROM shares),
+placed AS (SELECT cell, n, q, 1500 - sum(q) OVER () AS drift, row_number() OVER (ORDER BY q DESC, cell) - 1 AS k, count(*) OVER () AS m FROM rounded),
+wanted AS (SELECT cell, least(12, greatest(1, CAST(q + sign(drift) * (abs(drift) // m + (k < abs(drift) % m)::INT) AS BIGINT) // 40), n) AS k FROM placed),
+book0 AS MATERIALIZED (SELECT cell, start, sub, v AS c FROM (SELECT cell, start, v, k, row_number() OVER (PARTITION BY cell, start ORDER BY md5('0:' || start || ':' || id), id) - 1 AS sub FROM rows JOIN wanted USING (cell), range({STARTS}) s(start)) WHERE k > 1 AND sub < k),
+{', '.join(_lloyd_sql(n) for n in range(STEPS + 1))},
+costs AS (SELECT cell, start, sum(home.d) AS cost FROM homes{STEPS} GROUP BY ALL), best AS (SELECT cell, arg_min(start, cost) AS start FROM costs GROUP BY cell)
+SELECT id AS vec_id, CAST(coalesce(home.sub, -1) AS INTEGER) AS sub FROM rows LEFT JOIN best USING (cell) LEFT JOIN homes{STEPS} h USING (cell, start, id)"""
+
+
 def stub_scorers() -> dict:
     """Deterministic stand-ins for heads whose weights aren't published: linear in a few descriptors."""
     def head(shift: float):
@@ -198,5 +217,5 @@ def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "quota_histogram_drift": (quota_table, QUOTA_TABLE), "select_quota_roundrobin": (quota_roundrobin, QUOTA_ROUNDROBIN), "select_forced_topup": (full_selection, FULL_SELECTION), "split_quotas": (split_quotas, SPLIT_QUOTAS),
-    "select_match_composition": (composition_match, None), "diverse_top_k": (diverse_top, DIVERSE_TOP), "invariants_report": (invariants, INVARIANTS), "cell_centroids": (cell_centroids, None), "cascade_library": (cascade_library, None), "cascade_default": (cascade_default, None), "grouped_out_of_fold": (price_model, None),
+    "select_match_composition": (composition_match, None), "diverse_top_k": (diverse_top, DIVERSE_TOP), "invariants_report": (invariants, INVARIANTS), "cell_centroids": (cell_centroids, CELL_CENTROIDS), "cascade_library": (cascade_library, None), "cascade_default": (cascade_default, None), "grouped_out_of_fold": (price_model, None),
 }

@@ -214,3 +214,35 @@ def test_stream_drains_and_resumes(spark, tmp_path):
         ingest.drain(ingest.keep_first(stream, "id", "ts"), out, mark).awaitTermination()
         assert spark.read.parquet(out).count() == expected
         rows.withColumn("id", F.col("id") + 100).write.mode("append").parquet(src)
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_cell_means_are_lloyd(spark, monkeypatch, chunk):
+    """A cell that holds most rows is dealt to many groups; the clusters are those of a plain loop from the same starts."""
+    import hashlib
+
+    import numpy as np
+
+    monkeypatch.setattr(learning, "CHUNK", chunk)
+    rng = np.random.default_rng(1)
+    rows = [(i, "big" if i % 5 else "small", (rng.integers(0, 4, 3) * 3.0 + rng.normal(size=3)).tolist()) for i in range(120)] + [(500, "one", [1.0] * 3)]
+    df = spark.createDataFrame(rows, "row_id long, cell string, vector array<double>")
+    wanted = spark.createDataFrame([("big", 200), ("small", 90), ("one", 500), ("gone", 80)], "cell string, quota long")
+    found = learning.cell_centroids(df, "cell", "vector", wanted, starts=3, steps=6).collect()
+    for cell, k in (("big", 5), ("small", 2)):
+        members = [(i, np.array(v)) for i, c, v in rows if c == cell]
+        points = np.stack([v for _, v in members])
+        best = None
+        for start in range(3):
+            order = sorted(members, key=lambda m: (hashlib.md5(f"0:{start}:{m[0]}".encode()).hexdigest(), str(m[0])))
+            centres = np.stack([v for _, v in order[:k]])
+            for _ in range(7):
+                far = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+                near, used = far.argmin(axis=1), centres
+                centres = np.stack([points[near == j].mean(axis=0) if (near == j).any() else used[j] for j in range(k)])
+            if best is None or far.min(axis=1).sum() < best[0] - 1e-9:
+                best = (far.min(axis=1).sum(), used, near)
+        mine = sorted((r.sub, r.n, r.centroid) for r in found if r.cell == cell)
+        assert [m[0] for m in mine] == list(range(k)) and [m[1] for m in mine] == [(best[2] == j).sum() for j in range(k)]
+        assert np.allclose([m[2] for m in mine], best[1])
+    assert {r.cell for r in found} == {"big", "small"}
