@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, assays, training
+from ..operators import alignment, assays, distribution, training
 from ..session import kept, shared_dir, table
 from .sequence_queries import parts
 
@@ -56,6 +56,46 @@ def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.score_heads(_sequences(spark, sf_dir).withColumn("amidated", F.lit(0)), heads).select("row_id", *[F.round(h, 6).alias(h) for h in heads])
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The embeddings of odd ids as the generated side, and of even ids as the real one."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.where("id % 2 = 1"), rows.where("id % 2 = 0")
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, density, coverage and authenticity among the embeddings."""
+    row = distribution.neighbour_metrics(*_vectors(spark, sf_dir))
+    return row.select(*[F.round(c, 9).alias(c) for c in row.columns])
+
+
+NEIGHBOURS = """WITH v AS (SELECT vec_id AS id, vec_id % 2 = 0 AS real, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+d AS MATERIALIZED (SELECT a.id AS a, a.real AS ra, b.id AS b, b.real AS rb, sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(a.e, b.e)])) AS d FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT a, ra, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS nth FROM d WHERE ra = rb),
+balls AS (SELECT a AS id, max(ra) AS real, max(d) FILTER (nth = 5) AS ball, max(d) FILTER (nth = 1) AS apart FROM near WHERE nth <= 5 GROUP BY a),
+cut AS (SELECT median(ball) AS c FROM balls WHERE real),
+met AS (SELECT a, ra, b, rb, d <= ball AS inside, d <= least(ball, c) AS inner_ FROM d JOIN balls ON id = b, cut),
+asked AS (SELECT a, count(*) FILTER (inside) AS n, count(*) FILTER (inner_) AS m FROM met WHERE NOT ra AND rb GROUP BY a),
+held AS (SELECT b, count(*) FILTER (inside) AS n FROM met WHERE NOT ra AND rb GROUP BY b),
+recalled AS (SELECT a, count(*) FILTER (inside) AS n FROM met WHERE ra AND NOT rb GROUP BY a),
+own AS (SELECT a, count(*) FILTER (inner_) AS m FROM met WHERE ra AND rb GROUP BY a),
+closest AS (SELECT a, arg_min(b, {'d': d, 'b': b}) AS b, min(d) AS away FROM d WHERE NOT ra AND rb GROUP BY a)
+SELECT round(avg((a.n > 0)::INT), 9) AS precision, (SELECT round(avg((n > 0)::INT), 9) FROM recalled) AS recall, round(sum(a.n) / (5.0::DOUBLE * count(*)), 9) AS density, (SELECT round(avg((n > 0)::INT), 9) FROM held) AS coverage,
+  round(avg(least(1, m / 5.0::DOUBLE)) / (SELECT avg(least(1, m / 5.0::DOUBLE)) FROM own), 9) AS clipped_density, (SELECT round(avg(least(1, n / 5.0::DOUBLE)), 9) FROM held) AS clipped_coverage,
+  (SELECT round(avg((away > apart)::INT), 9) FROM closest JOIN balls ON id = b) AS authenticity FROM asked a"""
+
+
+def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the Fréchet distance of the two sides."""
+    return spark.createDataFrame([(distribution.frechet(*_vectors(spark, sf_dir)),)], "frechet double").select(F.round("frechet", 9).alias("frechet"))
+
+
+def discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the squared kernel discrepancy of the two sides, and its bound."""
+    found, bound = distribution.kernel_discrepancy(*_vectors(spark, sf_dir), width=1.0)
+    return spark.createDataFrame([(found, bound)], "mmd2 double, bound double").select(F.round("mmd2", 9).alias("mmd2"), F.round("bound", 9).alias("bound"))
+
+
 QUERIES = {
+    "neighbour_metrics": (neighbours, NEIGHBOURS), "frechet_distance": (frechet, None), "kernel_discrepancy": (discrepancy, None),
     "identity_clusters": (clusters, None), "best_local_hits": (best_hits, None), "head_report": (head_report, None), "head_scores": (head_scores, None),
 }
