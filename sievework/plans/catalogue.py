@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import model_queries, pool_queries, selection_queries, sequence_queries, table_queries
+from . import model_queries, pool_queries, selection_queries, sequence_queries, sql_queries, table_queries
 
 FLAGSHIP = "select_quota_roundrobin"
-MODULES = [sequence_queries, table_queries, selection_queries, pool_queries, model_queries]
+MODULES = [sequence_queries, table_queries, selection_queries, pool_queries, model_queries, sql_queries]
 
 
 def queries() -> dict:

@@ -9,13 +9,13 @@ as asked, all files of a job or none.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
+
+from .attempts import Attempts, Written, data_files
 
 SCHEMA = "file string, nth int, header string, sequence string"
 
@@ -40,12 +40,7 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.path)
-        info = store.get_file_info(root)
-        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root))
-        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
+        return [InputPartition(file) for file in data_files(self.path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import io
@@ -58,58 +53,20 @@ class _Reader(DataSourceReader):
                 yield partition.value.rpartition("/")[2], nth, header, sequence
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    """A task's finished file."""
-
-    file: str
-    part: int
+class _Writer(Attempts, DataSourceWriter):
+    """A file for each task."""
 
-
-class _Writer(DataSourceWriter):
-    """Tasks write files of their own attempt into a hidden folder; the driver moves the winners' on commit, so a failed or repeated attempt leaves nothing."""
+    suffix = ".fasta"
 
     def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
-
-    def _open(self):
-        from pyarrow import fs
+        super().__init__(path, overwrite)
 
-        store, root = fs.FileSystem.from_uri(self.path)
-        return store, root, f"{root}/_attempts-{self.job}"
-
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        store, _, attempts = self._open()
-        store.create_dir(attempts, recursive=True)
-        context = TaskContext.get()
-        file = f"{attempts}/{context.partitionId():05d}-{context.taskAttemptId()}"
+    def write(self, iterator: Iterator) -> Written:
+        store, file, part = self.attempt()
         with store.open_output_stream(file) as out:
             for row in iterator:
                 out.write(f">{row.header}\n{row.sequence}\n".encode())
-        return _Written(file, context.partitionId())
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        from pyarrow import fs
-
-        store, root, attempts = self._open()
-        store.create_dir(root, recursive=True)
-        if self.overwrite:
-            for old in store.get_file_info(fs.FileSelector(root)):
-                if old.is_file:
-                    store.delete_file(old.path)
-        for m in messages:
-            if m is not None:
-                store.move(m.file, f"{root}/part-{m.part:05d}-{self.job}.fasta")
-        self.abort(messages)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        from pyarrow import fs
-
-        store, _, attempts = self._open()
-        if store.get_file_info(attempts).type == fs.FileType.Directory:
-            store.delete_dir(attempts)
+        return Written([file], part)
 
 
 class FastaSource(DataSource):

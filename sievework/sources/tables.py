@@ -21,9 +21,19 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Gzipped CSV with a header."""
-    df.write.csv(path, header=True, compression="gzip", mode="overwrite")
+def write_csv(df: DataFrame, path: str, *, compression: str | None = "gzip", skip_empty: bool = False) -> bool:
+    """CSV with a header, gzipped unless told otherwise; with ``skip_empty`` a table without rows writes nothing. Whether it was written."""
+    if skip_empty and df.isEmpty():
+        return False
+    df.write.csv(path, header=True, compression=compression or "none", mode="overwrite")
+    return True
+
+
+def write_lines(df: DataFrame, path: str, column: str, order: str | None = None) -> None:
+    """Text files with a line for each value that isn't null; with ``order`` one file in that order."""
+    rows = df.where(F.col(column).isNotNull())
+    rows = rows.orderBy(order).coalesce(1) if order else rows
+    rows.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +47,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table of controls or vectors."""
+    """A Parquet table of controls or vectors; NumPy archives are read by ``npz.read_npz``."""
     return spark.read.parquet(path)
 
 

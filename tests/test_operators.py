@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import cleaning, learning, ranking, scoring, selection, validation
-from sievework.sources import fasta, records, tables
+from sievework.sources import fasta, npz, records, tables
 from sievework.streaming import ingest
 
 
@@ -148,6 +148,33 @@ def test_fasta_appends_overwrites_and_cleans_up(spark, tmp_path):
     assert [r.header for r in fasta.read_fasta(spark, str(out)).collect()] == ["z"]
 
 
+def test_npz_round_trip(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(npz, "RANGE", 3)
+    np.savez(tmp_path / "a.npz", combos=np.arange(28, dtype=np.int32).reshape(7, 4), weights=np.linspace(0, 1, 7, dtype=np.float32), on=np.arange(7) % 2 == 0)
+    np.savez_compressed(tmp_path / "b.npz", combos=np.zeros((2, 4), np.int64), weights=np.array([np.nan, 2.0]), on=np.array([True, True]))
+    df = npz.read_npz(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("combos", "array<bigint>"), ("weights", "double"), ("on", "boolean")]
+    assert df.rdd.getNumPartitions() == 4
+    rows = df.collect()
+    assert len(rows) == 9 and sorted(r.combos[0] for r in rows) == [0, 0, 0, 4, 8, 12, 16, 20, 24]
+    out = tmp_path / "out"
+    for _ in range(2):
+        npz.write_npz(df.where("not isnan(weights)").repartition(2), str(out))
+    again = npz.read_npz(spark, str(out))
+    key = lambda r: (r.combos, r.weights, r.on)
+    assert sorted(map(key, again.collect())) == sorted(map(key, 2 * df.where("not isnan(weights)").collect()))
+    with np.load(next(out.glob("*.npz"))) as file:
+        assert sorted(file.files) == ["combos", "on", "weights"] and file["combos"].shape[1] == 4
+    for broken in (df.withColumn("on", F.when(F.col("on"), True)), df.withColumn("combos", F.slice("combos", 1, 1 + F.col("on").cast("int")))):
+        with pytest.raises(Exception, match="column"):
+            npz.write_npz(broken.coalesce(1), str(out))
+    assert again.count() == 16 and not [f for f in out.iterdir() if f.name.startswith("_")]
+    npz.write_npz(df.limit(1), str(out), "overwrite")
+    assert npz.read_npz(spark, str(out)).count() == 1
+
+
 def test_one_cluster_fills_the_quota(spark):
     """200 rows of one cluster and cell: a quota above 64 is filled."""
     df = spark.createDataFrame([(i, "a", 1, float(i % 7)) for i in range(200)], "row_id long, cell string, cluster int, quality double")
@@ -196,6 +223,15 @@ def test_records(spark, tmp_path):
     assert [(r.species, r.mic_uM, r.human_hc50_uM, r.hc50_censored, r.c_term, r.monomer, r.unmodified) for r in rows] == [("Escherichia coli", 8.0, 50.0, False, "AMD", True, True), ("X", None, 50.0, False, "AMD", True, True)]
 
 
+def test_lines_and_plain_csv(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "a"), (3, None)], "n int, s string")
+    tables.write_lines(df, str(tmp_path / "lines"), "s", "n")
+    assert [p.read_text() for p in sorted((tmp_path / "lines").glob("part*"))] == ["a\nb\n"]
+    tables.write_csv(df, str(tmp_path / "plain"), compression=None)
+    assert sorted(tables.read_csv(spark, str(tmp_path / "plain"), "n int, s string").collect(), key=lambda r: r.n)[0].s == "a" and not list((tmp_path / "plain").glob("*.gz"))
+    assert not tables.write_csv(df.limit(0), str(tmp_path / "none"), skip_empty=True) and not (tmp_path / "none").exists()
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("A", 1, "E coli", "-", 2.0, True)], tables.ASSAYS)
     tables.write_csv(df, str(tmp_path / "csv"))
