@@ -211,8 +211,10 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: Sequen
     besides ``out`` (all, if not given); a column named as ``out`` is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    source = bounded_batches(docs).select(*kept, F.col(text_col).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.DoubleType())])
+    # by place, not by name: no column of the table can clash
+    source = bounded_batches(docs).select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text_col}`"]).toDF(*[f"c{i}" for i in range(len(kept))], "__text")
+    fields = [T.StructField(name, f.dataType, f.nullable) for name, f in zip(kept, source.schema.fields, strict=False)]
+    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, ends in slices(batches, "__text"):

@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: Sequ
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (lang, score)]
     # by place, not by name: no column of the table can clash
-    source = bounded_batches(docs).select(*[docs[c] for c in kept], F.when(has_letter(docs[text_col]), docs[text_col]))
+    source = bounded_batches(docs).select(*[docs[f"`{c}`"] for c in kept], F.when(has_letter(docs[f"`{text_col}`"]), docs[f"`{text_col}`"]))
     source = source.toDF(*[f"c{i}" for i in range(len(kept))], "text")
     fields = [T.StructField(name, f.dataType) for name, f in zip(kept, source.schema.fields, strict=False)]
     schema = T.StructType([*fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])

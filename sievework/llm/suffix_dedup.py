@@ -336,9 +336,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         .groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
     )
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    joined = docs.select(key.alias("key"), F.struct(*names).alias("__kept"), text.alias("__text")).join(ranges, "key", "left")
-    joined = joined.select("__kept.*", "__text", F.coalesce("__ranges", empty).alias("__ranges"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]], f"n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'binary' if binary else 'string'}"])
+    # kept columns have names of their own on the way, so that none clashes with these
+    carried = [F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]
+    joined = docs.select(key.alias("key"), F.struct(*carried).alias("kept"), text.alias("__text")).join(ranges, "key", "left")
+    joined = joined.select("kept.*", "__text", F.coalesce("__ranges", empty).alias("__ranges"))
+    schema = ", ".join([*[f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, joined.schema.fields[:-2], strict=True)], f"n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept {'binary' if binary else 'string'}"])
     return joined.mapInArrow(lambda it: emptied(_remove(it, length, names, binary)), schema)
 
 
