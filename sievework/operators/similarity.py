@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scales
 from ..functions.sequences import grams
+from ..session import kept
 
 
 def kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
@@ -16,14 +17,23 @@ def kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
     return df.select(F.explode(F.array_distinct(grams(F.col(seq), k))).alias("kmer")).distinct()
 
 
+FEW = 1 << 20  # hashes, or centroids' components, that are broadcast: 8 MB
+
+
 def kmer_hits(df: DataFrame, seq: str, row_id: str, reference: DataFrame, ref_seq: str, k: int) -> DataFrame:
     """(row_id, hit_fraction): the share of k-mers, repeats counted, that the reference has; 0 for none.
 
-    Each row's k-mers are counted before the join, and of the reference's only those asked for are kept.
+    Each row's k-mers are counted before the join, and of the reference's only those asked for are
+    kept: by 64-bit hash before anything moves, where the hashes asked for are counted to be
+    ``FEW`` at most, and then by the k-mers themselves.
     """
-    own = df.select(row_id, F.explode(grams(F.col(seq), k)).alias("kmer")).groupBy(row_id, "kmer").agg(F.count("*").alias("n"))
-    asked = own.select("kmer").distinct()
-    known = reference.select(F.explode(grams(F.col(ref_seq), k)).alias("kmer")).join(asked, "kmer", "left_semi").distinct().withColumn("hit", F.lit(1))
+    own = kept(df.select(row_id, F.explode(grams(F.col(seq), k)).alias("kmer")).groupBy(row_id, "kmer").agg(F.count("*").alias("n")))
+    asked = kept(own.select("kmer").distinct())
+    theirs = reference.select(F.explode(grams(F.col(ref_seq), k)).alias("kmer"))
+    if asked.count() <= FEW:
+        hashes = asked.select(F.xxhash64("kmer").alias("hash")).distinct()
+        theirs = theirs.withColumn("hash", F.xxhash64("kmer")).join(F.broadcast(hashes), "hash", "left_semi").select("kmer").distinct()
+    known = theirs.join(asked, "kmer", "left_semi").distinct().withColumn("hit", F.lit(1))
     found = own.join(known, "kmer", "left").groupBy(row_id).agg((F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) / F.sum("n")).alias("hit_fraction"))
     return df.select(row_id).join(found, row_id, "left").select(row_id, F.coalesce("hit_fraction", F.lit(0.0)).alias("hit_fraction"))
 
@@ -204,10 +214,15 @@ def nearest(df: DataFrame, centroids: DataFrame, cell: str | None = None) -> Dat
     """(row_id, sub, dist2) of the nearest centroid by squared distance, the smaller number first on ties.
 
     ``df`` has (row_id, vector), ``centroids`` (sub, centroid), both with ``cell`` where one
-    is named; a row whose cell has no centroid gets -1.
+    is named; a row whose cell has no centroid gets -1. Without a cell, the centroids are
+    broadcast where they are counted to have ``FEW`` components at most.
     """
     gaps = F.zip_with("vector", "centroid", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     dist = F.aggregate(gaps, F.lit(0.0), lambda t, x: t + x)
     on = [cell] if cell else []
-    joined = df.join(centroids, on, "left") if on else df.crossJoin(F.broadcast(centroids))
+    if on:
+        joined = df.join(centroids, on, "left")
+    else:
+        size = centroids.agg(F.sum(F.size("centroid"))).first()[0] or 0
+        joined = df.crossJoin(F.broadcast(centroids) if size <= FEW else centroids)
     return joined.withColumn("dist2", dist).groupBy("row_id").agg(F.min(F.struct("dist2", "sub")).alias("best")).select("row_id", F.coalesce("best.sub", F.lit(-1)).alias("sub"), "best.dist2")

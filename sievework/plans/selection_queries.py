@@ -204,8 +204,9 @@ def cascade_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cascade_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The library of the default size."""
-    return _cascade(spark, sf_dir, cascade.Settings())
+    """A library of a third of the distinct sequences, so that quotas and prices choose; all else by default."""
+    candidates = parts(spark, sf_dir).select("s").distinct().count()
+    return _cascade(spark, sf_dir, cascade.Settings(total=max(1, candidates // 3), top_k=max(1, candidates // 60)))
 
 
 def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:

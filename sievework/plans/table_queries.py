@@ -335,6 +335,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.join(sample, "o_orderkey", "left").na.fill(False, ["sampled"])
 
 
+def crc32_sql(text: str) -> str:
+    """The CRC of a text of ASCII letters, with the table of ``CRC_TABLE`` at hand."""
+    return f"xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split({text}, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+SAMPLES = f"""WITH {CRC_TABLE}, sampled AS (SELECT o_orderkey FROM orders ORDER BY md5('11:' || o_orderkey), o_orderkey LIMIT 500)
+SELECT o_orderkey, o_custkey, CAST({crc32_sql("'7:' || o_custkey")} % 5 AS INTEGER) AS fold, {crc32_sql("'3:' || o_orderkey")} % 100 < 3 AS held_out, o_orderkey IN (SELECT o_orderkey FROM sampled) AS sampled FROM orders, crc"""
+
+
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("w"))
     at = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 7919) % 10007 / 10007.0).alias("at"))
@@ -351,5 +361,5 @@ QUERIES = {
     "rank_pct_blend": (ranks, RANKS), "quantile_map": (mapped, MAPPED), "shortlist_per_cell": (shortlist, SHORTLIST), "topn_union": (union_of_best, UNION_OF_BEST), "kmer_hit_fraction": (gram_hits, GRAM_HITS),
     "shares_kmer": (shared_grams, SHARED_GRAMS), "nearest_centroid": (nearest_centroid, NEAREST_CENTROID), "kl_divergence": (divergences, DIVERGENCES), "regression_report": (regression, REGRESSION), "auroc": (roc, ROC),
     "objectives_panel": (objectives, OBJECTIVES), "strain_objectives": (strain_objectives, STRAIN_OBJECTIVES), "quality_weighted": (qualities, QUALITIES), "rule_trip_rates": (rule_rates, RULE_RATES),
-    "folds_and_samples": (samples, None), "weighted_draws": (draws, DRAWS),
+    "folds_and_samples": (samples, SAMPLES), "weighted_draws": (draws, DRAWS),
 }
