@@ -8,7 +8,6 @@ add-one share of the class's training tokens, with one type kept for words never
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from heapq import heapify, heapreplace
 
@@ -26,6 +25,7 @@ HIDDEN = 32
 HEAD, HEAD_CLASSES, TAIL_CLASSES = 2048, 32, 64  # least room for head words and their classes
 PER_HEAD = 512  # distinct training words for each head word beyond these
 LISTED = 1 << 18  # most frequent words whose counts every task has: 5 MB
+WIDTH = 16  # replicas of the network that a task of the averaging tree reads, on average
 END = np.uint64(0x51ED270B9F6A3C2D)  # stands for the end of a text
 STREAMS, STEPS = 512, 16
 STRETCH = 4096  # tokens after which learning starts a text anew; scoring never does
@@ -462,13 +462,22 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()])], names=["weight", "model"])
 
 
+def _averaged(replicas: DataFrame) -> list:
+    """The one row (weight, model) of all replicas' mean by weight, none if there are none: a tree in which a task reads the replicas of about ``WIDTH`` others, one at a time, as deep as it needs to be."""
+    parts = replicas.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // WIDTH)
+        replicas = replicas.repartition(max(1, parts)).mapInArrow(lambda it: emptied(_average(it)), "weight double, model binary")
+        if parts <= 1:
+            return replicas.collect()
+
+
 def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", start: int = 600, rate: float = 0.004) -> tuple[Model, Vocabulary, DataFrame]:
     """(model, vocabulary, all training words with their counts) from all of ``docs``.
 
     Word counts cover every text. The network starts from ``start`` texts (the smallest
     hashed ids), learnt in one task; then every task of one pass over all texts goes on from
-    there with its own, and the weights are averaged by tokens, over groups of tasks, as many
-    as the square root of the tasks, and then over the groups: no task gathers more copies.
+    there with its own, and the weights are averaged by tokens in a tree (``_averaged``).
     """
     source = bounded_batches(docs).select(F.col(text_col).alias("text"))
     words = written(source.mapInArrow(lambda it: emptied(_count(it)), "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "words")
@@ -481,9 +490,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", st
     shape = "weight double, model binary"
     seeds = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).where(F.octet_length("text") < 20_000).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(start).select("text")
     for frame, passes, speed in ((seeds.coalesce(1), 6, rate), (source, 1, rate / 2)):
-        now, parts = model, math.isqrt(frame.rdd.getNumPartitions()) + 1
-        replicas = frame.mapInArrow(lambda it, m=now, p=passes, r=speed: emptied(_train(it, m, vocabulary, r, p)), shape)
-        merged = replicas.repartition(parts).mapInArrow(lambda it: emptied(_average(it)), shape).repartition(1).mapInArrow(lambda it: emptied(_average(it)), shape).collect()
+        replicas = frame.mapInArrow(lambda it, m=model, p=passes, r=speed: emptied(_train(it, m, vocabulary, r, p)), shape)
+        merged = _averaged(replicas)
         if merged:
             model = unpack_model(merged[0]["model"], model)
     return model, vocabulary, words

@@ -133,3 +133,17 @@ def test_columns_of_any_name(spark):
     assert sorted(tuple(r)[:6] for r in scored.collect()) == sorted(map(tuple, frame.collect()))
     cut = suffix_dedup.remove_repeats(frame, keep=["doc_id", "__text", "c0", "__ranges", "a.b"])
     assert sorted((r.doc_id, r["__text"], r.c0, r["__ranges"], r["a.b"]) for r in cut.collect()) == [(1, "a", 2, "z", 0.5), (2, "b", 3, "y", 1.5)]
+
+
+@pytest.mark.parametrize("tasks", [1, 5, 40, 300])
+def test_replicas_average_in_a_tree(spark, monkeypatch, tasks):
+    from sievework.llm import gru_lm
+
+    monkeypatch.setattr(gru_lm, "WIDTH", 4)
+    replica = lambda i: np.array([i, -i, 1.0], np.float32).tobytes()
+    rows = [(1.0 + i % 3, replica(i)) for i in range(60)]
+    (merged,) = gru_lm._averaged(spark.createDataFrame(rows, "weight double, model binary").repartition(tasks))
+    total = sum(w for w, _ in rows)
+    mean = sum(w * i for i, (w, _) in enumerate(rows)) / total
+    assert merged.weight == total and np.allclose(np.frombuffer(merged.model, np.float32), [mean, -mean, 1.0], rtol=1e-5)
+    assert gru_lm._averaged(spark.createDataFrame([], "weight double, model binary")) == []
