@@ -73,6 +73,11 @@ def _digest(found: np.ndarray) -> int:
     return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _own_overlap(n: int, percent: int) -> int:
+    """How much a set of ``n`` shares at least with a linked one that isn't smaller."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def _often(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
     """Shingles that ``least`` or more different sets of one slice hold, and how many."""
     for _, data, ends in slices(batches, "text", COUNTED):
@@ -91,27 +96,30 @@ def _often(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(shingle, salt, node) for each prefix shingle, once for each different set that the task remembers.
+    """(shingle, salt, node, short) for each prefix shingle, once for each different set that the task remembers.
 
     The groups of frequent shingles are dealt out in ``SALTS`` parts, from 1 on; others are whole, as part 0.
+    ``short``: whether the shingle is in the prefix that a set needs against sets that aren't smaller.
     """
     seen: set[int] = set()
     for _, data, ends in slices(batches, "text", SLICE):
         sets, at = shingle_sets(data, ends, size)
-        shingle, node = [], []
-        for i, _, found in prefixes(sets, at, percent, frequent, counts):
+        shingle, node, short = [], [], []
+        for i, m, found in prefixes(sets, at, percent, frequent, counts):
             digest = _digest(sets[at[i] : at[i + 1]])
             if digest not in seen:
                 seen.add(digest)
                 shingle.append(found)
                 node.append((digest, len(found)))
+                n = int(at[i + 1] - at[i])
+                short.append(np.arange(len(found)) < n - _own_overlap(n, percent) + m)
         if len(seen) > SEEN:
             seen.clear()
         if node:
             value, times = zip(*node, strict=True)
             shingles, nodes = np.concatenate(shingle), np.repeat(np.array(value, np.int64), times)
             salt = np.where(np.isin(shingles, frequent), 1 + (nodes & (SALTS - 1)), 0).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(salt), pa.array(nodes)], names=["shingle", "salt", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(salt), pa.array(nodes), pa.array(np.concatenate(short))], names=["shingle", "salt", "node", "short"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -210,30 +218,40 @@ def _family_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
 
 
 def _split(placed: DataFrame, name: str) -> DataFrame:
-    """Of the rows (shingle, node, n, asked, component) those of groups that hold several components, with the group's ``size``."""
-    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return written(placed.join(split.select("shingle", "size"), "shingle"), name)
+    """Of the rows (shingle, node, n, asked, component, short) those of groups that hold several components and any short row, with the group's ``size`` and its short rows ``index``."""
+    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.col("short").cast("long")).alias("index")).where("lo <> hi and index > 0")
+    return written(placed.join(split.select("shingle", "size", "index"), "shingle"), name)
+
+
+def _least(n, percent: int):
+    """The least size of a set that can link with one of ``n``."""
+    return -F.floor(-percent * n / 100)
 
 
 def _cheap(rest: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (x, y) across components within the groups of ``rest``, and the nodes that make too many: (node, n, component).
 
+    Of a pair, the smaller set need only be met by its short prefix, since it shares more of
+    itself with a set that isn't smaller; so a shingle that is in nobody's short prefix makes no pair.
     A node costs as many pairs, counted once for each shingle, as its groups have other
-    members. Those with a node that costs at most ``COSTLY``, or ``COSTLY_SHARE`` of its set's
+    members that it may meet. Those with a node that costs at most ``COSTLY``, or ``COSTLY_SHARE`` of its set's
     size, are made and summed up. A pair stays if it shares as many prefix shingles as the
     less demanding node asks for, and if the sets' sizes allow the similarity: beyond the
     prefix that ends first, it can share at most the rest of that set.
     """
-    cost = rest.groupBy("node").agg(F.sum(F.col("size") - 1).alias("cost"), F.first("n").alias("n"), F.first("component").alias("component"))
+    met = F.when(F.col("short"), F.col("size") - 1).otherwise(F.col("index"))
+    cost = rest.groupBy("node").agg(F.sum(met).alias("cost"), F.first("n").alias("n"), F.first("component").alias("component"))
     costly = checkpoint(cost.where(F.col("cost") > F.greatest(F.lit(COSTLY), COSTLY_SHARE * F.col("n"))).select("node", "n", "component"))
     marked = rest.join(costly.select("node", F.lit(True).alias("costly")), "node", "left").withColumn("costly", F.coalesce("costly", F.lit(False)))
-    marked = marked.withColumn("rest", -F.floor(-percent * F.col("n") / 100) - F.col("asked"))
+    overlap = lambda n: -F.floor(-percent * n / (100 + percent))
+    marked = marked.withColumns({"rest": _least(F.col("n"), percent) - F.col("asked"), "short_rest": overlap(2 * F.col("n")) - F.col("asked")})
     left, right = marked.where("not costly").alias("l"), marked.alias("r")
     alike = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") != F.col("r.component"))
     sizes = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
-    overlap = -F.floor(-percent * (F.col("l.n") + F.col("r.n")) / (100 + percent))
-    needed = F.greatest(F.least("l.asked", "r.asked"), overlap - F.greatest("l.rest", "r.rest")).cast("int")
-    pairs = left.join(right, alike & sizes & (F.col("r.costly") | (F.col("l.node") < F.col("r.node"))))
+    indexed = ((F.col("l.n") > F.col("r.n")) | F.col("l.short")) & ((F.col("r.n") > F.col("l.n")) | F.col("r.short"))
+    unseen = F.greatest(F.when(F.col("l.n") > F.col("r.n"), F.col("l.rest")).otherwise(F.col("l.short_rest")), F.when(F.col("r.n") > F.col("l.n"), F.col("r.rest")).otherwise(F.col("r.short_rest")))
+    needed = F.greatest(F.least("l.asked", "r.asked"), overlap(F.col("l.n") + F.col("r.n")) - unseen).cast("int")
+    pairs = left.join(right, alike & sizes & indexed & (F.col("r.costly") | (F.col("l.node") < F.col("r.node"))))
     pairs = pairs.select(F.col("l.node").alias("x"), F.col("r.node").alias("y"), needed.alias("needed"))
     return pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("needed").alias("needed")).where("shared >= needed").select("x", "y"), costly
 
@@ -254,10 +272,11 @@ def _deepened(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.select("node", "n", "component", F.explode("found").alias("shingle"))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", "c")
     own = Window.partitionBy("node")
-    least = -F.floor(-percent * F.col("n") / 100)
+    least, overlap = _least(F.col("n"), percent), -F.floor(-2 * percent * F.col("n") / (100 + percent))
     asked = F.least(F.lit(DEEP), least).cast("int")
     ranked = rows.join(counts, "shingle").withColumn("rank", F.row_number().over(own.orderBy("c", "shingle"))).withColumn("useful", F.count("*").over(own))
-    return ranked.where(F.col("rank") <= F.col("useful") - least + asked).select("shingle", "node", "n", asked.alias("asked"), "component")
+    short = F.col("rank") <= F.col("useful") - overlap + asked
+    return ranked.where(F.col("rank") <= F.col("useful") - least + asked).select("shingle", "node", "n", asked.alias("asked"), "component", short.alias("short"))
 
 
 def _families(costly: DataFrame, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -342,7 +361,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         described.where("id is not null and node is not null")
         .groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.max("asked").alias("asked"))
     )
-    prefix = named.mapInArrow(lambda it: emptied(_prefix_rows(it, size, percent, frequent, counts)), "shingle bigint, salt tinyint, node bigint")
+    prefix = named.mapInArrow(lambda it: emptied(_prefix_rows(it, size, percent, frequent, counts)), "shingle bigint, salt tinyint, node bigint, short boolean")
     part = Window.partitionBy("shingle", "salt")
     parts = written(
         prefix.withColumn("lead", F.min("node").over(part)).withColumn("last", F.max("node").over(part)).where("salt > 0 or lead <> last").distinct(),
@@ -350,7 +369,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     hot = parts.where("salt > 0")
     leads = hot.groupBy("shingle").agg(F.min("lead").alias("lead"), F.max("last").alias("last")).where("lead <> last").select("shingle", "lead")  # at most FREQUENT rows
-    shared = parts.where("salt = 0").select("shingle", "node", "lead").unionByName(hot.select("shingle", "node").join(F.broadcast(leads), "shingle"))
+    shared = parts.where("salt = 0").select("shingle", "node", "short", "lead").unionByName(hot.select("shingle", "node", "short").join(F.broadcast(leads), "shingle"))
 
     reps = nodes.select("node", "rep")
 
@@ -379,8 +398,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     found = links(stars)
     first = components(found)
-    placed = shared.select("shingle", "node").join(nodes, "node").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    rest = _split(placed.select("shingle", "node", "n", "asked", F.coalesce("component", "rep").alias("component")), "split-prefixes")
+    placed = shared.select("shingle", "node", "short").join(nodes, "node").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = _split(placed.select("shingle", "node", "n", "asked", F.coalesce("component", "rep").alias("component"), "short"), "split-prefixes")
     across, checked = _across(rest, named, reps, size, percent)
     more = links(across) if checked is None else links(across).unionByName(checked)
     last = components(found.unionByName(more)) if not more.isEmpty() else first

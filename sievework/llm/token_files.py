@@ -77,8 +77,8 @@ def scan_token_files(spark: SparkSession, folder: str, *, end: int = END, width:
     a file's last ids without ``end`` are a document, nothing behind the last ``end`` is none,
     and a trailing part of an id is ignored. Spark lists the files, but doesn't read them:
     tasks read blocks of ``block`` bytes by their range, so that no file needs to fit a row or
-    a task, and search each by itself for the places of ``end``. A prefix scan over the blocks
-    of a file then gives the documents before each block and where the one that is open began.
+    a task, and search each by itself for the places of ``end``. A prefix scan over the blocks'
+    sums, a small row for each block of a file, then gives the documents before each block and where the one that is open began.
     An empty file or folder gives no rows.
     """
     block -= block % width
@@ -105,17 +105,20 @@ def scan_token_files(spark: SparkSession, folder: str, *, end: int = END, width:
             places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), places], names=["file", "block", "n", "ends"])
 
-    searched = blocks.mapInArrow(lambda it: emptied(search(it)), "file string, block bigint, n bigint, ends array<bigint>")
+    searched = checkpoint(blocks.mapInArrow(lambda it: emptied(search(it)), "file string, block bigint, n bigint, ends array<bigint>"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     base = F.col("block") * (block // width)
-    stitched = (
-        searched.withColumn("last", F.when(F.size("ends") > 0, base + F.element_at("ends", -1)))
-        .withColumn("docs_before", F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)))
+    # a row of a few numbers for each block is scanned, never the ends themselves
+    scanned = (
+        searched.select("file", "block", "n", F.size("ends").alias("held"), F.when(F.size("ends") > 0, base + F.element_at("ends", -1)).alias("last"))
+        .withColumn("docs_before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
         .withColumn("opened", F.coalesce(F.max("last").over(earlier) + 1, F.lit(0)))
         .withColumn("total", F.sum("n").over(whole))
         .withColumn("final", F.col("block") == F.max("block").over(whole))
+        .select("file", "block", "docs_before", "opened", "total", "final")
     )
+    stitched = searched.join(scanned, ["file", "block"])
     stops = F.when(F.col("final"), F.concat("ends", F.array(F.col("total") - base))).otherwise(F.col("ends"))
     places = stitched.select("*", F.posexplode(stops).alias("nth", "place"))
     start = F.when(F.col("nth") > 0, base + F.get("ends", F.col("nth") - 1) + 1).otherwise(F.col("opened"))
