@@ -83,14 +83,21 @@ def moment(seq: Column, window: int = 11, angle: float = 100.0, *, truncate_tail
     def side(wave) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(values, F.substring(seq, i + 1, F.lit(1))), F.lit(0.0)) * wave(F.lit(step) * i))
 
-    # each letter's share of both sides is found once; windows only add them up
+    # each letter's share of both sides is found once; a window that moves on drops one letter's and takes in another's
     sides = F.struct(side(F.cos).alias("x"), side(F.sin).alias("y"))
-    total = lambda part, start, width: F.aggregate(F.slice(part, start + 1, width), F.lit(0.0), lambda t, v: t + v)
+    width = lambda start: F.least(F.lit(window), n - start)
+    size = lambda x, y, start: F.sqrt(x * x + y * y) / width(start)
 
     def over(part: Column, last: Column) -> Column:
-        width = lambda start: F.least(F.lit(window), n - start)
-        size = lambda start: F.sqrt(F.pow(total(part["x"], start, width(start)), 2) + F.pow(total(part["y"], start, width(start)), 2)) / width(start)
-        return F.array_max(F.transform(F.sequence(F.lit(0), last), size))
+        first = [F.aggregate(F.slice(part[c], 1, window), F.lit(0.0), lambda t, v: t + v) for c in "xy"]
+        begin = F.struct(first[0].alias("x"), first[1].alias("y"), size(*first, F.lit(0)).alias("best"))
+
+        def on(state: Column, i: Column) -> Column:
+            x, y = (state[c] - F.get(part[c], i - 1) + F.coalesce(F.get(part[c], i + window - 1), F.lit(0.0)) for c in "xy")
+            return F.struct(x.alias("x"), y.alias("y"), F.greatest(state["best"], size(x, y, i)).alias("best"))
+
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(starts, begin, on, lambda state: state["best"])
 
     last = n - 1 if truncate_tail else F.greatest(n - window, F.lit(0))
     found = F.get(F.transform(F.array(sides), lambda part: over(part, last)), 0)
