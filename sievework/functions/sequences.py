@@ -253,8 +253,8 @@ def envelope(seq: Column) -> Column:
     return sum((w * band(value[name], lo, hi, width) for name, (w, lo, hi, width) in scales.ENVELOPE.items()), F.lit(0.0)) / weight
 
 
-def descriptors(seq: Column) -> dict[str, Column]:
-    """The named descriptors of a sequence (without the pair-weight index, whose table is a parameter)."""
+def descriptors(seq: Column, pair_weights: dict[str, float] | None = None) -> dict[str, Column]:
+    """The named descriptors of a sequence; the pair-weight index (``instability``), whose table is a parameter, where one is given."""
     n = F.length(seq)
     eis, mu = scale_mean(seq, scales.EISENBERG), moment(seq)
     out = {f"frac_{a.lower()}": fraction(seq, a) for a in scales.ALPHABET}
@@ -270,4 +270,4 @@ def descriptors(seq: Column) -> dict[str, Column]:
         **{f"count_{a.lower()}": count_of(seq, a) for a in "CMPG"},
         "positive_window": most_in_window(seq), "face": face_fraction(seq),
     }
-    return out
+    return out if pair_weights is None else out | {"instability": pair_weight_index(seq, pair_weights)}

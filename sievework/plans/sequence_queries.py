@@ -270,7 +270,22 @@ def molecular_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOLECULAR_WEIGHTS = f"""WITH {SEQS}, {_values('mass', parsing.MASSES)}, w AS (SELECT id, sum(v) + {parsing.WATER} AS w FROM chars JOIN mass USING (c) GROUP BY id)
 SELECT id, round(w, 4) AS weight, round(32.0::DOUBLE * 1000 / w, 6) AS micromolar, 32.0::DOUBLE AS passed FROM w"""
 
+
+def descriptor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole descriptor row of every part, 50 columns, in one projection."""
+    found = seq.descriptors(own(), PAIR_WEIGHTS)
+    whole = {n for n in found if n.startswith(("count_", "run_")) or n in ("length", "positive_window")}
+    return _with(spark, sf_dir, **{n: c.cast("int") if n in whole else _r(c) for n, c in found.items()})
+
+
+DESCRIPTOR_ROWS = f"""SELECT a.*, b.gravy, b.eisenberg, b.octanol, b.boman, b.helix, c.length, c.log_length, c.charge, c.charge_density, d.isoelectric, e.moment, e.moment_beta, e.amphipathicity,
+  f.run_hydrophobic, f.run_positive, f.run_identical, f.positive_window, f.count_c, f.count_m, f.count_p, f.count_g,
+  g.frac_positive, g.frac_negative, g.frac_hydrophobic, g.frac_aromatic, g.frac_small, g.aliphatic, g.lys_share, g.pair_index AS instability, h.face
+FROM ({COMPOSITION}) a JOIN ({SCALE_MEANS}) b USING (id) JOIN ({CHARGES}) c USING (id) JOIN ({ISOELECTRIC}) d USING (id) JOIN ({MOMENTS}) e USING (id) JOIN ({RUNS}) f USING (id)
+  JOIN ({CLASS_FRACTIONS}) g USING (id) JOIN ({FACE}) h USING (id)"""
+
 QUERIES = {
+    "descriptor_rows": (descriptor_rows, DESCRIPTOR_ROWS),
     "composition": (composition, COMPOSITION), "scale_means": (scale_means, SCALE_MEANS), "charges": (charges, CHARGES), "isoelectric_point": (isoelectric, ISOELECTRIC),
     "hydrophobic_moments": (moments, MOMENTS), "letter_runs": (runs, RUNS), "class_fractions": (class_fractions, CLASS_FRACTIONS), "face_fraction": (face, FACE),
     "motif_flags": (motif_flags, MOTIF_FLAGS), "synthesis_scores": (synthesis_scores, SYNTHESIS_SCORES), "property_cells": (cells, CELLS), "gram_frequencies": (gram_frequencies, GRAM_FREQUENCIES),
