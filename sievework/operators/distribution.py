@@ -332,3 +332,33 @@ def kernel_discrepancy(generated: DataFrame, real: DataFrame, *, width: float, f
 
     a, b = mean(generated), mean(real)
     return (None if a is None else float(((a - b) ** 2).sum() / features)), bound
+
+
+def library_report(library: DataFrame, reference: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """One row on a library against a reference, by sequences: ``uniqueness``, distinct by all; ``novelty``, of the distinct ones those that the reference lacks;
+    mean length and charge; ``composition_gap``, between the mean compositions; and the divergence of
+    the library's charge, moment, hydropathy and length from the reference's, over bins of one width, each bin with one row more.
+
+    Null sequences don't count. A side without rows gives nulls where it is asked for. Descriptors are made once.
+    """
+    from ..functions import scales
+    from ..functions import sequences as seq
+    from .scoring import divergence
+
+    own = F.col("sequence")
+    widths = {"charge": 1.0, "moment": 0.1, "gravy": 0.25, "length": 1.0}
+    values = {"charge": seq.charge(own), "moment": seq.moment(own), "gravy": seq.scale_mean(own, scales.HYDROPATHY), "length": F.length(own).cast("double")}
+    parts = {f"frac_{a}": seq.fraction(own, a) for a in scales.ALPHABET}
+    sides = [kept(df.select(F.col(sequence).alias("sequence")).where("sequence is not null").select("sequence", *[v.alias(n) for n, v in {**values, **parts}.items()])) for df in (library, reference)]
+    firsts = sides[0].select("sequence").distinct()
+    shares = firsts.join(sides[1].select("sequence").distinct().withColumn("known", F.lit(1)), "sequence", "left").agg(F.count("*").alias("distinct"), F.count("known").alias("known"))
+    means = [df.agg(F.count("*").alias(f"n_{k}"), *[F.avg(c).alias(f"{c}_{k}") for c in ["length", "charge", *parts]]) for k, df in zip("ab", sides, strict=True)]
+    gap = F.sqrt(sum((F.pow(F.col(f"{p}_a") - F.col(f"{p}_b"), 2) for p in parts), F.lit(0.0)))
+    row = shares.join(means[0]).join(means[1]).select(
+        F.try_divide("distinct", "n_a").alias("uniqueness"), F.try_divide(F.col("distinct") - F.col("known"), F.col("distinct")).alias("novelty"),
+        F.col("length_a").alias("mean_length"), F.col("charge_a").alias("mean_charge"), gap.alias("composition_gap"),
+    )
+    for name, width in widths.items():
+        binned = [df.select(F.floor(F.round(F.col(name) / width, 6)).alias("bin")) for df in sides]
+        row = row.join(divergence(*binned, "bin").select(F.col("kl").alias(f"kl_{name}")))
+    return row

@@ -127,3 +127,10 @@ def top_share(controls: DataFrame, bins: list[str], weight: str = "weight") -> D
     top = controls.agg(*[F.max(b).alias(b) for b in bins])
     marked = controls.join(F.broadcast(top.select(*[F.col(b).alias(f"top_{b}") for b in bins])), F.lit(True))
     return marked.agg(*[(F.sum(F.when(F.col(b) == F.col(f"top_{b}"), F.col(weight)).otherwise(0)) / F.sum(weight)).alias(b) for b in bins])
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: how many keys two sources share, and the rank correlation of their values there (null values don't count)."""
+    left, right = (df.where(F.col(value).isNotNull()).select(key, F.col(value).alias(n)) for df, n in ((a, "first"), (b, "second")))
+    ranked = average_ranks(average_ranks(left.join(right, key).select("first", "second"), "first", "rank_a"), "second", "rank_b")
+    return ranked.agg(F.count("*").alias("n"), F.corr("rank_a", "rank_b").alias("spearman"))

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, assays, distribution, training
+from ..functions import scales
+from ..operators import alignment, assays, distribution, scoring, training
 from ..session import kept, shared_dir, table
-from .sequence_queries import parts
+from .sequence_queries import _PKA, SEQS, _charge_sql, _moment_sql, _values, parts
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,44 @@ def discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found, bound)], "mmd2 double, bound double").select(F.round("mmd2", 9).alias("mmd2"), F.round("bound", 9).alias("bound"))
 
 
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of odd ids as a library, of even ids as its reference."""
+    rows = _sequences(spark, sf_dir)
+    row = distribution.library_report(rows.where("row_id % 2 = 1"), rows.where("row_id % 2 = 0"))
+    return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
+
+
+def _kl_sql(name: str, value: str, width: float) -> str:
+    bins = f"SELECT CAST(floor(round({value} / {width}::DOUBLE, 6)) AS BIGINT) AS bin, id % 2 AS own FROM rows"
+    return f"""(SELECT round(sum(p * ln(p / q)), 6) FROM (SELECT (a + 1) / sum(a + 1) OVER () AS p, (b + 1) / sum(b + 1) OVER () AS q FROM (
+  SELECT bin, count(*) FILTER (own = 1) AS a, count(*) FILTER (own = 0) AS b FROM ({bins}) GROUP BY bin))) AS kl_{name}"""
+
+
+REPORT = f"""WITH {SEQS}, {_PKA}, {_values('eis', scales.EISENBERG)}, {_values('kd', scales.HYDROPATHY)}, {_moment_sql('moment', 11, 100.0)},
+facts AS (SELECT id, max(n) AS length, {_charge_sql('7.4')} AS charge, avg(kd.v) AS gravy FROM chars JOIN kd USING (c) LEFT JOIN pka USING (c) GROUP BY id),
+rows AS MATERIALIZED (SELECT * FROM facts JOIN moment USING (id) JOIN seqs USING (id)),
+fractions AS (SELECT id % 2 AS own, c, sum(k / n) AS total FROM (SELECT id, c, count(*) AS k, max(n) AS n FROM chars GROUP BY id, c) GROUP BY ALL),
+means AS (SELECT c, coalesce(max(total) FILTER (own = 1), 0) / (SELECT count(*) FROM rows WHERE id % 2 = 1) - coalesce(max(total) FILTER (own = 0), 0) / (SELECT count(*) FROM rows WHERE id % 2 = 0) AS gap FROM fractions GROUP BY c)
+SELECT round(count(DISTINCT s) / count(*), 6) AS uniqueness, round(count(DISTINCT s) FILTER (s NOT IN (SELECT s FROM rows WHERE id % 2 = 0)) / count(DISTINCT s), 6) AS novelty,
+  round(avg(length), 6) AS mean_length, round(avg(charge), 6) AS mean_charge, (SELECT round(sqrt(sum(gap * gap)), 6) FROM means) AS composition_gap,
+  {_kl_sql('charge', 'charge', 1.0)}, {_kl_sql('moment', 'moment', 0.1)}, {_kl_sql('gravy', 'gravy', 0.25)}, {_kl_sql('length', 'length', 1.0)} FROM rows WHERE id % 2 = 1"""
+
+
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' median quantities among returned lines and among open ones, as two sources."""
+    lines = table(spark, sf_dir, "lineitem")
+    sides = [lines.where(F.col("l_returnflag") == flag).groupBy("l_partkey").agg(F.median("l_quantity").alias("value")) for flag in ("R", "N")]
+    return scoring.agreement(*sides, "l_partkey", "value").select("n", F.round("spearman", 6).alias("spearman"))
+
+
+AGREEMENT = """WITH m AS (SELECT l_partkey, l_returnflag AS f, median(l_quantity) AS v FROM lineitem GROUP BY ALL),
+j AS (SELECT a.v AS x, b.v AS y FROM m a JOIN m b USING (l_partkey) WHERE a.f = 'R' AND b.f = 'N'),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM j)
+SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM r"""
+
+
 QUERIES = {
+    "library_report": (report, REPORT), "source_agreement": (agreement, AGREEMENT),
     "neighbour_metrics": (neighbours, NEIGHBOURS), "frechet_distance": (frechet, None), "kernel_discrepancy": (discrepancy, None),
     "identity_clusters": (clusters, None), "best_local_hits": (best_hits, None), "head_report": (head_report, None), "head_scores": (head_scores, None),
 }
