@@ -107,13 +107,31 @@ class Index:
 
     def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal) of each fingerprint found, each once, sorted."""
-        out = set()
+        out = [np.zeros(0, np.int64)]
         for size in self.sizes:
             grams = grams_of(words, size)
             lo, hi = np.searchsorted(self.prints, grams), np.searchsorted(self.prints, grams, side="right")
-            for p in np.flatnonzero(hi > lo).tolist():
-                out.update((int(self.of[j]), p - int(self.at[j])) for j in range(lo[p], hi[p]))
-        return sorted(out)
+            many = hi - lo
+            place = np.repeat(np.arange(len(grams)), many)
+            j = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            out.append(np.unique((self.of[j] << 40) + place - self.at[j] + (1 << 39)))
+        both = np.unique(np.concatenate(out))
+        return list(zip((both >> 40).tolist(), ((both & ((1 << 40) - 1)) - (1 << 39)).tolist(), strict=True))
+
+
+def most_matches(template: np.ndarray, words: np.ndarray, diagonals: np.ndarray, band: int) -> np.ndarray:
+    """How many of the template's words occur within the band of each diagonal: no alignment there has more matches."""
+    out = np.zeros(len(diagonals), np.int64)
+    step = max(1, (1 << 20) // len(template))
+    for at in range(0, len(diagonals), step):
+        first = diagonals[at : at + step, None] + np.arange(len(template))
+        met = np.zeros(first.shape, bool)
+        for k in range(-band, band + 1):
+            place = first + k
+            inside = (place >= 0) & (place < len(words))
+            met |= inside & (words[np.where(inside, place, 0)] == template)
+        out[at : at + step] = met.sum(axis=1)
+    return out
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
@@ -152,18 +170,23 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
 
 def find(index: Index, words: np.ndarray, band: int, least: float) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, matched words, first and last document word) of each notice in a document."""
-    out, before = [], None
+    chosen: dict[int, list[int]] = {}
     for template, diagonal in index.hits(words):
-        if before is not None and before[0] == template and diagonal - before[1] <= band:
-            continue  # the alignment that was made covers this diagonal
-        before = (template, diagonal)
-        pairs = align(index.words[template], words, diagonal, band)
-        if pairs and len(pairs) >= least * len(index.words[template]):
-            found = (template, len(pairs) / len(index.words[template]), len(pairs), pairs[0][1], pairs[-1][1])
-            if not out or out[-1][0] != template or found[3] > out[-1][4]:
-                out.append(found)
-            elif found[2] > out[-1][2]:
-                out[-1] = found
+        own = chosen.setdefault(template, [])
+        if not own or diagonal - own[-1] > band:  # else the alignment on the last one covers this diagonal
+            own.append(diagonal)
+    out = []
+    for template, own in chosen.items():
+        text = index.words[template]
+        places = np.array(own)
+        for diagonal in places[most_matches(text, words, places, band) >= least * len(text)].tolist():
+            pairs = align(text, words, diagonal, band)
+            if pairs and len(pairs) >= least * len(text):
+                found = (template, len(pairs) / len(text), len(pairs), pairs[0][1], pairs[-1][1])
+                if not out or out[-1][0] != template or found[3] > out[-1][4]:
+                    out.append(found)
+                elif found[2] > out[-1][2]:
+                    out[-1] = found
     return out
 
 
