@@ -211,9 +211,9 @@ def cascade_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"), F.length("p_name").cast("double").alias("len"), "p_retailprice")
-    folded = learning.grouped_folds(rows, "p_brand", folds=3)
-    guessed = learning.out_of_fold(folded, ["size", "len"], "p_retailprice", folds=3, depth=3, rounds=5)
-    return guessed.select("p_partkey", "fold", F.col("guess").isNotNull().alias("guessed"))
+    folded = kept(learning.grouped_folds(rows, "p_brand"))
+    guessed = learning.out_of_fold(folded, ["size", "len"], "p_retailprice", depth=3, rounds=5)
+    return guessed.select("p_partkey", "fold", F.round("guess", 6).alias("guess"))
 
 
 QUERIES = {

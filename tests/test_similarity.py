@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,16 @@ def test_few_pairs_are_compared(spark):
     admitted = sum(min(len(x), len(y)) >= similarity.length_gate(0.8) * max(len(x), len(y)) for x in names for y in names)
     met = similarity.candidate_pairs(left, right, 0.8).where("a <> b").count()
     assert met < admitted / 1000
+
+
+def test_functions_in_sql(spark):
+    from sievework.functions import registered
+
+    registered.register(spark)
+    spark.createDataFrame([(1, "ABCDE"), (2, "AB"), (3, None), (4, "")], "id int, s string").createOrReplaceTempView("texts")
+    found = spark.sql("SELECT id, place, gram FROM texts, LATERAL grams(s, 3)").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, "ABC"), (1, 2, "BCD"), (1, 3, "CDE")]
+    assert spark.sql("SELECT * FROM grams('ABC', 0)").count() == 0
+    row = spark.sql("SELECT indel_ratio('ABC', 'AXC') AS r, indel_ratio(NULL, 'A') AS n, local_hit('ACDEF', 'CDE').score AS score, size(composition_vector('AAC')) AS size, sketch_key(s) AS k FROM texts WHERE id = 1").first()
+    assert abs(row.r - 2 / 3) < 1e-12 and row.n is None and row.score == 6 and row["size"] == 420
+    assert row.k == similarity.sketch_keys(pd.Series(["ABCDE"]))[0]
