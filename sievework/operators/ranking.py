@@ -62,8 +62,7 @@ def quantile_map(df: DataFrame, value: str, onto: str, row_id: str) -> DataFrame
 
 def best_of_each(df: DataFrame, cell: str, quality: str, row_id: str, budget: Column) -> DataFrame:
     """The best rows of each cell by quality, then id, up to its budget."""
-    order = Window.partitionBy(cell).orderBy(F.desc(quality), row_id)
-    return df.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= budget).drop("nth")
+    return running(df, [cell], [F.desc(quality), F.col(row_id)], "nth").where(F.col("nth") <= budget).drop("nth")
 
 
 def shortlist(df: DataFrame, cell: str, quality: str, row_id: str, shares: DataFrame, cap: int, least: int = 40) -> DataFrame:

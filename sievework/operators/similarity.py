@@ -44,25 +44,34 @@ def shares_kmer(df: DataFrame, seq: str, row_id: str, reference: DataFrame, ref_
     return own.join(kmers(reference, ref_seq, k), "kmer", "left_semi").select(row_id).distinct()
 
 
+def _letters(sequences: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all strings in a row, their n + 1 offsets, which strings are there); null counts as empty."""
+    there = sequences.notna().to_numpy()
+    texts = sequences.fillna("").tolist()
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(s) for s in texts])]).astype(np.int64), there
+
+
 def sketch_keys(sequences: pd.Series, k: int = 3, buckets: int = 1 << 22) -> pd.Series:
-    """A key of the four least hashes of a string's k-grams, in unsigned 64-bit arithmetic; null for null."""
-    out: list[int | None] = []
-    with np.errstate(over="ignore"):
-        for s in sequences:
-            if s is None:
-                out.append(None)
-                continue
-            codes = np.array([ord(c) for c in s], np.uint64)
-            width = k if len(codes) >= k else len(codes)
-            whole = np.zeros(max(len(codes) - width + 1, 1), np.uint64)
-            for j in range(width):
-                whole = whole * np.uint64(31) + codes[j : j + len(whole)]
-            key = scales.SKETCH_START
-            for factor, mask in scales.SKETCH:
-                least = int(((whole * np.uint64(factor)) ^ np.uint64(mask)).min())
-                key = ((key ^ least) * scales.SKETCH_FACTOR) % (1 << 64)
-            out.append(key % buckets)
-    return pd.Series(out, dtype="Int64")
+    """A key of the four least hashes of a string's k-grams, in unsigned 64-bit arithmetic; null for null.
+
+    A shorter string is one gram. All strings' grams are hashed together.
+    """
+    letters, ends, there = _letters(sequences)
+    sizes, wide = np.diff(ends), letters.astype(np.uint64)
+    width = np.minimum(sizes, k)
+    count = np.maximum(sizes - width + 1, 1)
+    first = np.cumsum(count) - count
+    at = np.repeat(ends[:-1] - first, count) + np.arange(int(count.sum()))
+    code = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        more = np.flatnonzero(np.repeat(width, count) > j)
+        code[more] = code[more] * np.uint64(31) + wide[at[more] + j]
+    key = np.full(len(sizes), scales.SKETCH_START, np.uint64)
+    for factor, mask in scales.SKETCH if len(sizes) else []:
+        least = np.minimum.reduceat((code * np.uint64(factor)) ^ np.uint64(mask), first)
+        key = (key ^ least) * np.uint64(scales.SKETCH_FACTOR)
+    out = pd.Series((key % np.uint64(buckets)).astype(np.int64), dtype="Int64", index=sequences.index)
+    return out.where(pd.Series(there, index=sequences.index))
 
 
 def sketch_key():
@@ -72,18 +81,18 @@ def sketch_key():
 
 def composition_vectors(sequences: pd.Series) -> pd.Series:
     """Four times the 20 letters' shares, then the 400 pairs' shares; other letters count towards the length only; null for null."""
-    place = {a: i for i, a in enumerate(scales.ALPHABET)}
-    out: list[np.ndarray | None] = []
-    for s in sequences:
-        if s is None:
-            out.append(None)
-            continue
-        codes = np.array([place.get(c, -1) for c in s], np.int64)
-        one = np.bincount(codes[codes >= 0], minlength=20) * 4.0 / max(len(codes), 1)
-        known = (codes[:-1] >= 0) & (codes[1:] >= 0)
-        two = np.bincount((codes[:-1] * 20 + codes[1:])[known], minlength=400) / max(int(known.sum()), 1)
-        out.append(np.concatenate([one, two]))
-    return pd.Series(out, dtype=object)
+    letters, ends, there = _letters(sequences)
+    n, sizes = len(ends) - 1, np.diff(ends)
+    place = np.full(128, -1, np.int64)
+    place[[ord(a) for a in scales.ALPHABET]] = np.arange(20)
+    codes = np.where(letters < 128, place[np.minimum(letters, 127)], -1)
+    row = np.repeat(np.arange(n), sizes)
+    known = codes >= 0
+    one = np.bincount(row[known] * 20 + codes[known], minlength=20 * n).reshape(n, 20) * 4.0 / np.maximum(sizes, 1)[:, None]
+    pair = known[:-1] & known[1:] & (row[:-1] == row[1:])
+    two = np.bincount(row[:-1][pair] * 400 + codes[:-1][pair] * 20 + codes[1:][pair], minlength=400 * n).reshape(n, 400)
+    both = np.hstack([one, two / np.maximum(two.sum(axis=1, keepdims=True), 1)])
+    return pd.Series([v if t else None for v, t in zip(both, there.tolist(), strict=True)], dtype=object, index=sequences.index)
 
 
 def composition_vector():
