@@ -17,6 +17,7 @@ from .tokenise import WordEncoder, tokenizer_file
 
 WINDOW, END = 4096, 2
 GROUP = 2 << 20  # tokens that are packed together
+SLICE = 1 << 18  # bytes of text that are encoded at a time
 ROWS = 512  # pieces of a batch, at most 8 MB of ids
 FULL = 15 / 16  # of a window; one less full is cut into powers of two
 
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
             following += int(found["sequence"].max()) + 1 if len(text) else 0
 
         waiting = 0
-        for rows, data, ends in slices(batches, "text", 1 << 20):
+        for rows, data, ends in slices(batches, "text", SLICE):
             ids, text_ends = encoder.encode(data, ends)
             held.append((rows.column(0), ids, text_ends))
             waiting += len(ids)

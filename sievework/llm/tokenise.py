@@ -79,7 +79,7 @@ class WordEncoder:
     one call; beyond that the memory starts anew, which changes the speed only.
     """
 
-    def __init__(self, vocabulary: str, end: int, limit: int = 250_000) -> None:
+    def __init__(self, vocabulary: str, end: int, limit: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.limit = Tokenizer.from_str(vocabulary), end, limit
