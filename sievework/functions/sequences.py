@@ -1,4 +1,4 @@
-"""Descriptors of short sequences as Columns, all inside the JVM.
+"""Descriptors of short sequences as Columns: those that count letters inside the JVM, those that walk along them as vectorised UDFs.
 
 A sequence is a string of at most some 50 letters of ``scales.ALPHABET``. Other letters
 count towards lengths only. Null gives null; an empty sequence gives null where a length
@@ -7,13 +7,13 @@ divides, else 0.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import scales
+from . import batches, scales
 
 
 def _literal_map(values: dict[str, float]) -> Column:
@@ -61,14 +61,12 @@ def charge(seq: Column, ph: Column | float = 7.4) -> Column:
 
 def isoelectric_point(seq: Column, steps: int = 40) -> Column:
     """The pH at which the charge vanishes, by ``steps`` halvings of 0 to 14."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
 
-    def halve(range_: Column, _: Column) -> Column:
-        mid = (range_["lo"] + range_["hi"]) / 2
-        up = charge(seq, mid) > 0
-        return F.struct(F.when(up, mid).otherwise(range_["lo"]).alias("lo"), F.when(up, range_["hi"]).otherwise(mid).alias("hi"))
+    def found(s: pd.Series) -> pd.Series:
+        b = batches.Batch(s)
+        return b.series(b.isoelectric(steps))
 
-    return F.when(seq.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda r: (r["lo"] + r["hi"]) / 2))
+    return F.pandas_udf(found, "double")(seq)
 
 
 def moment(seq: Column, window: int = 11, angle: float = 100.0, *, truncate_tail: bool = True) -> Column:
@@ -77,31 +75,12 @@ def moment(seq: Column, window: int = 11, angle: float = 100.0, *, truncate_tail
     With ``truncate_tail`` the windows at the end count too, though they hold fewer letters;
     without it only full ones do, or the whole of a sequence shorter than a window.
     """
-    values, step = _literal_map(scales.EISENBERG), math.radians(angle)
-    n = F.length(seq)
-
-    def side(wave) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(values, F.substring(seq, i + 1, F.lit(1))), F.lit(0.0)) * wave(F.lit(step) * i))
-
-    # each letter's share of both sides is found once; a window that moves on drops one letter's and takes in another's
-    sides = F.struct(side(F.cos).alias("x"), side(F.sin).alias("y"))
-    width = lambda start: F.least(F.lit(window), n - start)
-    size = lambda x, y, start: F.sqrt(x * x + y * y) / width(start)
-
-    def over(part: Column, last: Column) -> Column:
-        first = [F.aggregate(F.slice(part[c], 1, window), F.lit(0.0), lambda t, v: t + v) for c in "xy"]
-        begin = F.struct(first[0].alias("x"), first[1].alias("y"), size(*first, F.lit(0)).alias("best"))
-
-        def on(state: Column, i: Column) -> Column:
-            x, y = (state[c] - F.get(part[c], i - 1) + F.coalesce(F.get(part[c], i + window - 1), F.lit(0.0)) for c in "xy")
-            return F.struct(x.alias("x"), y.alias("y"), F.greatest(state["best"], size(x, y, i)).alias("best"))
 
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(starts, begin, on, lambda state: state["best"])
+    def found(s: pd.Series) -> pd.Series:
+        b = batches.Batch(s)
+        return b.series(b.moment(window, angle, truncate_tail))
 
-    last = n - 1 if truncate_tail else F.greatest(n - window, F.lit(0))
-    found = F.get(F.transform(F.array(sides), lambda part: over(part, last)), 0)
-    return F.when(n > 0, found).when(n == 0, 0.0)
+    return F.pandas_udf(found, "double")(seq)
 
 
 def longest_run(seq: Column, members: str) -> Column:
@@ -153,21 +132,12 @@ def with_controls(seq: Column, controls: list[Column], offsets: list[int], begin
 
 def face_fraction(seq: Column, angle: float = 100.0) -> Column:
     """Of the letters within 90 degrees of the moment's direction the share that is hydrophobic; 0 without a direction."""
-    values, step = _literal_map(scales.EISENBERG), math.radians(angle)
-    places = F.sequence(F.lit(0), F.length(seq) - 1)
 
-    def letter(i: Column) -> Column:
-        return F.substring(seq, i + 1, F.lit(1))
+    def found(s: pd.Series) -> pd.Series:
+        b = batches.Batch(s)
+        return b.series(b.face(angle))
 
-    def side(wave) -> Column:
-        return F.aggregate(places, F.lit(0.0), lambda t, i: t + F.coalesce(F.element_at(values, letter(i)), F.lit(0.0)) * wave(F.lit(step) * i))
-
-    x, y = side(F.cos), side(F.sin)
-    # within 90 degrees: the cosine of the angle between the two isn't negative
-    on_face = F.filter(places, lambda i: (F.cos(F.lit(step) * i) * x + F.sin(F.lit(step) * i) * y) >= -1e-12)
-    water_fearing = F.filter(on_face, lambda i: F.instr(F.lit(scales.HYDROPHOBIC), letter(i)) > 0)
-    found = F.when((x != 0) | (y != 0), F.coalesce(F.try_divide(F.size(water_fearing), F.size(on_face)), F.lit(0.0))).otherwise(0.0)
-    return F.when(F.length(seq) > 0, found).when(seq.isNotNull(), 0.0)
+    return F.pandas_udf(found, "double")(seq)
 
 
 def grams(seq: Column, k: int) -> Column:
@@ -254,20 +224,10 @@ def envelope(seq: Column) -> Column:
 
 
 def descriptors(seq: Column, pair_weights: dict[str, float] | None = None) -> dict[str, Column]:
-    """The named descriptors of a sequence; the pair-weight index (``instability``), whose table is a parameter, where one is given."""
-    n = F.length(seq)
-    eis, mu = scale_mean(seq, scales.EISENBERG), moment(seq)
-    out = {f"frac_{a.lower()}": fraction(seq, a) for a in scales.ALPHABET}
-    out |= {
-        "length": n, "log_length": F.ln(n), "charge": charge(seq), "charge_density": F.try_divide(charge(seq), n),
-        "gravy": scale_mean(seq, scales.HYDROPATHY), "eisenberg": eis, "octanol": scale_mean(seq, scales.OCTANOL),
-        "boman": scale_mean(seq, scales.BOMAN), "helix": scale_mean(seq, scales.HELIX),
-        "moment": mu, "moment_beta": moment(seq, 7, 180.0), "amphipathicity": mu * F.greatest(eis, F.lit(0.0)),
-        "frac_positive": fraction(seq, scales.POSITIVE), "frac_negative": fraction(seq, scales.NEGATIVE), "frac_hydrophobic": fraction(seq, scales.HYDROPHOBIC),
-        "frac_aromatic": fraction(seq, scales.AROMATIC), "frac_small": fraction(seq, scales.SMALL),
-        "run_hydrophobic": longest_run(seq, scales.HYDROPHOBIC), "run_identical": longest_repeat(seq), "run_positive": longest_run(seq, scales.POSITIVE),
-        "aliphatic": aliphatic_index(seq), "isoelectric": isoelectric_point(seq), "lys_share": fraction(seq, "K") / F.greatest(fraction(seq, scales.POSITIVE), F.lit(1e-9)),
-        **{f"count_{a.lower()}": count_of(seq, a) for a in "CMPG"},
-        "positive_window": most_in_window(seq), "face": face_fraction(seq),
-    }
-    return out if pair_weights is None else out | {"instability": pair_weight_index(seq, pair_weights)}
+    """The named descriptors of a sequence; the pair-weight index (``instability``), whose table is a parameter, where one is given.
+
+    One vectorised UDF makes them all, and Spark runs it once for a row, however many of them are asked for.
+    """
+    names = list(batches.descriptors(pd.Series([], dtype=object), pair_weights).columns)
+    all_ = F.pandas_udf(lambda s: batches.descriptors(s, pair_weights), ", ".join(f"{n} double" for n in names))(seq)
+    return {n: all_[n].cast("int") if n in batches.WHOLE else all_[n] for n in names}

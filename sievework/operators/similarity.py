@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scales
+from ..functions.batches import code_points
 from ..functions.sequences import grams
 from ..session import kept
 
@@ -44,19 +45,12 @@ def shares_kmer(df: DataFrame, seq: str, row_id: str, reference: DataFrame, ref_
     return own.join(kmers(reference, ref_seq, k), "kmer", "left_semi").select(row_id).distinct()
 
 
-def _letters(sequences: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points of all strings in a row, their n + 1 offsets, which strings are there); null counts as empty."""
-    there = sequences.notna().to_numpy()
-    texts = sequences.fillna("").tolist()
-    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(s) for s in texts])]).astype(np.int64), there
-
-
 def sketch_keys(sequences: pd.Series, k: int = 3, buckets: int = 1 << 22) -> pd.Series:
     """A key of the four least hashes of a string's k-grams, in unsigned 64-bit arithmetic; null for null.
 
     A shorter string is one gram. All strings' grams are hashed together.
     """
-    letters, ends, there = _letters(sequences)
+    letters, ends, there = code_points(sequences)
     sizes, wide = np.diff(ends), letters.astype(np.uint64)
     width = np.minimum(sizes, k)
     count = np.maximum(sizes - width + 1, 1)
@@ -81,7 +75,7 @@ def sketch_key():
 
 def composition_vectors(sequences: pd.Series) -> pd.Series:
     """Four times the 20 letters' shares, then the 400 pairs' shares; other letters count towards the length only; null for null."""
-    letters, ends, there = _letters(sequences)
+    letters, ends, there = code_points(sequences)
     n, sizes = len(ends) - 1, np.diff(ends)
     place = np.full(128, -1, np.int64)
     place[[ord(a) for a in scales.ALPHABET]] = np.arange(20)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing, scales
 from ..functions import sequences as seq
 from ..operators import similarity
-from ..session import table
-
+from ..session import spread, table
 
 
 def own() -> Column:
@@ -27,6 +26,11 @@ def _with(spark: SparkSession, sf_dir: str, **columns: Column) -> DataFrame:
     return parts(spark, sf_dir).select("id", *[c.alias(n) for n, c in columns.items()])
 
 
+def _walked(spark: SparkSession, sf_dir: str, **columns: Column) -> DataFrame:
+    """As ``_with``, for columns that walk along sequences: by all cores."""
+    return spread(parts(spark, sf_dir)).select("id", *[c.alias(n) for n, c in columns.items()])
+
+
 def _r(column: Column, digits: int = 6) -> Column:
     return F.round(column, digits) + 0.0  # no negative zero
 
@@ -77,7 +81,7 @@ FROM chars LEFT JOIN pka USING (c) GROUP BY id"""
 
 
 def isoelectric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with(spark, sf_dir, isoelectric=_r(seq.isoelectric_point(own())))
+    return _walked(spark, sf_dir, isoelectric=_r(seq.isoelectric_point(own())))
 
 
 ISOELECTRIC = f"""WITH RECURSIVE {SEQS}, {_PKA},
@@ -90,7 +94,7 @@ SELECT id, round((lo + hi) / 2, 6) AS isoelectric FROM steps WHERE k = 40"""
 
 
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with(spark, sf_dir, moment=_r(seq.moment(own())), moment_beta=_r(seq.moment(own(), 7, 180.0)), moment_full=_r(seq.moment(own(), truncate_tail=False)),
+    return _walked(spark, sf_dir, moment=_r(seq.moment(own())), moment_beta=_r(seq.moment(own(), 7, 180.0)), moment_full=_r(seq.moment(own(), truncate_tail=False)),
                  amphipathicity=_r(seq.moment(own()) * F.greatest(seq.scale_mean(own(), scales.EISENBERG), F.lit(0.0))))
 
 
@@ -150,7 +154,7 @@ SELECT id, round(pos, 6) AS frac_positive, round(neg, 6) AS frac_negative, round
 
 
 def face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with(spark, sf_dir, face=_r(seq.face_fraction(own())))
+    return _walked(spark, sf_dir, face=_r(seq.face_fraction(own())))
 
 
 FACE = f"""WITH {SEQS}, {_values('eis', scales.EISENBERG)},
@@ -197,7 +201,7 @@ FROM facts f JOIN flags USING (id) LEFT JOIN sheet USING (id) LEFT JOIN rr USING
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with(spark, sf_dir, length_bin=seq.bin_of(F.length(own()), scales.LENGTH_EDGES), charge_bin=seq.bin_of(seq.charge(own()), scales.CHARGE_EDGES), moment_bin=seq.bin_of(seq.moment(own()), scales.MOMENT_EDGES))
+    return _walked(spark, sf_dir, length_bin=seq.bin_of(F.length(own()), scales.LENGTH_EDGES), charge_bin=seq.bin_of(seq.charge(own()), scales.CHARGE_EDGES), moment_bin=seq.bin_of(seq.moment(own()), scales.MOMENT_EDGES))
 
 
 def _bin_sql(value: str, edges: list[float]) -> str:
@@ -275,7 +279,7 @@ def descriptor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole descriptor row of every part, 50 columns, in one projection."""
     found = seq.descriptors(own(), PAIR_WEIGHTS)
     whole = {n for n in found if n.startswith(("count_", "run_")) or n in ("length", "positive_window")}
-    return _with(spark, sf_dir, **{n: c.cast("int") if n in whole else _r(c) for n, c in found.items()})
+    return _walked(spark, sf_dir, **{n: c.cast("int") if n in whole else _r(c) for n, c in found.items()})
 
 
 DESCRIPTOR_ROWS = f"""SELECT a.*, b.gravy, b.eisenberg, b.octanol, b.boman, b.helix, c.length, c.log_length, c.charge, c.charge_density, d.isoelectric, e.moment, e.moment_beta, e.amphipathicity,
