@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
-from ..session import kept
+from ..session import kept, spread
 from .alignment import identity_clusters
 from .learning import grouped_folds
 from .scoring import auroc, regression_report
@@ -158,16 +158,18 @@ def train_heads(targets: dict[str, Target], folder: str, *, least: int = 300, id
     rmse, r2 of regressions, and auroc of classifiers or of finding the active rows (null with ten or fewer of either kind).
     """
     spark = next(iter(targets.values())).rows.sparkSession
-    sequences = None
-    for t in targets.values():
-        own = t.rows.select("sequence")
+    # each head's rows are made once, and so are the sequences: whatever makes them may be a join of all measurements
+    learnt, sequences = {name: kept(t.rows.select("sequence", "amidated", "y", "n")) for name, t in targets.items()}, None
+    for rows in learnt.values():
+        own = rows.select("sequence")
         sequences = own if sequences is None else sequences.union(own)
-    named = sequences.where("sequence is not null").distinct().withColumn("row_id", F.col("sequence"))
+    sequences = kept(sequences.where("sequence is not null").distinct())
+    named = sequences.withColumn("row_id", F.col("sequence"))
     folded = kept(grouped_folds(identity_clusters(named, identity=identity), "cluster", params.get("folds", 5), params.get("seed", 0)).select(F.col("row_id").alias("sequence"), "fold"))
-    features = kept(with_features(sequences.where("sequence is not null").distinct().withColumn("amidated", F.lit(0))).select("sequence", "features"))
+    features = kept(with_features(spread(sequences).withColumn("amidated", F.lit(0))).select("sequence", "features"))
     report, guesses, saved = None, {}, []
     for name, t in targets.items():
-        rows = kept(t.rows.where("y is not null").join(folded, "sequence").join(features, "sequence").withColumns({"y": F.col("y").cast("double"), "weight": F.log1p(F.col("n").cast("double"))}))
+        rows = kept(learnt[name].where("y is not null").join(folded, "sequence").join(features, "sequence").withColumns({"y": F.col("y").cast("double"), "weight": F.log1p(F.col("n").cast("double"))}))
         n = rows.count()
         if n < least:
             continue

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scales
 from ..operators import alignment, assays, distribution, scoring, training
-from ..session import kept, shared_dir, table
+from ..session import kept, shared_dir, spread, table
 from .sequence_queries import _PKA, SEQS, _charge_sql, _moment_sql, _values, parts
 
 
@@ -37,7 +37,8 @@ def _heads(spark: SparkSession, sf_dir: str):
     named = table(spark, sf_dir, "lineitem").join(_sequences(spark, sf_dir), F.col("l_partkey") == F.col("row_id"))
     medians = assays.replicate_medians(named.withColumn("amidated", (F.col("l_linenumber") % 2).cast("int")), ["sequence", "l_returnflag", "amidated"], "l_quantity")
     potency = assays.mean_of_logs(medians, ["sequence", "amidated"])
-    dear = named.groupBy("sequence").agg(F.avg(F.log2("l_extendedprice")).alias("mean"), F.count("*").alias("n"))
+    # lines are joined once for each head: what follows reads the kept rows
+    dear = kept(named.groupBy("sequence").agg(F.avg(F.log2("l_extendedprice")).alias("mean"), F.count("*").alias("n")))
     middle = dear.agg(F.median("mean")).first()[0]
     safe = dear.select("sequence", F.lit(0).alias("amidated"), (F.col("mean") >= F.lit(middle)).cast("double").alias("y"), "n")
     targets = {"potency": training.Target(potency, active=4.5), "safe": training.Target(safe, classify=True)}
@@ -54,7 +55,7 @@ def head_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts scored by the heads as they were saved and loaded again."""
     heads = training.load_heads(spark, _heads(spark, sf_dir)[1])
-    return training.score_heads(_sequences(spark, sf_dir).withColumn("amidated", F.lit(0)), heads).select("row_id", *[F.round(h, 6).alias(h) for h in heads])
+    return training.score_heads(spread(_sequences(spark, sf_dir)).withColumn("amidated", F.lit(0)), heads).select("row_id", *[F.round(h, 6).alias(h) for h in heads])
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import random
 
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from sievework.functions import scales
 from sievework.operators import alignment, training
@@ -72,3 +73,19 @@ def test_folds_keep_clusters_together(spark, trained):
     assert len(set(cluster.values())) < len(names)
     for s in names:
         assert fold[s] == fold[cluster[s]]
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """What makes a head's rows may be a join of all measurements, so it runs once, whatever is read from the rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(n):
+        made.add(1)
+        return float(n)
+
+    rows = spark.createDataFrame([("KWKLFKKIGAVLKVL"[i % 5 :], 0, i) for i in range(20)], "sequence string, amidated int, n long")
+    rows = rows.groupBy("sequence", "amidated").agg(F.sum(costly("n")).alias("y"), F.count("*").alias("n"))
+    guard = rows.select("sequence", "amidated", "y", "n").where("y >= 0")
+    training.train_heads({"one": training.Target(guard)}, str(tmp_path / "heads"), least=10**9)
+    assert made.value == 20
