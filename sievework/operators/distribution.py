@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..session import kept, written
 
 CELL, PIVOTS = 256, 1024  # vectors of a cell on average; most pivots, so most vectors of which the driver gets one each
-CHUNK = 2048  # vectors of a cell that a group holds
+CHUNK = 16384  # vectors of a bin of cells that a group holds
+PAIRS = 1 << 22  # whose rough distances are held at once
 SLACK = 1e-9  # relative, for rounding in the bounds that choose cells; distances themselves are compared as they are
 
 
@@ -35,117 +36,211 @@ def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """(squared distances (a x b) from one matrix product, how far off they may be): for choosing what is compared exactly."""
+    own, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    out = a @ b.T
+    out *= -2
+    out += own[:, None]
+    out += other
+    return out, 1e-14 * (8 + a.shape[1]) * float(own.max(initial=0) + other.max(initial=0))
+
+
+def roughly(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """(distances (a x b), how far off they may be)."""
+    out, off = squares(a, b)
+    return np.sqrt(np.maximum(out, 0)), math.sqrt(off)
+
+
+def exactly(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of a[i] and b[j], as ``between`` has them."""
+    out, step = np.empty(len(i)), max(1, (1 << 20) // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        gap = a[i[at : at + step]] - b[j[at : at + step]]
+        out[at : at + step] = np.sqrt((gap * gap).sum(axis=1))
+    return out
+
+
 @dataclass
 class Bounds:
-    """By cell its pivot, radius, number of vectors and largest ball: what tasks need to choose cells."""
+    """By cell its pivot, radius, number of vectors, largest ball and bin; by bin the groups it is cut into: what tasks need to choose bins."""
 
     pivots: np.ndarray
     radius: np.ndarray
     count: np.ndarray
     ball: np.ndarray
+    bin: np.ndarray
+    chunks: np.ndarray
 
 
 @dataclass
 class Cells:
-    """Vectors by nearest pivot, as rows (cell, chunk, id, vector, ball)."""
+    """Vectors by nearest pivot, as rows (bin, chunk, id, vector, ball)."""
 
     rows: DataFrame
     bounds: Bounds
 
 
 def cells(df: DataFrame) -> Cells:
-    """Of rows (id, vector, ball); ``ball`` may be null. Pivots are the vectors with the smallest hashes."""
+    """Of rows (id, vector, ball); ``ball`` may be null. Pivots are the vectors with the smallest hashes.
+
+    Cells are gathered in bins of some ``CHUNK`` vectors, about the first pivots: where pivots prune little, a query
+    goes to a bin once, not to each of its cells.
+    """
     n = df.count()
     picked = df.select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(max(1, min(PIVOTS, n // CELL))).collect()
     pivots = np.array([r.vector for r in picked], float)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            away = between(matrix(batch.column(1)), pivots)
-            home = away.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(away[np.arange(len(home)), home]), *batch.columns], names=["cell", "away", "id", "vector", "ball"])
+            vectors = matrix(batch.column(1))
+            home = squares(vectors, pivots)[0].argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(exactly(vectors, pivots, np.arange(len(home)), home)), *batch.columns], names=["cell", "away", "id", "vector", "ball"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select("id", "vector", "ball").schema.fields)
     near = kept(df.select("id", "vector", "ball").mapInArrow(placed, f"cell bigint, away double, {kinds}"))
     radius, count, ball = (np.zeros(len(pivots)) for _ in range(3))
     for r in near.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n"), F.coalesce(F.max("ball"), F.lit(0.0)).alias("ball")).collect():
         radius[r.cell], count[r.cell], ball[r.cell] = r.radius, r.n, r.ball
-    chunks = F.element_at(F.array(*[F.lit(max(1, math.ceil(c / CHUNK))) for c in count]), (F.col("cell") + 1).cast("int")) if len(pivots) else F.lit(1)
-    return Cells(near.select("cell", F.pmod(F.xxhash64("id", "vector"), chunks).cast("int").alias("chunk"), "id", "vector", "ball"), Bounds(pivots, radius, count, ball))
+    bins = squares(pivots, pivots[: max(1, math.ceil(n / CHUNK))])[0].argmin(axis=1) if len(pivots) else np.zeros(0, np.int64)
+    chunks = np.maximum(1, np.ceil(np.bincount(bins, weights=count, minlength=1) / CHUNK)).astype(int)
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), (F.col("cell") + 1).cast("int")) if len(pivots) else F.lit(1)
+    placed_in = near.select(of(bins).alias("bin"), F.pmod(F.xxhash64("id", "vector"), of(chunks[bins])).cast("int").alias("chunk"), "id", "vector", "ball")
+    return Cells(placed_in, Bounds(pivots, radius, count, ball, bins, chunks))
 
 
-Rule = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Rule = Callable[[np.ndarray, np.ndarray, np.ndarray, float], np.ndarray]
 
 
-def _dealt(queries: DataFrame, found: Cells, rule: Rule) -> DataFrame:
-    """The queries (id, vector, bound) at each chunk of each cell that ``rule`` of distances to pivots and bounds allows."""
+def _bins(cells: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """Which bins (rows x bins) have a cell that is marked (rows x cells)."""
+    kinds = np.eye(len(bounds.chunks), dtype=np.float32)[bounds.bin]
+    return cells.astype(np.float32) @ kinds > 0
+
+
+def _dealt(queries: DataFrame, found: Cells, rule: Rule, slices: int) -> DataFrame:
+    """The queries (id, vector, bound, home) at each chunk of each bin that ``rule`` of (distances to pivots, bounds, home bins, how far off the distances may be) allows."""
     bounds = found.bounds
-    chunks = np.maximum(1, np.ceil(bounds.count / CHUNK)).astype(int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
-                row, cell = np.nonzero(rule(between(matrix(part.column(1)), bounds.pivots), part.column(2).to_numpy(zero_copy_only=False).astype(float)) & (bounds.count > 0))
+                away, off = roughly(matrix(part.column(1)), bounds.pivots)
+                row, where = np.nonzero(rule(away, part.column(2).to_numpy(zero_copy_only=False).astype(float), part.column(3).to_numpy(zero_copy_only=False), off))
                 for at in range(0, len(row), 4096):
-                    copies = chunks[cell[at : at + 4096]]
-                    rows, where = np.repeat(row[at : at + 4096], copies), np.repeat(cell[at : at + 4096], copies)
+                    copies = bounds.chunks[where[at : at + 4096]]
+                    rows, bins = np.repeat(row[at : at + 4096], copies), np.repeat(where[at : at + 4096], copies)
                     nth = np.arange(len(rows)) - np.repeat(np.cumsum(copies) - copies, copies)
                     taken = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(nth.astype(np.int32)), *taken.columns], names=["cell", "chunk", "id", "vector", "bound"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), pa.array(nth.astype(np.int32)), *taken.columns[:3]], names=["bin", "chunk", "id", "vector", "bound"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.select("id", "vector", "bound").schema.fields)
-    return queries.select("id", "vector", "bound").mapInArrow(run, f"cell bigint, chunk int, {kinds}")
+    dealt = queries.select("id", "vector", "bound", "home").mapInArrow(run, f"bin int, chunk int, {kinds}")
+    return dealt.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
 
 
 def _groups(queries: DataFrame, found: Cells, rule: Rule) -> DataFrame:
-    """(cell, chunk, asks, id, vector, number) with each chunk's vectors before the queries that pass them."""
-    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = _dealt(queries, found, rule).select("cell", "chunk", F.lit(True).alias("asks"), "id", "vector", F.col("bound").alias("number"))
-    held = found.rows.select("cell", "chunk", F.lit(False).alias("asks"), "id", "vector", F.col("ball").alias("number"))
-    return held.unionByName(asked).repartition(partitions, "cell", "chunk").sortWithinPartitions("cell", "chunk", "asks", "id")
-
+    """(bin, chunk, slice, asks, id, vector, number) with each chunk's vectors before the queries that pass them.
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
-    """(group, whether they ask, rows) of runs of rows."""
+    Where there are fewer chunks than tasks, queries are dealt in slices, and a chunk goes to each.
+    """
+    spark = queries.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    slices = math.ceil(2 * partitions / int(found.bounds.chunks.sum())) if found.bounds.count.sum() > CHUNK else 1
+    asked = _dealt(queries, found, rule, slices).select("bin", "chunk", "slice", F.lit(True).alias("asks"), "id", "vector", F.col("bound").alias("number"))
+    held = found.rows.withColumn("slice", F.explode(F.array(*map(F.lit, range(slices))))).select("bin", "chunk", "slice", F.lit(False).alias("asks"), "id", "vector", F.col("ball").alias("number"))
+    return held.unionByName(asked).repartition(partitions, "bin", "chunk", "slice").sortWithinPartitions("bin", "chunk", "slice", "asks", "id")
+
+
+class Held:
+    """A group's vectors, which come before its queries."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.ids, self.parts, self.numbers = key, [], [], []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.ids += rows.column(4).to_pylist()
+        self.parts.append(matrix(rows.column(5)))
+        self.numbers.append(rows.column(6).to_numpy(zero_copy_only=False).astype(float))
+
+    def ready(self) -> None:
+        """Puts the parts together once all are there."""
+        if self.parts is not None:
+            self.vectors, self.balls = np.vstack(self.parts), np.concatenate(self.numbers)
+            self.place, self.parts, self.numbers = {}, None, None
+            for j, x in enumerate(self.ids):
+                self.place.setdefault(x, []).append(j)
+
+    def same(self, own: list) -> tuple[list[int], list[int]]:
+        """(i, j) of the queries and the vectors that have one id."""
+        met = [(i, j) for i, x in enumerate(own) for j in self.place.get(x, ())]
+        return [i for i, _ in met], [j for _, j in met]
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Held | None, pa.RecordBatch | None]]:
+    """(group, its next queries), and (group, None) after its last ones; a group without vectors is passed over."""
+    held = None
     for batch in batches:
-        keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
-        edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        keys = np.stack([batch.column(i).cast(pa.int32()).to_numpy() for i in range(4)])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            for at in range(lo, hi, 512):
-                yield keys[lo][:2], keys[lo][2], batch.slice(at, min(hi, at + 512) - at)
+            if lo == hi:
+                continue
+            key = tuple(keys[:3, lo].tolist())
+            if held is None or held.key != key:
+                if held is not None and held.ids:
+                    held.ready()
+                    yield held, None
+                held = Held(key)
+            if not keys[3, lo]:
+                held.add(batch.slice(lo, hi - lo))
+            elif held.ids:
+                held.ready()
+                step = max(1, PAIRS // len(held.ids))
+                for at in range(lo, hi, step):
+                    yield held, batch.slice(at, min(hi, at + step) - at)
+    if held is not None and held.ids:
+        held.ready()
+        yield held, None
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], k: int, others: bool, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """(id, near) of each query: its ``k`` nearest of one chunk, as (distance, id)."""
-    key, ids, held = None, [], None
-    for group, asks, rows in _stretches(batches):
-        if group != key:
-            key, ids, held = group, [], None
-        vectors = matrix(rows.column(4))
-        if not asks:
-            ids, held = ids + rows.column(3).to_pylist(), vectors if held is None else np.vstack([held, vectors])
-            continue
-        if held is None:
+    """(id, near) of each query: its ``k`` nearest of one chunk within its bound, as (distance, id).
+
+    A matrix product finds those that may be among them, and only these are compared exactly.
+    """
+    for held, rows in _passing(batches):
+        if rows is None:
             continue
-        away, own = between(vectors, held), rows.column(3).to_pylist()
+        vectors, own = matrix(rows.column(5)), rows.column(4).to_pylist()
+        away, off = squares(vectors, held.vectors)
         if others:
-            place = {}
-            for j, x in enumerate(ids):
-                place.setdefault(x, []).append(j)
-            for i, x in enumerate(own):
-                away[i, place.get(x, [])] = np.inf
-        best = np.argsort(away, axis=1, kind="stable")[:, :k]
-        near = [[{"distance": away[i, j], "id": ids[j]} for j in row if away[i, j] < np.inf] for i, row in enumerate(best)]
-        yield pa.RecordBatch.from_arrays([rows.column(3), pa.array(near, pa.list_(pa.struct([("distance", pa.float64()), ("id", kind)])))], names=["id", "near"])
+            away[held.same(own)] = np.inf
+        bound = rows.column(6).to_numpy(zero_copy_only=False).astype(float) * (1 + SLACK) + SLACK
+        most = np.where(np.isfinite(bound), bound * bound + off, np.finfo(float).max)
+        met = away <= most[:, None]
+        if met.sum() > 8 * k * len(own) and away.shape[1] > k:
+            most = np.minimum(most, np.partition(away, k - 1, axis=1)[:, k - 1] + 2 * off)
+            met = away <= most[:, None]
+        i, j = np.nonzero(met & np.isfinite(away))
+        exact = exactly(vectors, held.vectors, i, j)
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        n = np.bincount(i, minlength=len(own))
+        good = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) < k
+        offsets = np.concatenate([[0], np.cumsum(np.minimum(n, k))]).astype(np.int32)
+        near = pa.StructArray.from_arrays([pa.array(exact[good]), pa.array([held.ids[x] for x in j[good].tolist()], kind)], names=["distance", "id"])
+        yield pa.RecordBatch.from_arrays([rows.column(4), pa.ListArray.from_arrays(pa.array(offsets), near)], names=["id", "near"])
 
 
 def nearest(queries: DataFrame, data: Cells, k: int, *, others: bool = False) -> DataFrame:
     """(id, near): each query's ``k`` nearest vectors, near first, as (distance, id); with ``others``, none of its own id.
 
     Exact, for queries (id, vector) of unique ids. The pivots alone bound how far the k-th can be (a cell
-    whose whole radius is nearer counts with all its vectors); the home cell shrinks
-    that bound, and then a query goes to the cells that still reach within it. Cells are joined independently, in
-    groups of about ``CHUNK`` vectors past which queries stream.
+    whose whole radius is nearer counts with all its vectors); the home bin shrinks
+    that bound, and then a query goes to the bins of the cells that still reach within it. Bins are joined independently, in
+    groups of about ``CHUNK`` vectors past which queries stream. On vectors that no pivots tell apart each
+    query meets all others, in products of matrices.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -154,74 +249,75 @@ def nearest(queries: DataFrame, data: Cells, k: int, *, others: bool = False) ->
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reach = between(matrix(batch.column(1)), bounds.pivots) + bounds.radius
+            away, off = roughly(matrix(batch.column(1)), bounds.pivots)
+            reach = away + bounds.radius + off
             order = np.argsort(reach, axis=1)
             enough = np.cumsum(bounds.count[order], axis=1) >= need
             bound = np.where(enough.any(axis=1), np.take_along_axis(reach, order, axis=1)[np.arange(len(order)), enough.argmax(axis=1)], np.inf)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=["id", "vector", "bound"])
+            home = bounds.bin[np.where(bounds.count > 0, away, np.inf).argmin(axis=1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound), pa.array(home.astype(np.int32))], names=["id", "vector", "bound", "home"])
 
     def merged(found: DataFrame) -> DataFrame:
         return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
-    def home(away: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        return np.arange(away.shape[1]) == np.where(bounds.count > 0, away, np.inf).argmin(axis=1)[:, None]
+    def at_home(away: np.ndarray, bound: np.ndarray, home: np.ndarray, off: float) -> np.ndarray:
+        return np.arange(len(bounds.chunks)) == home[:, None]
 
-    def beyond(away: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        return ~home(away, bound) & (away - bounds.radius <= bound[:, None] * (1 + SLACK) + SLACK)
+    def beyond(away: np.ndarray, bound: np.ndarray, home: np.ndarray, off: float) -> np.ndarray:
+        return ~at_home(away, bound, home, off) & _bins((away - off - bounds.radius <= bound[:, None] * (1 + SLACK) + SLACK) & (bounds.count > 0), bounds)
 
     searched = lambda df: df.mapInArrow(lambda it: _nearest(it, k, others, kind), names)
-    asked = kept(queries.select("id", "vector").mapInArrow(bounded, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.select("id", "vector").schema.fields) + ", bound double"))
-    first = kept(merged(searched(_groups(asked, data, home))))
+    asked = kept(queries.select("id", "vector").mapInArrow(bounded, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.select("id", "vector").schema.fields) + ", bound double, home int"))
+    first = kept(merged(searched(_groups(asked, data, at_home))))
     last = F.when(F.size("near") >= k, F.element_at("near", k)["distance"])
-    shrunk = asked.join(first, "id", "left").select("id", "vector", F.least("bound", last).alias("bound"))
+    shrunk = asked.join(first, "id", "left").select("id", "vector", F.least("bound", last).alias("bound"), "home")
     rest = searched(_groups(shrunk, data, beyond))
     return merged(first.unionByName(rest))
 
 
 def _within(batches: Iterator[pa.RecordBatch], others: bool, cut: float, kinds: list) -> Iterator[pa.RecordBatch]:
     """How many balls hold each query (all balls; balls cut to ``cut``), and how many queries each ball holds."""
-    key, ids, held, balls, hits = None, [], None, np.zeros(0), np.zeros(0, np.int64)
 
     def out(asks: bool, names: list, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
         empty = pa.nulls(len(names), kinds[0]), pa.nulls(len(names), kinds[1])
         sides = [pa.array(names, kinds[0]), empty[1]] if asks else [empty[0], pa.array(names, kinds[1])]
         return pa.RecordBatch.from_arrays([*sides, pa.array(n), pa.array(m)], names=["query", "ball", "n", "cut"])
 
-    for group, asks, rows in _stretches(batches):
-        if group != key:
+    of, hits = None, np.zeros(0, np.int64)
+    for held, rows in _passing(batches):
+        if held is not of:
+            of, hits = held, np.zeros(len(held.ids), np.int64)
+        if rows is None:
             if hits.any():
-                yield out(False, ids, hits, np.zeros_like(hits))
-            key, ids, held, balls, hits = group, [], None, np.zeros(0), np.zeros(0, np.int64)
-        vectors = matrix(rows.column(4))
-        if not asks:
-            ids, held = ids + rows.column(3).to_pylist(), vectors if held is None else np.vstack([held, vectors])
-            balls, hits = np.concatenate([balls, rows.column(5).to_numpy(zero_copy_only=False).astype(float)]), np.zeros(len(ids), np.int64)
+                yield out(False, held.ids, hits, np.zeros_like(hits))
             continue
-        if held is None:
-            continue
-        away, own = between(vectors, held), rows.column(3).to_pylist()
-        apart = np.array([[x != y for y in ids] for x in own]) if others else True
-        inside = (away <= balls) & apart
-        hits = hits + inside.sum(axis=0)
-        yield out(True, own, inside.sum(axis=1), ((away <= np.minimum(balls, cut)) & apart).sum(axis=1))
-    if hits.any():
-        yield out(False, ids, hits, np.zeros_like(hits))
+        vectors, own = matrix(rows.column(5)), rows.column(4).to_pylist()
+        away, off = squares(vectors, held.vectors)
+        if others:
+            away[held.same(own)] = np.inf
+        # what may be inside is found by products of matrices, and then compared exactly
+        i, j = np.nonzero(away <= held.balls * held.balls * (1 + SLACK) + off)
+        exact = exactly(vectors, held.vectors, i, j)
+        inside = exact <= held.balls[j]
+        i, j, exact = i[inside], j[inside], exact[inside]
+        hits += np.bincount(j, minlength=len(hits))
+        yield out(True, own, np.bincount(i, minlength=len(own)), np.bincount(i[exact <= cut], minlength=len(own)))
 
 
 def within(queries: DataFrame, data: Cells, *, others: bool = False, cut: float = math.inf) -> DataFrame:
     """(query or ball, n, cut): how many balls of ``data`` hold each query, and how many queries each ball holds; rows that would be 0 may be missing.
 
-    A query goes to the cells where some ball may reach it.
+    A query goes to the bins of the cells where some ball may reach it.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = queries.schema["id"].dataType, data.rows.schema["id"].dataType
     kinds, bounds = [to_arrow_type(t) for t in types], data.bounds
 
-    def near(away: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        return away <= (bounds.radius + bounds.ball) * (1 + SLACK) + SLACK
+    def near(away: np.ndarray, bound: np.ndarray, home: np.ndarray, off: float) -> np.ndarray:
+        return _bins((away - off <= (bounds.radius + bounds.ball) * (1 + SLACK) + SLACK) & (bounds.count > 0), bounds)
 
-    asked = queries.select("id", "vector", F.lit(0.0).alias("bound"))
+    asked = queries.select("id", "vector", F.lit(0.0).alias("bound"), F.lit(0).alias("home"))
     found = _groups(asked, data, near).mapInArrow(lambda it: _within(it, others, cut, kinds), f"query {types[0].simpleString()}, ball {types[1].simpleString()}, n bigint, cut bigint")
     return found.groupBy("query", "ball").agg(F.sum("n").alias("n"), F.sum("cut").alias("cut"))
 

@@ -85,3 +85,33 @@ def test_discrepancy_is_within_its_bound(spark, clouds):
     wide, _ = ds.kernel_discrepancy(frame(spark, made), frame(spark, real), width=2.0, features=60_000)
     assert abs(wide - exact) < 0.02
     assert ds.kernel_discrepancy(frame(spark, made), frame(spark, real).limit(0), width=1.0)[0] is None
+
+
+def test_a_query_goes_to_a_bin_once(spark, monkeypatch):
+    """Where pivots prune nothing, a query moves for each bin of cells, not for each cell."""
+    monkeypatch.setattr(ds, "CELL", 10)
+    monkeypatch.setattr(ds, "CHUNK", 200)
+    points = np.random.default_rng(5).normal(size=(600, 64))
+    sent, groups = [], ds._groups
+
+    def counted(*args):
+        out = groups(*args)
+        sent.append(out.where("asks").count())
+        return out
+
+    monkeypatch.setattr(ds, "_groups", counted)
+    held = ds.cells(frame(spark, points).selectExpr("id", "vector", "9.0D as ball"))
+    found = {r.query: r.n for r in ds.within(frame(spark, points), held).where("query is not null").collect()}
+    assert [found.get(i, 0) for i in range(600)] == (pairs(points, points) <= 9.0).sum(axis=1).tolist()
+    assert len(points) <= sent[0] <= 8 * len(points)
+
+
+def test_copies_far_from_the_origin(spark, monkeypatch):
+    """Products of matrices lose digits there; what they choose is compared exactly."""
+    monkeypatch.setattr(ds, "CHUNK", 50)
+    rng = np.random.default_rng(6)
+    real = np.repeat(rng.normal(size=(60, 4)), 2, axis=0) + 1e5
+    made = real[::3] + np.where(rng.random((40, 1)) < 0.5, 0, 1e-3)
+    found = ds.neighbour_metrics(frame(spark, made, 1000), frame(spark, real), 3).first().asDict()
+    expected = slow_metrics(made, real, 3)
+    assert all(abs(found[n] - expected[n]) < 1e-12 for n in expected)
