@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,37 @@ def kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
     return df.select(F.explode(F.array_distinct(grams(F.col(seq), k))).alias("kmer")).distinct()
 
 
+def gram_counts(df: DataFrame, row_id: str, seq: str, k: int) -> DataFrame:
+    """(row_id, gram, n, all): how often each of a row's distinct grams of ``k`` letters occurs, and how many grams the row has.
+
+    Row by row, a batch at a time: nothing is grouped across rows, so ids should be unique.
+    """
+    kind = df.schema[row_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, ends, _ = code_points(batch.column(1).to_pandas())
+            sizes = np.diff(ends)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            start = np.flatnonzero(np.arange(len(points)) + k <= ends[1:][row])
+            if not len(start):
+                continue
+            letters, places = np.unique(points, return_inverse=True)
+            code = np.zeros(len(start), np.int64)
+            for j in range(k):
+                code = np.unique(code * len(letters) + places[start + j], return_inverse=True)[1]
+            kinds, sample = np.unique(code, return_index=True)
+            names = pa.array(["".join(map(chr, points[i : i + k].tolist())) for i in start[sample].tolist()], pa.string())
+            found, n = np.unique(row[start] * len(kinds) + code, return_counts=True)
+            of = found // len(kinds)
+            all_ = np.maximum(sizes - k + 1, 0)[of]
+            for at in range(0, len(of), 1 << 16):
+                piece = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[piece])), names.take(pa.array((found % len(kinds))[piece])), pa.array(n[piece]), pa.array(all_[piece])], names=[row_id, "gram", "n", "all"])
+
+    return df.select(row_id, seq).mapInArrow(run, f"{row_id} {kind}, gram string, n bigint, all bigint")
+
+
 FEW = 1 << 20  # hashes, or centroids' components, that are broadcast: 8 MB
 
 

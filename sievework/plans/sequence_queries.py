@@ -214,9 +214,8 @@ SELECT id, {_bin_sql('n', scales.LENGTH_EDGES)} AS length_bin, {_bin_sql('q', sc
 
 
 def gram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = parts(spark, sf_dir).select("id", F.explode(seq.grams(own(), 2)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
-    totals = parts(spark, sf_dir).select("id", F.size(seq.grams(own(), 2)).alias("all"))
-    return pairs.join(totals, "id").select("id", "gram", _r(F.col("n") / F.col("all")).alias("freq"))
+    counts = similarity.gram_counts(spread(parts(spark, sf_dir)), "id", "s", 2)
+    return counts.select("id", "gram", _r(F.col("n") / F.col("all")).alias("freq"))
 
 
 GRAM_FREQUENCIES = f"""WITH {SEQS}, pairs AS (SELECT id, n, c || lead(c) OVER (PARTITION BY id ORDER BY i) AS gram FROM chars)

@@ -8,8 +8,10 @@ import random
 import pandas as pd
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from sievework.functions import batches, scales
+from sievework.operators import similarity
 from sievework.plans import catalogue
 
 WEIGHTS = {"KK": 3.5, "AL": -2.0, "😀😀": 4.0}
@@ -57,3 +59,24 @@ def test_one_file_is_worked_on_by_all_cores(spark, name):
     assert frame.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan and "transform(" not in plan
+
+
+def test_grams_of_a_row_are_counted_in_its_batch(spark):
+    rows = [(1, "KKKK"), (2, "a😀a😀"), (3, "K"), (4, ""), (5, None), (6, "KAKA")]
+    found = similarity.gram_counts(spark.createDataFrame(rows, "id long, s string").repartition(2), "id", "s", 2).collect()
+    expected = [(i, g, sum(s[j : j + 2] == g for j in range(len(s) - 1)), len(s) - 1) for i, s in rows if s for g in {s[j : j + 2] for j in range(len(s) - 1)}]
+    assert sorted(map(tuple, found)) == sorted(expected)
+    plan = catalogue.queries()["gram_frequencies"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_alike_rows_are_cut_once(spark, tmp_path):
+    """The table function runs over distinct names and types, in more than one task."""
+    part = spark.read.parquet(f"{SMALL}/part.parquet")
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 10**6)).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    once = {r.gram: r for r in catalogue.queries()["sql_gram_counts"](spark, SMALL).collect()}
+    frame = catalogue.queries()["sql_gram_counts"](spark, str(tmp_path))
+    twice = {r.gram: r for r in frame.collect()}
+    assert once.keys() == twice.keys() and all((2 * a.n, a.types, a.first) == tuple(twice[g])[1:] for g, a in once.items())
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("grams") :]
