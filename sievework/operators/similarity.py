@@ -55,6 +55,76 @@ def gram_counts(df: DataFrame, row_id: str, seq: str, k: int) -> DataFrame:
 FEW = 1 << 20  # hashes, or centroids' components, that are broadcast: 8 MB
 
 
+PIECE = 1 << 15  # letters that are hashed at once
+
+
+def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the ``k`` letters from each place on, in some log2(k) passes: halves are hashed, then put together."""
+    letter = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    part, width, factor = letter ^ (letter >> np.uint64(29)), 1, 0xD6E8FEB86659FD93
+    out, done = None, 0
+    while True:
+        if k & width:
+            out = part if out is None else out[: len(out) - width] * np.uint64(factor) + part[done:] if len(out) > width else np.zeros(0, np.uint64)
+            done += width
+        if width * 2 > k:
+            return out
+        part = part[:-width] * np.uint64(factor) + part[width:] if len(part) > width else np.zeros(0, np.uint64)
+        width, factor = 2 * width, factor * factor % (1 << 64)
+
+
+def _found(texts: pa.Array, k: int, asked: np.ndarray, sieve: np.ndarray) -> set[str]:
+    """The grams of the texts whose hash is among those asked for."""
+    out, held, size = set(), [], 0
+
+    def search() -> None:
+        letters = "".join(held)
+        ends = np.cumsum([len(t) for t in held])
+        hashes = gram_hashes(np.frombuffer(letters.encode("utf-32-le"), np.uint32), k)
+        at = np.flatnonzero(sieve[hashes >> np.uint64(64 - len(sieve).bit_length() + 1)])
+        near = np.minimum(np.searchsorted(asked, hashes[at]), len(asked) - 1)
+        at = at[asked[near] == hashes[at]]
+        at = at[at + k <= ends[np.searchsorted(ends, at, side="right")]]  # none across two texts
+        out.update(letters[i : i + k] for i in at.tolist())
+
+    for text in texts:
+        whole = text.as_py() or ""
+        for lo in range(0, max(len(whole) - k + 1, 0), PIECE):
+            piece = whole[lo : lo + PIECE + k - 1]
+            held.append(piece)
+            size += len(piece)
+            if size >= PIECE:
+                search()
+                held, size = [], 0
+    if held:
+        search()
+    return out
+
+
+def _hashed_grams(reference: DataFrame, ref_seq: str, k: int, asked: DataFrame) -> DataFrame:
+    """The reference's grams whose hash one of ``asked`` has; these hashes go to every task."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = code_points(batch.column(0).to_pandas())[0]
+            yield pa.RecordBatch.from_arrays([pa.array(gram_hashes(points, k)[::k].view(np.int64))], names=["hash"])
+
+    hashes = np.unique(asked.select("kmer").mapInArrow(hashed, "hash bigint").toArrow().column("hash").to_numpy().view(np.uint64))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(hashes):
+            return
+        bits = min(24, max(10, (64 * len(hashes)).bit_length()))
+        sieve = np.zeros(1 << bits, bool)
+        sieve[hashes >> np.uint64(64 - bits)] = True
+        for batch in batches:
+            found = sorted(_found(batch.column(0), k, hashes, sieve))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["kmer"])
+
+    return reference.select(ref_seq).mapInArrow(searched, "kmer string")
+
+
 def kmer_hits(df: DataFrame, seq: str, row_id: str, reference: DataFrame, ref_seq: str, k: int) -> DataFrame:
     """(row_id, hit_fraction): the share of k-mers, repeats counted, that the reference has; 0 for none.
 
@@ -64,10 +134,7 @@ def kmer_hits(df: DataFrame, seq: str, row_id: str, reference: DataFrame, ref_se
     """
     own = kept(df.select(row_id, F.explode(grams(F.col(seq), k)).alias("kmer")).groupBy(row_id, "kmer").agg(F.count("*").alias("n")))
     asked = kept(own.select("kmer").distinct())
-    theirs = reference.select(F.explode(grams(F.col(ref_seq), k)).alias("kmer"))
-    if asked.count() <= FEW:
-        hashes = asked.select(F.xxhash64("kmer").alias("hash")).distinct()
-        theirs = theirs.withColumn("hash", F.xxhash64("kmer")).join(F.broadcast(hashes), "hash", "left_semi").select("kmer").distinct()
+    theirs = _hashed_grams(reference, ref_seq, k, asked) if asked.count() <= FEW else reference.select(F.explode(grams(F.col(ref_seq), k)).alias("kmer"))
     known = theirs.join(asked, "kmer", "left_semi").distinct().withColumn("hit", F.lit(1))
     found = own.join(known, "kmer", "left").groupBy(row_id).agg((F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) / F.sum("n")).alias("hit_fraction"))
     return df.select(row_id).join(found, row_id, "left").select(row_id, F.coalesce("hit_fraction", F.lit(0.0)).alias("hit_fraction"))

@@ -60,3 +60,20 @@ def test_functions_in_sql(spark):
     row = spark.sql("SELECT indel_ratio('ABC', 'AXC') AS r, indel_ratio(NULL, 'A') AS n, local_hit('ACDEF', 'CDE').score AS score, size(composition_vector('AAC')) AS size, sketch_key(s) AS k FROM texts WHERE id = 1").first()
     assert abs(row.r - 2 / 3) < 1e-12 and row.n is None and row.score == 6 and row["size"] == 420
     assert row.k == similarity.sketch_keys(pd.Series(["ABCDE"]))[0]
+
+
+@pytest.mark.parametrize("piece", [1 << 15, 7])
+def test_kmer_hits_by_hashes_are_exact(spark, monkeypatch, piece):
+    """The reference's grams are hashed without being made: the plan makes none, and none spans two texts or is lost at a cut."""
+    monkeypatch.setattr(similarity, "PIECE", piece)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abc😀é", k=n))
+    theirs = [text(rng.choice([0, 2, 5, 6, 40, 90])) for _ in range(60)] + [None]
+    mine = [text(rng.randint(0, 25)) for _ in range(40)] + [theirs[5][3:20], None]
+    known = {t[i : i + 5] for t in theirs if t for i in range(len(t) - 4)}
+    own = spark.createDataFrame(list(enumerate(mine)), "i long, s string")
+    found = similarity.kmer_hits(own, "s", "i", spark.createDataFrame([(t,) for t in theirs], "s string").repartition(3), "s", 5)
+    for i, hit in found.collect():
+        grams = [(mine[i] or "")[j : j + 5] for j in range(len(mine[i] or "") - 4)]
+        assert hit == pytest.approx(sum(g in known for g in grams) / len(grams) if grams else 0.0)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
