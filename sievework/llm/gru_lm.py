@@ -31,6 +31,11 @@ STREAMS, STEPS = 512, 16
 STRETCH = 4096  # tokens after which learning starts a text anew; scoring never does
 TOKENS = 4 << 20  # tokens that a task holds at a time
 ONES = np.ones(1 << 18, np.float32)  # no fewer than the listed words or a window's tokens
+SMALL = 1_000_000  # multiplications of a product of matrices that OpenBLAS makes without packing them first, up to twice as fast
+LOGITS = 1 << 17  # logits of words that are exponentiated at a time: 512 KB, which stay in the cache
+LONG = 12  # occurrences of a word in a window from which they are summed by a product
+STEP = 8192  # weights that the optimiser changes at a time
+MOST, LEAST = np.full(STEP, 0.1, np.float32), np.full(STEP, -0.1, np.float32)  # of a weight's slope by token
 Model = dict[str, np.ndarray]
 
 
@@ -170,59 +175,113 @@ def _forward(recur: np.ndarray, inputs: np.ndarray, state: np.ndarray, begins: n
     return states, kept
 
 
-def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """(exponentials, made in place, their row sums, what was taken off each row first)."""
-    off: np.ndarray | float = 0.0
-    if logits.size and logits.max() > 60:
-        off = logits.max(axis=1)
-        logits -= off[:, None]
-    weight = np.exp(logits, out=logits)
-    return weight, weight @ ONES[: weight.shape[1]], off
+def _blocks(n: int, most: int) -> list[slice]:
+    """Slices of ``n`` places, of at most ``most`` each, of about equal length: a multiple of 16 if that can be."""
+    size = -(-n // -(-n // max(most, 1)))
+    size = min(-(-size // 16) * 16, max(most // 16 * 16, size))
+    return [slice(at, min(at + size, n)) for at in range(0, n, size)]
 
 
-def _log_likelihoods(model: Model, vocabulary: Vocabulary, states: np.ndarray, ids: np.ndarray, grads: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """ln of each token's class and, for head words, of the word in it; with ``grads``, the loss's gradient by state too.
+def _output_tables(model: Model) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(the vectors of all classes, those of all head words, a column each, with their shifts as the last row; whether no state, whose components are in -1 to 1, has a logit beyond 60)."""
+    words = np.empty((HIDDEN + 1, len(model["word"])), np.float32)
+    words[:HIDDEN], words[HIDDEN] = model["word"].T, model["word_shift"]
+    classes = np.vstack([model["class"], model["class_shift"]])
+    most = (np.sqrt(HIDDEN * np.einsum("ij,ij->j", x[:HIDDEN], x[:HIDDEN])) + np.abs(x[HIDDEN]) for x in (classes, words))
+    return classes, words, all(x.max() < 60 for x in most)
 
-    Tokens are put in order of their classes, so that each class is one stretch.
+
+def _weighed(own: np.ndarray, table_: np.ndarray, of: np.ndarray, room: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(logit of column ``of`` in each row, all exponentials, their row sums, places of ``of`` among them laid flat).
+
+    Logits and sums are less the row's largest where they may overflow. ``room`` is where the
+    exponentials are; it is used again and so stays in the cache.
+    """
+    rows, width = len(own), table_.shape[1]
+    flat, place = room[: rows * width], np.arange(0, rows * width, width)
+    logits = flat.reshape(rows, width)
+    place += of
+    for part in _blocks(width, SMALL // own.size):
+        np.matmul(own, table_[:, part], out=logits[:, part])
+    if not bounded and flat.max() > 60:
+        logits -= logits.max(axis=1)[:, None]
+    mine = flat[place]
+    np.exp(flat, out=flat)
+    return mine, logits, logits @ ONES[:width], place
+
+
+def _slopes(weight: np.ndarray, total: np.ndarray, place: np.ndarray, own: np.ndarray, by_table: np.ndarray, to_state: np.ndarray, out: np.ndarray) -> None:
+    """From what ``_weighed`` found, the loss's gradients: that by row is added to ``out``, that by column to ``by_table``."""
+    weight *= (1 / total)[:, None]
+    weight.reshape(-1)[place] -= 1
+    for part in _blocks(len(to_state), SMALL // own.size):
+        by_table[part] += weight[:, part].T @ own
+    for part in _blocks(len(own), SMALL // to_state.size):
+        out[part] += weight[part] @ to_state
+
+
+def _log_likelihoods(model: Model, vocabulary: Vocabulary, states: np.ndarray, ids: np.ndarray, grads: Model | None = None, tables: tuple[np.ndarray, np.ndarray, bool] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """ln of each token's class and, for head words, of the word in it; with ``grads``, which are filled, the loss's gradient by state too.
+
+    Tokens are put in order of their classes, so that each class is one stretch. States get a
+    last component of one, which takes the shifts. Products are of blocks that stay in the cache.
     """
+    n, learns = len(ids), grads is not None
     kind = vocabulary.class_of[ids]
     order = np.argsort(kind, kind="stable")
-    kind, ids, states = kind[order], ids[order], states[order]
-    rows = np.arange(len(ids))
-    logits = states @ model["class"]
-    logits += model["class_shift"]
-    out = logits[rows, kind]
-    weight, total, off = _exp(logits)
-    out -= np.log(total) + off
-    d_states = None
-    if grads is not None:
-        weight *= (1 / total)[:, None]
-        weight[rows, kind] -= 1
-        grads["class"] = states.T @ weight
-        grads["class_shift"] = ONES[: len(weight)] @ weight
-        d_states = weight @ model["class"].T
-    edges = np.searchsorted(kind, np.arange(vocabulary.classes + 1)).tolist()
-    word, word_shift, bounds = model["word"], model["word_shift"], vocabulary.bounds
+    kind, ids = kind[order].astype(np.int64), ids[order].astype(np.int64)
+    own = np.ones((n, HIDDEN + 1), np.float32)
+    own[:, :HIDDEN] = np.take(states, order, axis=0)
+    classes, words, bounded = tables or _output_tables(model)
+    out, total, word_total = np.empty(n, np.float32), np.empty(n, np.float32), np.ones(n, np.float32)
+    if learns:
+        d_states, by_class, by_word = np.zeros((n, HIDDEN), np.float32), np.zeros(classes.shape[::-1], np.float32), np.zeros(words.shape[::-1], np.float32)
+        to_state = np.ascontiguousarray(model["class"].T)
+    word, bounds, edges = model["word"], vocabulary.bounds, np.searchsorted(kind, np.arange(vocabulary.classes + 1)).tolist()
+    height = max(SMALL // classes.size // 32 * 32, 32)
+    room = np.empty(max(height * classes.shape[1], LOGITS, words.shape[1]), np.float32)
+    for at in range(0, n, height):
+        part = slice(at, at + height)
+        out[part], weight, total[part], place = _weighed(own[part], classes, kind[part], room, bounded)
+        if learns:
+            _slopes(weight, total[part], place, own[part], by_class, to_state, d_states[part])
     for c in range(vocabulary.classes):
-        lo, hi, a, b = bounds[c], bounds[c + 1], edges[c], edges[c + 1]
-        if a == b or hi - lo < 2:
+        lo, hi = bounds[c], bounds[c + 1]
+        if hi - lo < 2:
             continue
-        own = states[a:b]
-        logits = own @ word[lo:hi].T
-        logits += word_shift[lo:hi]
-        of = ids[a:b] - lo
-        mine = logits[rows[: b - a], of]
-        weight, total, off = _exp(logits)
-        out[a:b] += mine - np.log(total) - off
-        if grads is not None:
-            weight *= (1 / total)[:, None]
-            weight[rows[: b - a], of] -= 1
-            np.matmul(weight.T, own, out=grads["word"][lo:hi])
-            np.matmul(ONES[: b - a], weight, out=grads["word_shift"][lo:hi])
-            d_states[a:b] += weight @ word[lo:hi]
+        height = LOGITS // (hi - lo) or 1
+        for at in range(edges[c], edges[c + 1], height):
+            part = slice(at, min(at + height, edges[c + 1]))
+            mine, weight, word_total[part], place = _weighed(own[part], words[:, lo:hi], ids[part] - lo, room, bounded)
+            out[part] += mine
+            if learns:
+                _slopes(weight, word_total[part], place, own[part], by_word[lo:hi], word[lo:hi], d_states[part])
+    out -= np.log(total)
+    out -= np.log(word_total)
     back = np.empty_like(order)
-    back[order] = rows
-    return out[back], None if d_states is None else d_states[back]
+    back[order] = np.arange(n)
+    if not learns:
+        return out[back], None
+    grads["class"][:], grads["class_shift"][:] = by_class[:, :HIDDEN].T, by_class[:, HIDDEN]
+    grads["word"][:], grads["word_shift"][:] = by_word[:, :HIDDEN], by_word[:, HIDDEN]
+    return out[back], np.take(d_states, back, axis=0)
+
+
+def _sums(which: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values of ``which``, the sums of their rows)."""
+    order = np.argsort(which, kind="stable")
+    which, rows = which[order], np.take(rows, order, axis=0)
+    begin = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    times = np.diff(begin, append=len(which))
+    begin, times = (x[np.argsort(-times, kind="stable")] for x in (begin, times))
+    out = np.take(rows, begin, axis=0)
+    many = int(np.searchsorted(-times, -LONG, side="right"))
+    for i, (at, n) in enumerate(zip(begin[:many].tolist(), times[:many].tolist(), strict=True)):
+        out[i] = ONES[:n] @ rows[at : at + n]
+    for k in range(1, LONG):
+        to = int(np.searchsorted(-times, -k))
+        out[many:to] += np.take(rows, begin[many:to] + k, axis=0)
+    return which[begin], out
 
 
 def _windows(ends: np.ndarray, steps: int, seed: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -267,13 +326,14 @@ def score_tokens(model: Model, vocabulary: Vocabulary, ids: np.ndarray, ends: np
     found = np.zeros(len(ends) - 1)
     of = np.repeat(np.arange(len(found)), np.diff(ends))
     ready, recur = _in_thirds((model["embed"] @ model["input"] + model["shift"]).astype(np.float32)), _in_thirds(model["recur"])
-    state = np.zeros((STREAMS, HIDDEN), np.float32)
-    for at, mask, begins in _windows(ends, 2 * STEPS):
+    state, tables = np.zeros((STREAMS, HIDDEN), np.float32), _output_tables(model)
+    for at, mask, begins in _windows(ends, STEPS):
         window = ids[at]
         states, _ = _forward(recur, np.take(ready, window, axis=1), state[: window.shape[1]], begins)
         state = states[-1]
-        part, _ = _log_likelihoods(model, vocabulary, states[:-1][mask], window[mask])
-        found += np.bincount(of[at[mask]], part, len(found))
+        whole = bool(mask.all())
+        part, _ = _log_likelihoods(model, vocabulary, states[:-1].reshape(-1, HIDDEN) if whole else states[:-1][mask], window.ravel() if whole else window[mask], tables=tables)
+        found += np.bincount(of[at.ravel() if whole else at[mask]], part, len(found))
     return found / np.log(10)
 
 
@@ -309,90 +369,88 @@ class Trainer:
 
     def _window(self, window: np.ndarray, mask: np.ndarray, begins: np.ndarray, state: np.ndarray) -> np.ndarray:
         model, grads, h = self.model, self.grads, HIDDEN
-        seen = model["embed"][window].reshape(-1, h)
+        seen = np.take(model["embed"], window, axis=0)
         recur, taken, shift = _in_thirds(model["recur"]), _in_thirds(model["input"]), _in_thirds(model["shift"])
-        inputs = np.matmul(seen, taken)
-        inputs += shift
-        inputs = inputs.reshape(3, *window.shape, h)
+        inputs = np.matmul(seen, taken[:, None])
+        inputs += shift[:, None]
         states, mine = _forward(recur, inputs, state, begins, keep=True)
         n, whole = max(int(mask.sum()), 1), bool(mask.all())
-        grads["word"][:], grads["word_shift"][:] = 0, 0
         before = states[:-1]
-        found: Model = {k: grads[k] for k in ("word", "word_shift")}
-        _, d_out = _log_likelihoods(model, self.vocabulary, before.reshape(-1, h) if whole else before[mask], window.ravel() if whole else window[mask], found)
-        grads["class"][:], grads["class_shift"][:] = found["class"], found["class_shift"]
+        _, d_out = _log_likelihoods(model, self.vocabulary, before.reshape(-1, h) if whole else before[mask], window.ravel() if whole else window[mask], grads)
         if whole:
             by_state = d_out.reshape(before.shape)
         else:
             by_state = np.zeros_like(before)
             by_state[mask] = d_out
         slopes, to_fresh = np.empty_like(inputs), np.empty_like(mine)
-        by_gate, spread = np.empty((3, *state.shape), np.float32), np.empty((3, *state.shape), np.float32)
+        spread, stay, taking = np.empty((3, *state.shape), np.float32), np.empty_like(state), np.empty_like(state)
         recur[:2] *= 2
         taken[:2] *= 2
         back, d_state = np.ascontiguousarray(recur.swapaxes(1, 2)), np.zeros_like(state)
         for t in range(len(window) - 1, -1, -1):
             z, r, fresh = inputs[:, t]
             by_z, by_r, by_fresh = slopes[:, t]
-            stay = 1 - z
+            np.subtract(1, z, out=stay)
+            np.multiply(z, d_state, out=taking)
             np.subtract(fresh, before[t], out=by_z)
-            by_z *= z
             by_z *= stay
-            by_z *= d_state
+            by_z *= taking
             np.multiply(fresh, fresh, out=by_fresh)
             np.subtract(1, by_fresh, out=by_fresh)
-            by_fresh *= z
-            by_fresh *= d_state
+            by_fresh *= taking
             np.multiply(by_fresh, r, out=to_fresh[t])
             np.subtract(1, r, out=by_r)
             by_r *= mine[t]
             by_r *= to_fresh[t]
-            by_gate[:2], by_gate[2] = slopes[:2, t], to_fresh[t]
-            np.matmul(by_gate, back, out=spread)
+            np.matmul(slopes[:2, t], back[:2], out=spread[:2])
+            np.matmul(to_fresh[t], back[2], out=spread[2])
             d_state *= stay
             d_state += spread[0]
             d_state += spread[1]
             d_state += spread[2]
             d_state += by_state[t]
             d_state[begins[t]] = 0
-        flat, past = slopes.reshape(3, -1, h), np.ascontiguousarray(before.reshape(-1, h).T)
+        past, entered, leave, d_seen = before.swapaxes(1, 2), seen.swapaxes(1, 2), np.ascontiguousarray(taken.swapaxes(1, 2)), np.zeros_like(seen)
         for k in range(3):
             part = slice(k * h, k * h + h)
-            grads["recur"][:, part] = past @ (flat[k] if k < 2 else to_fresh.reshape(-1, h))
-            grads["input"][:, part] = seen.T @ flat[k]
-            grads["shift"][part] = np.ones(len(seen), np.float32) @ flat[k]
-        d_seen = flat[0] @ taken[0].T
-        d_seen += flat[1] @ taken[1].T
-        d_seen += flat[2] @ taken[2].T
-        order = np.argsort(window, axis=None, kind="stable")
-        which = window.ravel()[order]
-        begin = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        self._adam(which[begin], np.add.reduceat(d_seen[order], begin, axis=0), n)
+            grads["recur"][:, part] = np.matmul(past, slopes[k] if k < 2 else to_fresh).sum(axis=0)
+            grads["input"][:, part] = np.matmul(entered, slopes[k]).sum(axis=0)
+            grads["shift"][part] = ONES[: window.size] @ slopes[k].reshape(-1, h)
+            d_seen += np.matmul(slopes[k], leave[k])
+        words, by_word = _sums(window.ravel().astype(np.uint16 if len(model["embed"]) <= 1 << 16 else np.int32), d_seen.reshape(-1, h))
+        self._adam(words, by_word, n)
         return states[-1]
 
     def _adam(self, words: np.ndarray, by_word: np.ndarray, n: int) -> None:
         self.step += 1
         scale = self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-        for at in range(0, len(self.flat), 8192):
-            part = slice(at, at + 8192)
+        for at in range(0, len(self.flat), STEP):
+            part = slice(at, at + STEP)
             _adam_step(self.flat[part], self.slope[part], self.first[part], self.second[part], scale, n)
-        weight, first, second = self.model["embed"][words], self.first_embed[words], self.second_embed[words]
+        weight, first, second = (np.take(x, words, axis=0) for x in (self.model["embed"], self.first_embed, self.second_embed))
         _adam_step(weight, by_word, first, second, scale, n)
         self.model["embed"][words], self.first_embed[words], self.second_embed[words] = weight, first, second
 
 
 def _adam_step(weight: np.ndarray, slope: np.ndarray, first: np.ndarray, second: np.ndarray, scale: float, n: int) -> None:
-    """One step in place, with the slopes divided by ``n`` and clipped; ``slope`` is overwritten."""
+    """One step in place, with the slopes divided by ``n`` and clipped; ``slope`` is overwritten.
+
+    ``first`` and ``second`` are ten and a hundred times the means of slopes and their squares,
+    by which the step's ratio stays the same, with 1e-6 made ten times as large.
+    """
     slope *= np.float32(1 / n)
-    np.clip(slope, -0.1, 0.1, out=slope)
+    if weight.ndim == 1:
+        np.minimum(slope, MOST[: len(slope)], out=slope)
+        np.maximum(slope, LEAST[: len(slope)], out=slope)
+    else:
+        np.clip(slope, -0.1, 0.1, out=slope)
     first *= np.float32(0.9)
-    first += np.float32(0.1) * slope
+    first += slope
     second *= np.float32(0.99)
     slope *= slope
-    slope *= np.float32(0.01)
     second += slope
     np.sqrt(second, out=slope)
-    slope += np.float32(1e-6)
+    slope += np.float32(1e-5)
     np.divide(first, slope, out=slope)
     slope *= np.float32(scale)
     weight -= slope
