@@ -141,35 +141,46 @@ class Target:
     active: float | None = None
 
 
-def with_features(df: DataFrame, sequence: str = "sequence", amidated: str = "amidated", out: str = "features") -> DataFrame:
-    """``df`` with the vector of the descriptors, the 400 pairs' shares and the amidation flag (unknown counts as none)."""
+def _of_sequence(sequence: str) -> Column:
+    """The features that a sequence alone has: the descriptors and the 400 pairs' shares."""
     own = [F.coalesce(c.cast("double"), F.lit(0.0)) for c in seq.descriptors(F.col(sequence)).values()]
     pairs = F.coalesce(F.slice(composition_vector()(F.col(sequence)), 21, 400), F.array_repeat(F.lit(0.0), 400))
+    return F.concat(F.array(*own), pairs)
+
+
+def _flagged(own: Column, amidated: str) -> Column:
+    """The vector of a sequence's own features and the amidation flag (unknown counts as none)."""
     flag = F.greatest(F.coalesce(F.col(amidated), F.lit(0)), F.lit(0)).cast("double")
-    return df.withColumn(out, array_to_vector(F.concat(F.array(*own), pairs, F.array(flag))))
+    return array_to_vector(F.concat(own, F.array(flag)))
+
+
+def with_features(df: DataFrame, sequence: str = "sequence", amidated: str = "amidated", out: str = "features") -> DataFrame:
+    """``df`` with the vector of the descriptors, the 400 pairs' shares and the amidation flag (unknown counts as none)."""
+    return df.withColumn(out, _flagged(_of_sequence(sequence), amidated))
 
 
-def train_heads(targets: dict[str, Target], folder: str, *, least: int = 300, identity: float = 0.5, **params) -> tuple[DataFrame, dict[str, DataFrame]]:
+def train_heads(targets: dict[str, Target], folder: str, *, least: int = 0, identity: float = 0.5, **params) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(report, out-of-fold predictions by head) of all heads, each saved under ``folder``.
 
     Folds go by clusters of identity over all heads' sequences, so that no sequence alike to a
-    held-out one is learnt from. A row weighs ln(1 + n). Heads of fewer than ``least`` rows are
-    left out. ``params`` go to ``HeadEnsemble``. The report has a row for each head: head, n, spearman,
-    rmse, r2 of regressions, and auroc of classifiers or of finding the active rows (null with ten or fewer of either kind).
+    held-out one is learnt from. A row weighs ln(1 + n), and its own amidation flag is learnt from. ``params`` go to
+    ``HeadEnsemble``. The report has a row for each head: head, n, spearman, rmse, r2 of regressions, and auroc of
+    classifiers or of finding the active rows (null with ten or fewer of either kind). A head whose folds have too few rows
+    to learn from is reported and saved too, with nulls and without models. Only who asks for ``least`` rows goes without heads of fewer.
     """
     spark = next(iter(targets.values())).rows.sparkSession
     # each head's rows are made once, and so are the sequences: whatever makes them may be a join of all measurements
     learnt, sequences = {name: kept(t.rows.select("sequence", "amidated", "y", "n")) for name, t in targets.items()}, None
     for rows in learnt.values():
-        own = rows.select("sequence")
-        sequences = own if sequences is None else sequences.union(own)
+        named = rows.select("sequence")
+        sequences = named if sequences is None else sequences.union(named)
     sequences = kept(sequences.where("sequence is not null").distinct())
     named = sequences.withColumn("row_id", F.col("sequence"))
     folded = kept(grouped_folds(identity_clusters(named, identity=identity), "cluster", params.get("folds", 5), params.get("seed", 0)).select(F.col("row_id").alias("sequence"), "fold"))
-    features = kept(with_features(spread(sequences).withColumn("amidated", F.lit(0))).select("sequence", "features"))
+    own = kept(spread(sequences).select("sequence", _of_sequence("sequence").alias("own")))
     report, guesses, saved = None, {}, []
     for name, t in targets.items():
-        rows = kept(learnt[name].where("y is not null").join(folded, "sequence").join(features, "sequence").withColumns({"y": F.col("y").cast("double"), "weight": F.log1p(F.col("n").cast("double"))}))
+        rows = kept(learnt[name].where("y is not null").join(folded, "sequence").join(own, "sequence").withColumns({"y": F.col("y").cast("double"), "weight": F.log1p(F.col("n").cast("double")), "features": _flagged(F.col("own"), "amidated")}).drop("own"))
         n = rows.count()
         if n < least:
             continue

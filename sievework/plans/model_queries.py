@@ -43,7 +43,7 @@ def _heads(spark: SparkSession, sf_dir: str):
     safe = dear.select("sequence", F.lit(0).alias("amidated"), (F.col("mean") >= F.lit(middle)).cast("double").alias("y"), "n")
     targets = {"potency": training.Target(potency, active=4.5), "safe": training.Target(safe, classify=True)}
     folder = f"{shared_dir(spark)}/heads-{uuid.uuid4().hex}"
-    return training.train_heads(targets, folder, least=50, rounds=4, depth=3, rate=0.3), folder
+    return training.train_heads(targets, folder, rounds=4, depth=3, rate=0.3), folder
 
 
 def head_report(spark: SparkSession, sf_dir: str) -> DataFrame:

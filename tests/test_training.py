@@ -89,3 +89,42 @@ def test_rows_are_made_once(spark, tmp_path):
     guard = rows.select("sequence", "amidated", "y", "n").where("y >= 0")
     training.train_heads({"one": training.Target(guard)}, str(tmp_path / "heads"), least=10**9)
     assert made.value == 20
+
+
+def test_the_amidation_flag_is_learnt(spark, tmp_path):
+    """Labels that go by the flag alone: a sequence's two rows get different predictions, out of fold and from the saved head."""
+    rng = random.Random(2)
+    names = ["".join(rng.choices(scales.ALPHABET, k=12)) for _ in range(60)]
+    rows = spark.createDataFrame([(s, flag, 4.0 - 3.0 * max(flag, 0), 2) for s in names for flag in (-1, 1)], "sequence string, amidated int, y double, n long")
+    report, guesses = training.train_heads({"mic": training.Target(rows)}, str(tmp_path / "heads"), least=60, rounds=2, depth=2, rate=1.0)
+    assert report.first().r2 > 0.9
+    for r in guesses["mic"].collect():
+        assert abs(r.guess - r.y) < 0.5
+    asked = spark.createDataFrame([(s, flag) for s in names[:5] for flag in (-1, 0, 1)], "sequence string, amidated int")
+    for r in training.score_heads(asked, training.load_heads(spark, str(tmp_path / "heads"))).collect():
+        assert abs(r.mic - (1.0 if r.amidated == 1 else 4.0)) < 0.5
+
+
+def test_small_heads_are_reported(spark, tmp_path):
+    """A head of few rows, or of none, has its row in the report and its column among the scores."""
+    schema = "sequence string, amidated int, y double, n long"
+    few = spark.createDataFrame([("KWKLFKKIGAVLKVL"[i:], 0, float(i), 1) for i in range(5)], schema)
+    targets = {"few": training.Target(few), "none": training.Target(few.limit(0), active=1.0), "sure": training.Target(few.withColumn("y", F.lit(1.0)), classify=True)}
+    report, guesses = training.train_heads(targets, str(tmp_path / "heads"), rounds=2)
+    assert sorted(map(tuple, report.collect())) == [("few", 5, None, None, None, None), ("none", 0, None, None, None, None), ("sure", 5, None, None, None, None)]
+    assert {n: g.where("guess is null").count() for n, g in guesses.items()} == {"few": 5, "none": 0, "sure": 5}
+    scored = training.score_heads(few.select("sequence", "amidated"), training.load_heads(spark, str(tmp_path / "heads")))
+    assert [(r.few, r.none, r.sure) for r in scored.collect()] == [(None, None, None)] * 5
+
+
+def test_head_report_of_small_tables(spark, tmp_path):
+    """The query reports both heads of twenty parts as well."""
+    from conftest import SMALL
+
+    from sievework.plans import model_queries
+
+    parts = spark.read.parquet(f"{SMALL}/part.parquet").orderBy("p_partkey").limit(20)
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{SMALL}/lineitem.parquet").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = {r["head"]: r.n for r in model_queries.head_report(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["potency", "safe"] and rows["potency"] >= rows["safe"] > 0
