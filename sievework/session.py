@@ -30,10 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over at least as many tasks as there are cores, for costly work on small rows: files of some MB make one split each, whatever their rows."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over at least as many tasks as there are cores, by ``keys`` if any, for costly work on small rows: files of some MB make one split each, whatever their rows."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def shared_dir(spark: SparkSession) -> str:

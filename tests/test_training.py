@@ -128,3 +128,15 @@ def test_head_report_of_small_tables(spark, tmp_path):
     spark.read.parquet(f"{SMALL}/lineitem.parquet").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi").write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = {r["head"]: r.n for r in model_queries.head_report(spark, str(tmp_path)).collect()}
     assert sorted(rows) == ["potency", "safe"] and rows["potency"] >= rows["safe"] > 0
+
+
+def test_the_order_of_rows_does_not_matter(spark, tmp_path):
+    """The same rows in other orders and partitions give the same trees, though many splits are equally good."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices(scales.ALPHABET, k=10)) for _ in range(90)})
+    rows = spark.createDataFrame([(s, flag, rng.gauss(0, 1) / 3, 1 + rng.randrange(5)) for s in names for flag in (0, 1)], "sequence string, amidated int, y double, n long")
+    found = []
+    for i, dealt in enumerate((rows.coalesce(1).sortWithinPartitions("sequence", "amidated"), rows.repartition(3, "n").sortWithinPartitions(F.desc("y")))):
+        _, guesses = training.train_heads({"one": training.Target(dealt)}, str(tmp_path / f"heads-{i}"), rounds=3, depth=3, rate=0.3)
+        found.append(sorted((r.sequence, r.amidated, r.guess) for r in guesses["one"].collect()))
+    assert found[0] == found[1]
