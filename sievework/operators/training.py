@@ -182,7 +182,7 @@ def train_heads(targets: dict[str, Target], folder: str, *, least: int = 0, iden
     for name, t in targets.items():
         rows = learnt[name].where("y is not null").join(folded, "sequence").join(own, "sequence").withColumns({"y": F.col("y").cast("double"), "weight": F.log1p(F.col("n").cast("double")), "features": _flagged(F.col("own"), "amidated")}).drop("own")
         # trees choose among equal splits by the last bits of sums, so rows go in an order of their own, however they were joined
-        rows = kept(spread(rows, "sequence").sortWithinPartitions("sequence", "amidated", "y", "n"))
+        rows = kept(rows.repartition("sequence").sortWithinPartitions("sequence", "amidated", "y", "n"))
         n = rows.count()
         if n < least:
             continue
